@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: the module that has a function of that name, and SQL for it, if any, in ORACLE_SQL.
 QUERIES = {
     "op1_token_files": "token_files",
+    "op2_html_text": "html_text",
     "op5_url_filter": "url_filter",
     "op9_bpe": "bpe",
     "op10_wordpiece_counts": "wordpiece",
