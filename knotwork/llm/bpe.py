@@ -182,6 +182,13 @@ class RankBpe:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
+    def piece_counts(self, text: str) -> np.ndarray:
+        """How many pieces each line of the text has."""
+        found = self.lines.findall(self.normal(text))
+        ends = np.fromiter(map("\n".__eq__, found), bool, len(found))
+        edges = np.concatenate([[-1], np.flatnonzero(ends), [len(found)]])
+        return np.diff(edges) - 1
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For :class:`words.WordMemo`: flat ids and their number per word."""
         text = b"\n".join(words).decode("utf-8", "replace")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .bpe import lower_ascii, tokenizer_path
+from .bpe import load, lower_ascii, tokenizer_path
 
 SEQUENCE = 2048
 FILE_BYTES = 16 << 20
@@ -53,6 +53,7 @@ def library_memo(path: str) -> W.WordMemo:
     """Ids from the tokenizers library, asked once for each white-space-free word that a worker meets.
 
     No piece crosses white space, so a text's ids are its words' ids in turn.
+    The file must mark the last id of each piece with ``</w>``, as word-end vocabularies do.
     """
     from tokenizers import Tokenizer
 
@@ -60,11 +61,30 @@ def library_memo(path: str) -> W.WordMemo:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    own = load(path)
+    ends = np.array([t.endswith("</w>") for t in own.tokens])
+
+    def each(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
 
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words as one text for the library; their pieces' last ids tell where each word's ids end."""
+        flat, lens = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), 5000):
+            text = b"\n".join(words[at : at + 5000]).decode("utf-8", "replace")
+            pieces = np.array(own.piece_counts(text))
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.concatenate([[0], np.flatnonzero(ends[ids]) + 1])
+            if len(last) - 1 == pieces.sum() and last[-1] == len(ids) and not own.specials.search(text):
+                flat.append(ids)
+                lens.append(np.diff(last[np.concatenate([[0], np.cumsum(pieces)])]))
+            else:
+                for have, got in zip((flat, lens), each(text.split("\n")), strict=True):
+                    have.append(got)
+        return np.concatenate(flat), np.concatenate(lens)
+
     return W.WordMemo(encode, prepare=lower_ascii)
 
 
