@@ -14,6 +14,7 @@ QUERIES = {
     "op4_minmax_dedup": "minmax_dedup",
     "op5_url_filter": "url_filter",
     "op6_decontaminate": "decontaminate",
+    "op7_ann": "ann",
     "op8_substring_dedup": "substring_dedup",
     "op9_bpe": "bpe",
     "op10_wordpiece_counts": "wordpiece",
