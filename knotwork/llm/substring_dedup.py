@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from . import words as W
 
 WINDOW, GRAM = 35, 16
-#: Anchors of one part that a task holds at once.
-PART = 4096
+#: Anchors of one part that a task holds at once: up to 20 windows each, some 100 MB with the sort.
+PART = 65_536
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -188,7 +188,7 @@ def large_nodes(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"].take(of), part["text_key"].take(of), pa.array(start.astype(np.int32)), part["anchor"].take(of), pa.array(np.frombuffer(b"".join(held), np.int64))], schema=out)
 
     windows = rows.mapInArrow(run, "doc_id long, text_key long, start int, anchor long, key long")
-    nodes = windows.groupBy("anchor", "key").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "key")
+    nodes = W.stage_table(windows.groupBy("anchor", "key").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "key"), "large-nodes")
     return windows.join(nodes, ["anchor", "key"], "left_semi").select("doc_id", "text_key", "start", F.lit(1).alias("length"))
 
 
@@ -196,6 +196,8 @@ def repeats(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, text_key, spans): for each text with repeats the runs of window starts that repeat."""
     found = W.stage_table(anchors(docs, window, gram), "anchors")
     counts = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > PART).alias("large"))
+    # As a table, so that the join's two shuffles are plain ones and frequent anchors can be split.
+    counts = W.stage_table(counts, "repeated-anchors")
     kept = found.join(counts, "anchor").groupBy("doc_id", "text_key").agg(
         F.collect_set(F.when(~F.col("large"), F.col("place"))).alias("places"), F.collect_set(F.when(F.col("large"), F.col("place"))).alias("large_places")
     )
