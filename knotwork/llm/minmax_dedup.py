@@ -12,11 +12,13 @@ Groups of copies never become all their pairs:
 2. Every class is compared with the least class of each of its buckets.
 3. Classes that are not yet joined with their bucket's main component are
    compared with one member of that component for each bucket.
-4. What is then still apart is compared with all members of other components
-   in its buckets, in blocks of bounded size. Pairs inside one component can
-   change nothing and are never looked at.
+4. What is then still apart is compared with all members of the other
+   components in its buckets: in blocks of bounded size with all members of a
+   bucket's main component, where that is large (a block gives a link at most
+   for each class apart, not its pairs), else pair by pair. Pairs inside one
+   component can change nothing and are never looked at.
 
-In 2-4 a pair is first judged by its signatures, and dropped if they agree in
+Pairs are first judged by their signatures, and dropped if these agree in
 under ``LEAST_ESTIMATE`` (over 6 standard deviations below 0.8) or the sets'
 sizes rule it out; the others are confirmed on their full sets.
 
@@ -42,8 +44,10 @@ from .components import components
 PERMUTATIONS, BANDS, ROWS = 80, 40, 4
 PERCENT = 80
 LEAST_ESTIMATE = 0.6
-#: Members of a bucket that are compared in one block.
-BLOCK = 1000
+#: Members of a bucket that are compared by signature in one block, and documents compared by set.
+BLOCK, SET_BLOCK = 1000, 400
+#: A bucket's main component of more classes than this is compared in blocks of sets.
+LARGE = 48
 
 _random = np.random.default_rng(20_240_229)
 FLIP = _random.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -159,24 +163,25 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def apart(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bucket rows with their component, only of buckets with several; and each bucket's main component."""
-    known = rows.join(components(links), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+def apart(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bucket rows with their component; and the buckets with several, with their main component and its rows."""
+    known = rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     known = W.stage_table(known, "bucket-rows")
     parts = known.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    mains = parts.groupBy("bucket").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    mains = W.stage_table(mains.select("bucket", "main", "n"), "buckets")
-    return known, mains
+    mains = parts.groupBy("bucket").agg(F.max_by("component", "k").alias("main"), F.max("k").alias("of_main"), F.sum("k").alias("n"), F.count("*").alias("parts"))
+    return known, W.stage_table(mains.where("parts > 1").drop("parts"), "buckets")
 
 
 def cross_pairs(known: DataFrame, mains: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of different components in one bucket that signatures allow, each from its first common band only.
 
-    Those outside a bucket's main component meet all its members. Members are
-    dealt into blocks; each outsider is sent to all blocks of its bucket.
+    Large main components are left to :func:`links_to_large`. Those outside the
+    main component meet all others: these are dealt into blocks, and each
+    outsider is sent to all blocks of its bucket.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = known.join(mains, "bucket").withColumn("blocks", blocks)
+    few = mains.withColumn("others", F.when(F.col("of_main") > LARGE, F.col("n") - F.col("of_main")).otherwise(F.col("n")))
+    rows = known.join(few.withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int")), "bucket")
+    rows = rows.where((F.col("of_main") <= LARGE) | (F.col("component") != F.col("main")) & (F.col("others") > 1))
     rows = rows.join(classes.select("id", "signature", "n_shingles"), "id")
     held = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "id", "component", "main", "n_shingles", "signature")
     sent = rows.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "id", "component", "main", "n_shingles", "signature")
@@ -205,6 +210,59 @@ def cross_pairs(known: DataFrame, mains: DataFrame, classes: DataFrame) -> DataF
     return held.unionByName(sent).groupBy("bucket", "block").applyInArrow(run, "a long, b long").distinct()
 
 
+class Postings:
+    """Shingle sets by shingle, to intersect one set with all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.terms, first = np.unique(values[order], return_index=True)
+        self.first = np.append(first, len(values))
+
+    def linked(self, s: np.ndarray) -> np.ndarray:
+        """Which of the sets reach the threshold with s."""
+        at = np.minimum(np.searchsorted(self.terms, s), len(self.terms) - 1)
+        at = at[self.terms[at] == s]
+        begin, count = self.first[at], self.first[at + 1] - self.first[at]
+        where = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(self.owner[where], minlength=len(self.size))
+        return np.flatnonzero(100 * both >= PERCENT * (self.size + len(s) - both))
+
+
+def links_to_large(known: DataFrame, mains: DataFrame, labels: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) of classes apart with the large main components of their buckets: one for each block at most."""
+    asks = known.join(mains.where(F.col("of_main") > LARGE), "bucket").where("component <> main").select("id", F.col("main").alias("component")).distinct()
+    asks = W.stage_table(asks, "asks")
+    members = labels.join(asks.select("component").distinct(), "component", "left_semi")
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("blocks"))
+    sizes = sizes.join(asks.groupBy("component").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("chunks")), "component")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+
+    def dealt(rows: DataFrame, own: str, all_of: str, side: int) -> DataFrame:
+        """Each row to one part by its id, and to all of the other side's parts."""
+        part = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own)
+        return rows.join(sizes, "component").join(texts, "id").select("component", F.lit(side).alias("side"), "id", "text", part, F.explode(F.sequence(F.lit(0), F.col(all_of) - 1)).alias("other")).withColumnRenamed("other", all_of)
+
+    rows = dealt(members, "blocks", "chunks", 0).unionByName(dealt(asks, "chunks", "blocks", 1))
+
+    def run(group: pa.Table) -> pa.Table:
+        side, ids = group["side"].to_numpy(), group["id"].to_numpy()
+        sets = [shingle_set(t, n) for t in W.texts_of(group["text"].combine_chunks())]
+        held = np.flatnonzero(side == 0)
+        a, b = [], []
+        if len(held):
+            index = Postings([sets[i] for i in held])
+            for i in np.flatnonzero(side == 1):
+                for j in index.linked(sets[i])[:1]:
+                    a.append(min(ids[i], ids[held[j]]))
+                    b.append(max(ids[i], ids[held[j]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("component", "blocks", "chunks").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row, linking documents of similarity 0.8 or more on n-word shingles."""
     docs = W.id_and_text(docs, id_col, text_col)
@@ -222,16 +280,18 @@ def near_duplicates(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
         return W.stage_table(confirm(promising(pairs, classes), texts, n), name)
 
     judged = verdicts(ordered(rows), "judged")
-    known, mains = apart(rows, judged.where("linked"))
+    known, mains = apart(rows, components(judged.where("linked")))
     joined = known.join(mains, "bucket")
     partner = joined.where("component = main").groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("other"))
     more = ordered(joined.where("component <> main").join(partner, "bucket").select("id", "other"))
     judged = judged.unionByName(verdicts(more.join(judged, ["a", "b"], "left_anti"), "judged"))
-    known, mains = apart(rows, judged.where("linked"))
+    labels = components(judged.where("linked"))
+    known, mains = apart(rows, labels)
     rest = cross_pairs(known, mains, classes).join(judged, ["a", "b"], "left_anti")
-    judged = judged.unionByName(W.stage_table(confirm(rest, texts, n), "judged"))
+    found = [judged.where("linked").select("a", "b"), confirm(rest, texts, n).where("linked").select("a", "b"), links_to_large(known, mains, labels, texts, n)]
+    links = found[0].unionByName(found[1]).unionByName(found[2])
 
-    found = components(judged.where("linked"))
+    found = components(links)
     named = firsts.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     whole = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
