@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "op1_token_files": "token_files",
     "op2_html_text": "html_text",
+    "op3_toxicity": "toxicity",
     "op4_minmax_dedup": "minmax_dedup",
     "op5_url_filter": "url_filter",
     "op6_decontaminate": "decontaminate",
