@@ -1,10 +1,69 @@
-"""Placeholder until its stages exist."""
+"""A training corpus from raw documents, in five stages.
+
+Each stage reads all that the one before kept, as a Parquet table in the shared
+folder, so a lost executor costs one stage's tasks at most. All but the last
+return the columns of ``documents``. Every rule and limit is the operator's own;
+near-duplicates are judged on five-word shingles here.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from knotwork.llm import words as W
+from knotwork.llm.bpe import encode, tokenizer_path
+from knotwork.llm.decontaminate import contained
+from knotwork.llm.minmax_dedup import near_duplicates
+from knotwork.llm.substring_dedup import remove_repeats
+from knotwork.llm.toxicity import THRESHOLD, Model
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold stay."""
+    scored = Model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).score(docs)
+    return scored.where(F.col("score") < THRESHOLD).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each group stays; of repeated rows one. Rows without an id stay."""
+    kept = near_duplicates(docs, 5).where("kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the passages that repeat; all documents stay."""
+    got = remove_repeats(docs)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return got.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    found = contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
+    return encode(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontaminate", decontaminate),
+    ("bpe", bpe),
+]
 
-STAGES = []
+#: Trees, min-max hashes and byte-pair merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = W.documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = W.stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -36,6 +36,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 
@@ -213,11 +214,12 @@ def same_row(a: DataFrame, b: DataFrame):
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_words, n_removed) per row; text: the kept words joined by one space."""
-    docs = W.id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    spans = repeats(docs, window, gram)
-    rows = docs.join(spans, same_row(docs, spans), "left").select(docs["doc_id"], "text", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
-    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
+    """(row, text, n_words, n_removed) per row; row: all other columns, text: the kept words joined by one space."""
+    named = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), named)
+    whole = whole.withColumn("text_key", F.xxhash64("text"))
+    spans = repeats(whole.select("doc_id", "text", "text_key"), window, gram)
+    rows = whole.join(spans, same_row(whole, spans), "left").select("row", "text", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
 
     def run(batches):
         for batch in batches:
@@ -236,12 +238,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
                         words = [words[i] for i in np.flatnonzero(keep).tolist()]
                     n_removed.append(n_words[-1] - len(words))
                     texts.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], schema=out)
+                columns = [part["row"], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_words", "n_removed"])
 
-    return rows.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
+    schema = T.StructType([whole.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to repeated passages of 35 words, and a digest of what it keeps."""
-    got = remove_repeats(W.documents(spark, sf_dir))
-    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    got = remove_repeats(W.documents(spark, sf_dir).select("doc_id", "text"))
+    return got.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -32,6 +32,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 
@@ -187,9 +188,7 @@ class Model:
                     lists = pa.ListArray.from_arrays(np.arange(0, values.size + 1, len(NAMES), dtype=np.int32), pa.array(values.ravel()))
                     yield pa.RecordBatch.from_arrays([batch["row"].slice(a, b - a), lists], names=["row", "features"])
 
-        from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
-
-        return whole.mapInArrow(run, StructType([StructField("row", whole.schema["row"].dataType), StructField("features", ArrayType(DoubleType()))]))
+        return whole.mapInArrow(run, T.StructType([whole.schema["row"], T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
     def margins(self, rows: DataFrame) -> DataFrame:
         scored = self.trees.transform(rows)
