@@ -4,16 +4,634 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import limits as L
+from .functions import identity, text
+from .operators import audit, filters, graph, merge, validate, workflow
+from .operators import search as S
+from .plans.sample_graph import sample, table
+from .plans.search import search
+from .streaming import hub
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Common table expressions of the SQL side, in the order they build on each other.
+KEY = "lower(trim(regexp_replace(name, '\\s+', ' ', 'g')))"
+N = f"""files AS (SELECT unnest(range(4)) AS f), n0 AS (
+SELECT 'f' || f AS file, p_partkey AS pos, 'part:' || p_partkey AS local_id, 'Part' AS label, p_name AS name FROM part, files
+UNION ALL SELECT 'f' || f, 100000000 + s_suppkey, 'supplier:' || s_suppkey, 'Supplier', s_name FROM supplier, files
+UNION ALL SELECT 'f0', 200000000 + n_nationkey, 'nation:' || n_nationkey, 'Nation', n_name FROM nation
+UNION ALL SELECT 'f0', 300000000 + r_regionkey, 'region:' || r_regionkey, 'Region', r_name FROM region
+UNION ALL SELECT 'f0', 400000000 + c_custkey, 'customer:' || c_custkey, 'Customer', c_name FROM customer),
+n AS (SELECT *, {KEY} AS name_key, 'n_' || substr(sha256(label || chr(31) || {KEY}), 1, 16) AS kgid FROM n0)"""
+P = f"""{N}, pr AS (
+SELECT 'f' || f AS file, p_partkey AS pos, 'Part' AS label, p_name AS name, prop, value FROM (SELECT *, unnest(['brand', 'type', 'size']) AS prop, unnest(['"' || p_brand || '"', '"' || p_type || '"', p_size::VARCHAR]) AS value FROM part), files
+UNION ALL SELECT 'f' || f, 100000000 + s_suppkey, 'Supplier', s_name, 'nation', s_nationkey::VARCHAR FROM supplier, files
+UNION ALL SELECT 'f0', 200000000 + n_nationkey, 'Nation', n_name, 'region', n_regionkey::VARCHAR FROM nation
+UNION ALL SELECT 'f0', 400000000 + c_custkey, 'Customer', c_name, 'segment', '"' || c_mktsegment || '"' FROM customer),
+p AS (SELECT file, pos, label, {KEY} AS name_key, prop, value FROM pr)"""
+R = f"""{N}, r AS (
+SELECT 'f' || (l_orderkey % 4) AS file, l_orderkey * 100 + l_linenumber AS pos, 'SUPPLIES' AS type, 'supplier:' || l_suppkey AS start_id, 'part:' || l_partkey AS end_id, l_orderkey::VARCHAR AS value FROM lineitem
+UNION ALL SELECT 'f0', s_suppkey, 'IN_NATION', 'supplier:' || s_suppkey, 'nation:' || s_nationkey, NULL FROM supplier
+UNION ALL SELECT 'f0', c_custkey, 'IN_NATION', 'customer:' || c_custkey, 'nation:' || c_nationkey, NULL FROM customer
+UNION ALL SELECT 'f0', n_nationkey, 'IN_REGION', 'nation:' || n_nationkey, 'region:' || n_regionkey, NULL FROM nation),
+lk AS (SELECT r.*, a.kgid AS from_kgid, b.kgid AS to_kgid, 'r_' || substr(sha256(a.kgid || chr(31) || type || chr(31) || b.kgid), 1, 16) AS kgid
+  FROM r JOIN n a ON a.file = r.file AND a.local_id = r.start_id JOIN n b ON b.file = r.file AND b.local_id = r.end_id)"""
+GN = "gn AS (SELECT kgid, label, name_key, arg_min(name, (file, pos)) AS name FROM n GROUP BY kgid, label, name_key)"
+GR = "gr AS (SELECT kgid, type, from_kgid, to_kgid, count(*) AS occurrences FROM lk GROUP BY ALL)"
+KW = """kw(search_id, kw_pos, keyword) AS (VALUES ('s1', 0, 'blue ring'), ('s1', 1, 'NATION_7'), ('s1', 2, ' ring '), ('s1', 3, 'zzzz'),
+('s2', 0, 'supplier#000000001'), ('s2', 1, 'upplier#00000000'), ('s2', 2, 'old rod in gear'), ('s3', 0, 'eur'), ('s3', 1, 'new'))"""
+KEYED = f"{KW}, k AS (SELECT *, lower(trim(regexp_replace(keyword, '\\s+', ' ', 'g'))) AS kw_key FROM kw)"
+STOP = ", ".join(f"'{w}'" for w in S.STOP)
+
+
+def _tok(x: str) -> str:
+    return f"list_filter(regexp_extract_all({x}, '[0-9a-z\\p{{L}}]+(?:·[0-9a-z\\p{{L}}]+)*'), lambda w: w NOT IN ({STOP}))"
+
+
+T1 = f"""t1 AS (SELECT * FROM (SELECT search_id, kw_pos, kgid, label, name, name_key, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY search_id, kw_pos ORDER BY name_key, kgid) AS rank FROM k JOIN gn ON kw_key = name_key) WHERE rank <= 5)"""
+T2 = f"""dt AS (SELECT kgid, len(t) AS dl, unnest(t) AS token FROM (SELECT kgid, {_tok("name_key")} AS t FROM gn)),
+po AS (SELECT token, kgid, count(*) AS tf, max(dl) AS dl FROM dt GROUP BY token, kgid),
+co AS (SELECT count(*) AS n_docs, avg(len({_tok("name_key")})) AS avgdl FROM gn),
+ak AS (SELECT DISTINCT search_id, kw_pos, unnest({_tok("kw_key")}) AS token FROM k),
+df AS (SELECT token, count(*) AS df FROM po GROUP BY token),
+sc AS (SELECT search_id, kw_pos, kgid, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)))), 9) AS score FROM ak JOIN po USING (token) JOIN df USING (token), co GROUP BY search_id, kw_pos, kgid),
+b5 AS (SELECT *, max(score) OVER (PARTITION BY search_id, kw_pos) AS top FROM (SELECT sc.*, label, name, name_key, row_number() OVER (PARTITION BY search_id, kw_pos ORDER BY score DESC, name_key, kgid) AS rank FROM sc JOIN gn USING (kgid)) WHERE rank <= 5),
+t2 AS (SELECT search_id, kw_pos, kgid, label, name, name_key, score, rank, score >= 0.5 * top AS kept, round(score / top, 4) AS ratio FROM b5)"""
+T3 = """t3 AS (SELECT * FROM (SELECT search_id, kw_pos, kgid, label, name, name_key, 0.5::DOUBLE AS score, row_number() OVER (PARTITION BY search_id, kw_pos ORDER BY name_key, kgid) AS rank
+  FROM k JOIN gn ON contains(name_key, kw_key) OR (length(kw_key) >= 4 AND contains(kw_key, name_key)) WHERE kw_key <> '') WHERE rank <= 5)"""
+WF = f"""{N}, {GN}, {KEYED}, {T1}, {T2}, {T3}, wf AS (
+SELECT search_id, kw_pos, kgid, label, name, name_key, score, rank, 'T1' AS tier FROM t1
+UNION ALL SELECT search_id, kw_pos, kgid, label, name, name_key, score, rank, 'T2' FROM t2 WHERE kept AND (search_id, kw_pos) NOT IN (SELECT (search_id, kw_pos) FROM t1)
+UNION ALL SELECT search_id, kw_pos, kgid, label, name, name_key, score, rank, 'T3' FROM t3 WHERE (search_id, kw_pos) NOT IN (SELECT (search_id, kw_pos) FROM t1) AND (search_id, kw_pos) NOT IN (SELECT (search_id, kw_pos) FROM t2 WHERE kept))"""
+
+
+def _keywords(spark: SparkSession) -> DataFrame:
+    rows = [("s1", 0, "blue ring"), ("s1", 1, "NATION_7"), ("s1", 2, " ring "), ("s1", 3, "zzzz"), ("s2", 0, "supplier#000000001"), ("s2", 1, "upplier#00000000"), ("s2", 2, "old rod in gear"), ("s3", 0, "eur"), ("s3", 1, "new")]
+    rows = [(*r, None) for r in rows]
+    return S.with_keys(spark.createDataFrame(rows, "search_id string, kw_pos int, keyword string, question string"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Rebuild the graph, search ``blue ring`` within one hop: layer-1 nodes."""
+    nodes, rels = sample(spark, sf_dir).stored()
+    asked = spark.createDataFrame([("s", 0, "blue ring", None)], "search_id string, kw_pos int, keyword string, question string")
+    return search(asked, nodes, rels).nodes
+
+
+# --- merge -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {N} SELECT label, name_key, arg_min(name, (file, pos)) AS name, count(DISTINCT file) AS n_files FROM n GROUP BY label, name_key")
+def node_merge(spark, sf_dir):
+    return sample(spark, sf_dir).graph_nodes.select("label", "name_key", "name", F.size("reviewed_files").cast("long").alias("n_files"))
+
+
+@query(f"WITH {N} SELECT DISTINCT label, name_key, kgid FROM n")
+def kgid_nodes(spark, sf_dir):
+    return sample(spark, sf_dir).keyed.select("label", "name_key", "kgid").distinct()
+
+
+@query(f"WITH {P} SELECT label, name_key, prop, arg_min(value, (file, pos)) AS value FROM p GROUP BY label, name_key, prop")
+def node_props_first_wins(spark, sf_dir):
+    return merge.first_values(sample(spark, sf_dir).keyed, "label", "name_key")
+
+
+@query(f"WITH {P} SELECT label, name_key, prop, value, array_to_string(list_sort(list(DISTINCT file)), ',') AS files FROM p GROUP BY label, name_key, prop, value")
+def prop_observations(spark, sf_dir):
+    return merge.observations(sample(spark, sf_dir).keyed).withColumn("files", F.array_join("files", ","))
+
+
+@query(f"WITH {P} SELECT label, name_key, prop, count(DISTINCT value) AS n_values FROM p GROUP BY label, name_key, prop HAVING count(DISTINCT value) > 1")
+def prop_conflicts(spark, sf_dir):
+    return merge.conflicts(merge.observations(sample(spark, sf_dir).keyed)).drop("vals")
+
+
+OV = [("Part", "blue ring", "brand", '"Brand#1"'), ("Part", "blue ring", "brand2", '"x"'), ("Part", "no such part", "brand", '"x"'), ("Part", "red rod", "size", "7"), ("Part", "red rod", "type", '"NEVER"')]
+OV_SQL = "ov(label, name_key, prop, value) AS (VALUES " + ", ".join("('{}', '{}', '{}', '{}')".format(*o) for o in OV) + ")"
+
+
+def _judged(spark, sf_dir):
+    g = sample(spark, sf_dir)
+    rows = spark.createDataFrame(OV, "label string, name_key string, prop string, value string")
+    return merge.judge_overrides(rows, g.graph_nodes, merge.observations(g.keyed)), g
+
+
+JUDGED = f"""{OV_SQL}, jd AS (SELECT ov.*, CASE WHEN NOT EXISTS (SELECT 1 FROM n WHERE n.label = ov.label AND n.name_key = ov.name_key) THEN 'no_node'
+WHEN NOT EXISTS (SELECT 1 FROM p WHERE p.label = ov.label AND p.name_key = ov.name_key AND p.prop = ov.prop) THEN 'no_property'
+WHEN NOT EXISTS (SELECT 1 FROM p WHERE p.label = ov.label AND p.name_key = ov.name_key AND p.prop = ov.prop AND p.value = ov.value) THEN 'value_not_observed' ELSE 'applied' END AS outcome FROM ov)"""
+
+
+@query(f"WITH {P}, {JUDGED} SELECT * FROM jd WHERE outcome <> 'applied'")
+def prop_overrides_unapplied(spark, sf_dir):
+    return _judged(spark, sf_dir)[0].where("outcome <> 'applied'")
+
+
+@query(f"""WITH {P}, {JUDGED}, fw AS (SELECT label, name_key, prop, arg_min(value, (file, pos)) AS value FROM p GROUP BY label, name_key, prop)
+SELECT fw.label, fw.name_key, fw.prop, coalesce(jd.value, fw.value) AS value FROM fw LEFT JOIN jd ON jd.label = fw.label AND jd.name_key = fw.name_key AND jd.prop = fw.prop AND outcome = 'applied'""")
+def prop_overrides_applied(spark, sf_dir):
+    judged, g = _judged(spark, sf_dir)
+    return merge.apply_overrides(merge.first_values(g.keyed, "label", "name_key"), judged)
+
+
+CANON = [("Part", "blue ring", "Part", "Old Ring"), ("Part", "blue ring", "Part", "new  ring"), ("Region", "NOWHERE", "Nation", "nation_3")]
+
+
+@query(f"""WITH {N}, cd(cl, cn, label, name_key) AS (VALUES ('Part', 'blue ring', 'Part', 'old ring'), ('Part', 'blue ring', 'Part', 'new ring'), ('Region', 'NOWHERE', 'Nation', 'nation_3'))
+SELECT coalesce(cl, label) AS label, lower(coalesce(cn, name)) AS name_key, count(*) AS n, count(cl) AS n_changed FROM n LEFT JOIN cd USING (label, name_key) GROUP BY ALL""")
+def canonicalize_entities(spark, sf_dir):
+    entries = spark.createDataFrame(CANON, "canonical_label string, canonical_name string, label string, name string")
+    keyed = sample(spark, sf_dir, F.broadcast(merge.dictionary_index(entries))).keyed
+    return keyed.groupBy("label", "name_key").agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"))
+
+
+@query(f"WITH {R} SELECT type, from_kgid, to_kgid, kgid, count(*) AS occurrences FROM lk GROUP BY ALL")
+def rel_merge_dedupe(spark, sf_dir):
+    return sample(spark, sf_dir).graph_rels.select("type", "from_kgid", "to_kgid", "kgid", "occurrences")
+
+
+@query(f"WITH {R} SELECT kgid, arg_min(value, (file, pos)) AS first_order FROM lk WHERE value IS NOT NULL GROUP BY kgid")
+def rel_props_first_wins(spark, sf_dir):
+    return merge.first_values(sample(spark, sf_dir).linked, "kgid").select("kgid", F.col("value").alias("first_order"))
+
+
+@query(f"WITH {R} SELECT kgid, array_to_string(list_sort(list(DISTINCT file || '.md')), ',') AS input_files FROM lk GROUP BY kgid")
+def provenance_sets(spark, sf_dir):
+    return sample(spark, sf_dir).graph_rels.select("kgid", F.array_join("input_files", ",").alias("input_files"))
+
+
+@query(f"""WITH {R}, {GN}, {GR} SELECT (SELECT count(DISTINCT file) FROM n) AS files, (SELECT count(*) FROM gn) AS nodes, (SELECT count(*) FROM gr) AS rels,
+(SELECT count(*) FROM n) - (SELECT count(*) FROM gn) AS merged, 0::BIGINT AS canonicalized""")
+def merge_summary(spark, sf_dir):
+    g = sample(spark, sf_dir)
+    return merge.summary(g.graph_nodes, g.keyed, g.graph_nodes, g.graph_rels)
+
+
+# Names of different lengths come from cutting some part names short.
+SHORT = "gs AS (SELECT DISTINCT label, CASE WHEN kgid > 'n_c' AND label IN ('Part', 'Nation') THEN substr(name_key, 1, length(name_key) - 1 - length(name_key) % 7) ELSE name_key END AS name_key FROM gn)"
+
+
+@query(f"""WITH {N}, {GN}, {SHORT} SELECT a.label, a.name_key AS a_key, b.name_key AS b_key FROM gs a JOIN gs b ON a.label = b.label AND a.name_key <> '' AND (length(a.name_key), a.name_key) < (length(b.name_key), b.name_key) AND contains(b.name_key, a.name_key)""")
+def similar_name_pairs(spark, sf_dir):
+    nodes = sample(spark, sf_dir).graph_nodes
+    n = F.length("name_key")
+    cut = F.when((F.col("kgid") > "n_c") & F.col("label").isin("Part", "Nation"), F.substring(F.col("name_key"), F.lit(1), n - 1 - F.pmod(n, F.lit(7)))).otherwise(F.col("name_key"))
+    return merge.similar_names(nodes.select("label", cut.alias("name_key")).distinct())
+
+
+# --- validation --------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {R}, m AS (SELECT file, local_id FROM n WHERE pos % 10 <> 0) SELECT file, pos::VARCHAR AS place, 'dangling_end' AS code FROM (SELECT file, pos, unnest([start_id, end_id]) AS local_id FROM r) ANTI JOIN m USING (file, local_id)")
+def validate_dangling(spark, sf_dir):
+    g = sample(spark, sf_dir)
+    return validate.dangling(g.nodes.where("pos % 10 <> 0"), g.rels)
+
+
+@query("SELECT 'x' AS file, l_orderkey || ':' || l_linenumber AS place, 'duplicate_id' AS code FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def validate_duplicate_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("x").alias("file"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"))
+    return validate.duplicate_ids(rows, "id")
+
+
+@query("SELECT DISTINCT 'label' AS kind, 'T' || c_mktsegment AS name FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') UNION SELECT 'type', 'E_' || event_type FROM events WHERE event_type <> 'click'")
+def new_types(spark, sf_dir):
+    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("T"), "c_mktsegment").alias("label"))
+    rels = table(spark, sf_dir, "events").select(F.concat(F.lit("E_"), "event_type").alias("type"))
+    known = spark.createDataFrame([("label", "TBUILDING"), ("label", "TMACHINERY"), ("type", "E_click")], "kind string, name string")
+    return validate.new_types(nodes, rels, known)
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'scalar' WHEN 1 THEN 'array' WHEN 2 THEN 'null_element' WHEN 3 THEN 'mixed' ELSE 'object' END AS kind FROM events) GROUP BY kind""")
+def prop_type_gate(spark, sf_dir):
+    n = F.pmod("event_id", F.lit(5))
+    made = F.when(n == 0, F.col("value").cast("string")).when(n == 1, F.concat(F.lit('["a", "'), "event_type", F.lit('"]'))).when(n == 2, F.lit("[1, null]")).when(n == 3, F.concat(F.lit('["'), "event_type", F.lit('", 2]'))).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select(validate.value_kind(made).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'v' || event_id % 7 AS place, count(*) AS n FROM events WHERE event_id % 7 IN (0, 3) GROUP BY 1")
+def naming_gate(spark, sf_dir):
+    labels = F.element_at(F.array(*(F.lit(x) for x in ("person", "Person", "Work", "A-B", "P1", "Ab", "Film"))), (F.pmod("event_id", F.lit(7)) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", labels.alias("label"))
+    return rows.where(~F.col("label").rlike(L.LABEL_RULE)).groupBy(F.concat(F.lit("v"), F.pmod("event_id", F.lit(7))).alias("place")).agg(F.count("*").alias("n"))
+
+
+# --- search ------------------------------------------------------------------------------------------------
+
+COLS = ["search_id", "kw_pos", "kgid", "name", F.col("rank").cast("long").alias("rank")]
+
+
+@query(f"WITH {N}, {GN}, {KEYED}, {T1} SELECT search_id, kw_pos, kgid, name, rank FROM t1")
+def search_t1(spark, sf_dir):
+    return S.exact(_keywords(spark), sample(spark, sf_dir).graph_nodes).select(*COLS)
+
+
+@query(f"WITH {N}, {GN}, {KEYED}, {T2} SELECT search_id, kw_pos, kgid, name, rank, round(score, 6) AS score FROM t2")
+def search_t2_bm25(spark, sf_dir):
+    nodes, _ = sample(spark, sf_dir).stored()
+    return S.floored(S.bm25(_keywords(spark), nodes, S.build_index(nodes))).select(*COLS, F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {N}, {GN}, {KEYED}, {T2} SELECT search_id, kw_pos, kgid, ratio FROM t2 WHERE NOT kept")
+def t2_floor_cuts(spark, sf_dir):
+    nodes, _ = sample(spark, sf_dir).stored()
+    return S.floored(S.bm25(_keywords(spark), nodes, S.build_index(nodes))).where("not kept").select("search_id", "kw_pos", "kgid", "ratio")
+
+
+@query(f"WITH {N}, {GN}, {KEYED}, {T3} SELECT search_id, kw_pos, kgid, name, rank FROM t3")
+def search_t3_contains(spark, sf_dir):
+    return S.containing(_keywords(spark), sample(spark, sf_dir).graph_nodes).select(*COLS)
+
+
+@query(f"WITH {WF} SELECT search_id, kw_pos, kgid, name, rank, tier FROM wf")
+def search_waterfall(spark, sf_dir):
+    nodes, _ = sample(spark, sf_dir).stored()
+    return S.waterfall(_keywords(spark), nodes, S.build_index(nodes)).select(*COLS, "tier")
+
+
+@query(f"WITH {WF} SELECT search_id, kw_pos, keyword FROM kw WHERE (search_id, kw_pos) NOT IN (SELECT (search_id, kw_pos) FROM wf)")
+def search_unmatched(spark, sf_dir):
+    nodes, _ = sample(spark, sf_dir).stored()
+    asked = _keywords(spark)
+    return S.unmatched(asked, S.seeds(asked, nodes, S.build_index(nodes)))
+
+
+CAP = "cap AS (SELECT * FROM wf WHERE (search_id, kgid) IN (SELECT (search_id, kgid) FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY score DESC, kw_pos, rank) AS g FROM wf) WHERE g <= 4))"
+
+
+@query(f"WITH {WF}, {CAP} SELECT search_id, kw_pos, kgid, tier FROM cap")
+def seed_global_cap(spark, sf_dir):
+    nodes, _ = sample(spark, sf_dir).stored()
+    return S.capped(S.seeds(_keywords(spark), nodes, S.build_index(nodes)), 4).select("search_id", "kw_pos", "kgid", "tier")
+
+
+LOC = "nx AS (SELECT DISTINCT kgid, label, name_key FROM n), wy AS (SELECT from_kgid AS fr, to_kgid AS o, kgid FROM gr UNION ALL SELECT to_kgid, from_kgid, kgid FROM gr WHERE from_kgid <> to_kgid)"
+H1 = "h0 AS (SELECT kgid FROM nx WHERE label = 'Nation' AND name_key IN ('nation_3', 'nation_8')), e1 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h0) ORDER BY kgid, fr LIMIT 60), h1 AS (SELECT DISTINCT o AS kgid FROM e1 WHERE o NOT IN (SELECT kgid FROM h0))"
+H2 = "e2 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h1) ORDER BY kgid, fr LIMIT 60), h2 AS (SELECT DISTINCT o AS kgid FROM e2 WHERE o NOT IN (SELECT kgid FROM h0) AND o NOT IN (SELECT kgid FROM h1))"
+
+
+def _hops(spark, sf_dir, k):
+    nodes, rels = sample(spark, sf_dir).stored()
+    start = nodes.where("label = 'Nation' and name_key in ('nation_3', 'nation_8')").select(F.lit("s").alias("search_id"), "kgid")
+    return S.hops(start, rels, k, 60)[0].select("kgid", F.col("hop").cast("long").alias("hop"))
+
+
+@query(f"WITH {R}, {GR}, {LOC}, {H1} SELECT kgid, 0::BIGINT AS hop FROM h0 UNION ALL SELECT kgid, 1 FROM h1")
+def khop_1(spark, sf_dir):
+    return _hops(spark, sf_dir, 1)
+
+
+@query(f"WITH {R}, {GR}, {LOC}, {H1}, {H2} SELECT kgid, 0::BIGINT AS hop FROM h0 UNION ALL SELECT kgid, 1 FROM h1 UNION ALL SELECT kgid, 2 FROM h2")
+def khop_2(spark, sf_dir):
+    return _hops(spark, sf_dir, 2)
+
+
+# Paths over the tree of customers, nations and regions, where each is the only one.
+TREE = "tr AS (SELECT * FROM gr WHERE type <> 'SUPPLIES'), tw AS (SELECT from_kgid AS fr, to_kgid AS o, kgid FROM tr UNION ALL SELECT to_kgid, from_kgid, kgid FROM tr)"
+ENDS = [("supplier#000000000", "supplier#000000001"), ("nation_1", "nation_6"), ("customer#000000001", "nation_19"), ("customer#000000000", "nation_7"), ("nation_0", "nation_1")]
+
+
+@query(f"""WITH RECURSIVE {R}, {GR}, {TREE}, pe(pair, a_key, b_key) AS (VALUES {", ".join(f"({i + 1}, '{a}', '{b}')" for i, (a, b) in enumerate(ENDS))}),
+pp AS (SELECT pair, a.kgid AS a, b.kgid AS b FROM pe JOIN (SELECT DISTINCT kgid, name_key FROM n) a ON a.name_key = a_key JOIN (SELECT DISTINCT kgid, name_key FROM n) b ON b.name_key = b_key),
+w AS (SELECT pair, a AS fr, b, 0 AS length, [a] AS path FROM pp UNION ALL SELECT pair, o, b, length + 1, list_append(path, o) FROM w JOIN tw USING (fr) WHERE length < 4 AND NOT list_contains(path, o))
+SELECT pair, length::BIGINT AS length, array_to_string(path, '>') AS path FROM w WHERE fr = b QUALIFY row_number() OVER (PARTITION BY pair ORDER BY length, path) = 1""")
+def shortest_path_pairs(spark, sf_dir):
+    g = sample(spark, sf_dir)
+    ids = g.graph_nodes.select("kgid", "name_key")
+    ends = spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(ENDS)], "pair int, a_key string, b_key string")
+    pairs = ends.join(ids.withColumnsRenamed({"kgid": "a", "name_key": "a_key"}), "a_key").join(ids.withColumnsRenamed({"kgid": "b", "name_key": "b_key"}), "b_key").select(F.lit("s").alias("search_id"), "pair", "a", "b")
+    found = S.shortest_paths(pairs, g.graph_rels.where("type <> 'SUPPLIES'"))
+    return found.select("pair", F.col("length").cast("long").alias("length"), F.array_join("nodes", ">").alias("path"))
+
+
+@query()
+def layer1_nodes(spark, sf_dir):
+    nodes, rels = sample(spark, sf_dir).stored()
+    return search(_keywords(spark).drop("kw_key"), nodes, rels, hops=2).nodes
+
+
+@query()
+def layer1_rels(spark, sf_dir):
+    nodes, rels = sample(spark, sf_dir).stored()
+    return search(_keywords(spark).drop("kw_key"), nodes, rels).rels
+
+
+@query(f"""WITH {P}, f AS (SELECT kgid, prop, arg_min(value, (p.file, p.pos)) AS value FROM p JOIN (SELECT DISTINCT kgid, label, name_key FROM n) USING (label, name_key) GROUP BY kgid, prop)
+SELECT kgid AS id, string_agg(prop || '=' || left(trim(value, '"'), 6), ';' ORDER BY prop) AS facts FROM f GROUP BY kgid""")
+def node_facts(spark, sf_dir):
+    keyed = sample(spark, sf_dir).keyed
+    nodes = merge.as_map(merge.first_values(keyed, "kgid"), "kgid").withColumnRenamed("kgid", "id")
+    shown = filters.node_facts(nodes, chars=6)
+    return shown.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("facts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("facts"))
+
+
+@query("""WITH al AS (SELECT 'n' || s_suppkey AS alias, 'node' AS kind, 'k' || s_suppkey AS kgid FROM supplier UNION ALL SELECT 'r' || s_suppkey, 'rel', 'q' || s_suppkey FROM supplier),
+ci AS (SELECT DISTINCT 's' || c_custkey % 40 AS search_id, CASE c_custkey % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'r' ELSE 'x' END || c_custkey AS alias FROM customer WHERE c_custkey < 300)
+SELECT search_id, count(*) AS submitted, count(kgid) AS accepted, CASE WHEN count(kgid) = 0 THEN 'none' WHEN count(kgid) < count(*) THEN 'partial' ELSE 'verified' END AS status, count(*) > 0.5 * 12 AS dense FROM ci LEFT JOIN al USING (alias) GROUP BY search_id""")
+def citation_verify(spark, sf_dir):
+    of = table(spark, sf_dir, "supplier").select(F.explode(F.sequence(F.lit(0), F.lit(39))).alias("s"), "s_suppkey")
+    search_id = F.concat(F.lit("s"), "s").alias("search_id")
+    nodes = of.select(search_id, F.concat(F.lit("n"), "s_suppkey").alias("alias"), F.lit("node").alias("kind"), F.concat(F.lit("k"), "s_suppkey").alias("kgid"), F.lit(None).cast("string").alias("from_kgid"), F.lit(None).cast("string").alias("to_kgid"))
+    rels = of.select(search_id, F.concat(F.lit("r"), "s_suppkey").alias("alias"), F.lit("rel").alias("kind"), F.concat(F.lit("q"), "s_suppkey").alias("kgid"), F.concat(F.lit("k"), "s_suppkey").alias("from_kgid"), F.lit("k0").alias("to_kgid"))
+    n = F.pmod("c_custkey", F.lit(3))
+    cited = table(spark, sf_dir, "customer").where("c_custkey < 300").select(F.concat(F.lit("s"), F.pmod("c_custkey", F.lit(40))).alias("search_id"), F.concat(F.when(n == 0, "n").when(n == 1, "r").otherwise("x"), "c_custkey").alias("alias"))
+    sizes = of.select(search_id, F.lit(12).alias("total")).distinct()
+    return S.citation_status(S.verify_citations(cited, nodes.unionByName(rels)), sizes)
+
+
+# --- graph analytics ---------------------------------------------------------------------------------------
+
+# A graph with cycles of many sizes: each customer points to another of its nation.
+CY = "ed AS (SELECT c_custkey AS src, (c_custkey * 7 + 3) % 60 + 60 * (c_custkey // 60) AS dst FROM customer WHERE c_custkey < 600), no AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 600), e AS (SELECT ed.* FROM ed JOIN no ON dst = id)"
+REACH = "re AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM re JOIN e ON b = src)"
+SCC = "sc AS (SELECT id, least(id, coalesce(min(x.b), id)) AS component FROM no LEFT JOIN (SELECT p.a, p.b FROM re p JOIN re q ON p.a = q.b AND p.b = q.a) x ON x.a = id GROUP BY id)"
+
+
+def _cycles(spark, sf_dir):
+    nodes = table(spark, sf_dir, "customer").where("c_custkey < 600").select(F.col("c_custkey").alias("id"))
+    edges = nodes.select(F.col("id").alias("src"), (F.pmod(F.col("id") * 7 + 3, F.lit(60)) + 60 * F.floor(F.col("id") / 60)).alias("dst"))
+    return nodes, edges.join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+@query(f"WITH RECURSIVE {CY}, {REACH}, {SCC} SELECT id, component FROM sc")
+def scc(spark, sf_dir):
+    return graph.strong_components(*_cycles(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {CY}, {REACH}, {SCC} SELECT src, dst FROM e JOIN sc a ON a.id = src JOIN sc b ON b.id = dst WHERE a.component = b.component")
+def dag_cycle_edges(spark, sf_dir):
+    nodes, edges = _cycles(spark, sf_dir)
+    return graph.cyclic_edges(edges, graph.strong_components(nodes, edges)).select("src", "dst")
+
+
+@query(f"""WITH RECURSIVE {CY}, {REACH}, {SCC}, cy AS (SELECT src, dst FROM e JOIN sc a ON a.id = src JOIN sc b ON b.id = dst WHERE a.component = b.component)
+SELECT (SELECT count(*) FROM cy) = 0 AS is_dag, (SELECT count(*) FROM cy) AS cyclic_edges, (SELECT count(*) FROM cy WHERE src = dst) AS self_loops, (SELECT count(*) FROM (SELECT component FROM sc GROUP BY 1 HAVING count(*) > 1)) AS cyclic_components""")
+def dag_summary(spark, sf_dir):
+    nodes, edges = _cycles(spark, sf_dir)
+    return graph.analyze_dag(nodes, edges, graph.strong_components(nodes, edges))
+
+
+# An acyclic one: each order points to orders of a smaller key.
+DG = "ed AS (SELECT o_orderkey AS src, o_orderkey // 2 AS dst FROM orders WHERE o_orderkey BETWEEN 1 AND 2000 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey BETWEEN 1 AND 2000), no AS (SELECT DISTINCT unnest([src, dst]) AS id FROM ed)"
+
+
+@query(f"WITH RECURSIVE {DG}, wk AS (SELECT id, 0::BIGINT AS depth FROM no UNION SELECT dst, depth + 1 FROM wk JOIN ed ON src = id) SELECT id, max(depth) AS depth FROM wk GROUP BY id")
+def dag_depth(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").where("o_orderkey between 1 and 2000")
+    edges = keys.select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 2).alias("dst")).unionByName(keys.select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 3).alias("dst"))).distinct()
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return graph.dag_depth(nodes, edges)
+
+
+def _edges(spark, sf_dir):
+    return sample(spark, sf_dir).graph_rels.select(F.col("kgid").alias("id"), "type", F.col("from_kgid").alias("src"), F.col("to_kgid").alias("dst"))
+
+
+@query(f"WITH {R}, {GR} SELECT id, count(*) AS degree FROM (SELECT from_kgid AS id FROM gr UNION ALL SELECT to_kgid FROM gr) GROUP BY id ORDER BY degree DESC, id LIMIT 1")
+def highest_degree(spark, sf_dir):
+    return graph.highest_degree(_edges(spark, sf_dir))
+
+
+@query(f"WITH {R}, {GR}, b AS (SELECT from_kgid AS id, to_kgid AS o FROM gr UNION ALL SELECT to_kgid, from_kgid FROM gr) SELECT id, count(DISTINCT o) AS n_neighbours, count(*) AS links FROM b GROUP BY id")
+def neighbors(spark, sf_dir):
+    return graph.neighbours(_edges(spark, sf_dir)).select("id", F.size("neighbours").cast("long").alias("n_neighbours"), "links")
+
+
+@query(f"""WITH {R}, {GR}, c AS (SELECT DISTINCT kgid AS id FROM n WHERE label = 'Nation' AND name_key < 'nation_15'), s AS (SELECT id FROM c UNION SELECT to_kgid FROM gr WHERE from_kgid IN (FROM c) UNION SELECT from_kgid FROM gr WHERE to_kgid IN (FROM c))
+SELECT kgid AS id FROM gr WHERE from_kgid IN (FROM s) AND to_kgid IN (FROM s)""")
+def expand_subset(spark, sf_dir):
+    nodes = sample(spark, sf_dir).graph_nodes.where("label = 'Nation' and name_key < 'nation_15'").select(F.col("kgid").alias("id"))
+    return graph.expanded(_edges(spark, sf_dir), nodes)[1].select("id")
+
+
+@query("""WITH e AS (SELECT event_id AS id, user_id % 12 AS src, event_id % 9 AS dst FROM events)
+SELECT id, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY least(src, dst), greatest(src, dst)) AS group_size, src = dst AS self_loop FROM e""")
+def parallel_edge_groups(spark, sf_dir):
+    edges = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.pmod("user_id", F.lit(12)).alias("src"), F.pmod("event_id", F.lit(9)).alias("dst"))
+    return graph.parallel_edges(edges).select("id", "place", "group_size", "self_loop")
+
+
+@query(f"WITH {R}, {GR} SELECT DISTINCT kgid AS id FROM n WHERE kgid IN (SELECT from_kgid FROM gr UNION SELECT to_kgid FROM gr)")
+def connected_only(spark, sf_dir):
+    nodes = sample(spark, sf_dir).graph_nodes.select(F.col("kgid").alias("id"))
+    return graph.connected_only(nodes, _edges(spark, sf_dir))
+
+
+L12 = "l1 AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 3 = 0), l2 AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 97 = 0 UNION SELECT 100000), nd AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 130)"
+
+
+def _layers(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    one = events.where("event_id % 3 = 0").select(F.col("user_id").alias("id")).distinct()
+    two = events.where("event_id % 97 = 0").select(F.col("user_id").alias("id")).union(spark.range(100000, 100001)).distinct()
+    return table(spark, sf_dir, "customer").where("c_custkey < 130").select(F.col("c_custkey").alias("id")), one, two
+
+
+@query(f"WITH {L12} SELECT id, CASE WHEN id IN (FROM l2) THEN 'layer2' WHEN id IN (FROM l1) THEN 'layer1' ELSE 'out' END AS state FROM nd")
+def highlight_state(spark, sf_dir):
+    return graph.highlight_states(*_layers(spark, sf_dir))
+
+
+@query(f"WITH {L12}, b AS (SELECT 'layer1' AS layer, id FROM l1 UNION ALL SELECT 'layer2', id FROM l2) SELECT layer, count(*) AS received, count(nd.id) AS matched, (SELECT count(*) FROM b JOIN nd USING (id)) > 0 AS active FROM b LEFT JOIN nd USING (id) GROUP BY layer")
+def highlight_nm(spark, sf_dir):
+    return graph.highlight_counts(*_layers(spark, sf_dir))
+
+
+@query(f"WITH {R}, {GN}, {GR} (SELECT 'label' AS kind, label AS name, count(*) AS n FROM gn GROUP BY label ORDER BY n DESC, name LIMIT 8) UNION ALL (SELECT 'type', type, count(*) AS n FROM gr GROUP BY type ORDER BY n DESC, type LIMIT 8)")
+def structure_summary(spark, sf_dir):
+    g = sample(spark, sf_dir)
+    return graph.structure_summary(g.graph_nodes, g.graph_rels)
+
+
+# --- filters and facets ------------------------------------------------------------------------------------
+
+FR = "fr AS (SELECT event_id AS id, event_type AS type, user_id % 50 AS s, event_id % 40 AS d, (event_id % 6)::VARCHAR AS level FROM events)"
+
+
+def _event_graph(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    rels = events.select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.pmod("user_id", F.lit(50)).alias("start_node_id"), F.pmod("event_id", F.lit(40)).alias("end_node_id"), F.create_map(F.lit("level"), F.pmod("event_id", F.lit(6)).cast("string")).alias("props"))
+    nodes = spark.range(60).select("id", F.lit("N").alias("label"), F.create_map(F.lit("name"), F.concat(F.lit('"u'), "id", F.lit('"'))).alias("props"))
+    return nodes, rels
+
+
+@query(f"WITH {FR}, k AS (SELECT * FROM fr WHERE type IN ('click', 'error') AND level = '3' AND d = 9) SELECT DISTINCT unnest([s, d]) AS id FROM k")
+def filtered_subgraph(spark, sf_dir):
+    nodes, rels = _event_graph(spark, sf_dir)
+    nodes, _ = filters.filtered_subgraph(nodes, rels.where("end_node_id = 9"), {"type": ["click", "error"], "level": lambda v: v == "3"})
+    return nodes.select("id")
+
+
+@query(f"WITH {FR} SELECT DISTINCT 'type' AS facet, type AS value FROM fr UNION ALL SELECT DISTINCT 'level', level FROM fr")
+def facets_relationship(spark, sf_dir):
+    return filters.facets(_event_graph(spark, sf_dir)[1], ["type", "level"])
+
+
+@query(f"WITH {P} SELECT DISTINCT prop AS facet, value FROM p")
+def facets_node(spark, sf_dir):
+    return filters.node_facets(sample(spark, sf_dir).nodes)
+
+
+# --- sources, collection, review ---------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
+b AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS k FROM a)
+SELECT page_id, lower(h) || CASE WHEN rtrim(p, '/') = '' THEN '/' ELSE rtrim(p, '/') END || CASE WHEN k = '' THEN '' ELSE '?' || k END AS url FROM b""")
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.normalize_url("url").alias("url"))
+
+
+@query("""WITH l AS (SELECT page_id, generate_subscripts(x, 1) AS pos, unnest(x) AS link FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS x FROM pages))
+SELECT page_id, link, min(pos) - 1 AS first_pos FROM l GROUP BY page_id, link""")
+def links_from_html(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.href_links(F.col("html"))).alias("pos", "link"))
+    return rows.groupBy("page_id", "link").agg(F.min("pos").cast("long").alias("first_pos"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS key, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(trim(text)) < 200 THEN 'low' ELSE 'ok' END AS quality FROM documents")
+def document_quality(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", identity.sha16(F.col("text")).alias("key"), text.quality(F.col("text")).alias("quality"))
+
+
+LED = "up AS (SELECT event_id AS seq, 'k' || user_id AS key, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'blocked' ELSE 'collected' END AS status, 'f' || user_id % 37 AS file, 'h' || event_id % 53 AS final_hash FROM events), ld AS (SELECT key, arg_max((seq, status, file, final_hash), seq) AS r FROM up GROUP BY key), lg AS (SELECT key, r[1] AS seq, r[2] AS status, r[3] AS file, r[4] AS final_hash FROM ld)"
+LED = LED.replace("arg_max((seq, status, file, final_hash), seq) AS r", "max(seq) AS seq, arg_max(status, seq) AS status, arg_max(file, seq) AS file, arg_max(final_hash, seq) AS final_hash").split(", lg AS")[0].replace("ld AS", "lg AS")
+
+
+def _updates(spark, sf_dir):
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("k"), "user_id").alias("key"), F.col("event_id").alias("seq"), F.when(kind == "error", "failed").when(kind == "signup", "blocked").otherwise("collected").alias("status"),
+        F.concat(F.lit("f"), F.pmod("user_id", F.lit(37))).alias("file"), F.concat(F.lit("h"), F.pmod("event_id", F.lit(53))).alias("final_hash"),
+    )
+
+
+@query(f"WITH {LED} SELECT key, seq, status, file, final_hash FROM lg")
+def ledger_latest(spark, sf_dir):
+    return workflow.ledger_latest(_updates(spark, sf_dir))
+
+
+@query(f"WITH {LED} SELECT key, CASE WHEN status = 'blocked' THEN 'skip_blocked' WHEN key < 'k3' THEN 'collect' WHEN status = 'collected' THEN 'skip' ELSE 'collect' END AS decision FROM lg")
+def ledger_skip(spark, sf_dir):
+    return workflow.ledger_latest(_updates(spark, sf_dir)).select("key", workflow.ledger_skip(F.col("status"), F.col("key") < "k3").alias("decision"))
+
+
+@query(f"""WITH {LED}, a AS (SELECT * FROM lg WHERE key IN ('k1', 'k2')), b AS (SELECT * FROM lg WHERE file IN (SELECT file FROM a)),
+c AS (SELECT * FROM lg WHERE final_hash IN (SELECT final_hash FROM b) OR key IN (SELECT key FROM b)) SELECT key FROM lg WHERE file IN (SELECT file FROM c) OR key IN (SELECT key FROM c)""")
+def twin_closure(spark, sf_dir):
+    return workflow.twins(workflow.ledger_latest(_updates(spark, sf_dir)), spark.createDataFrame([("k1",), ("k2",)], "key string"))
+
+
+@query("SELECT 'd' || doc_id AS stem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def pending_inputs(spark, sf_dir):
+    inputs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("stem"))
+    done = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "Reviewed").otherwise("Rejected").alias("folder"), F.concat(F.lit("d"), "doc_id").alias("stem"))
+    return workflow.pending_inputs(inputs, done)
+
+
+@query(f"WITH {LED}, rj AS (SELECT 'f' || user_id % 37 AS file, count(*) // 60 AS reject_count FROM events WHERE event_type = 'error' GROUP BY 1) SELECT 'f' || i AS file, coalesce(reject_count, 0)::BIGINT AS reject_count, coalesce(reject_count, 0) >= 3 AS held FROM (SELECT unnest(range(45)) AS i) LEFT JOIN rj ON rj.file = 'f' || i")
+def review_queue(spark, sf_dir):
+    rejected = table(spark, sf_dir, "events").where("event_type = 'error'").groupBy(F.concat(F.lit("f"), F.pmod("user_id", F.lit(37))).alias("file")).agg(F.floor(F.count("*") / 60).alias("reject_count"))
+    return workflow.review_queue(spark.range(45).select(F.concat(F.lit("f"), "id").alias("file")), rejected).select("file", "reject_count", "held")
+
+
+@query()
+def crawl_frontier(spark, sf_dir):
+    """Pages in breadth-first order: every page links to the ones of twice and thrice its number."""
+    pages = table(spark, sf_dir, "pages").select("page_id", text.normalize_url("url").alias("url")).withColumn("domain", text.registrable_domain("url"))
+    ids = pages.select("page_id", "url", "domain")
+    links = ids.select("page_id", F.col("url").alias("src"), F.posexplode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 1)).alias("pos", "to"))
+    links = links.join(ids.select(F.col("page_id").alias("to"), F.col("url").alias("dst"), F.col("domain").alias("dst_domain")), "to").select("src", F.col("pos").cast("long"), "dst", "dst_domain")
+    return workflow.crawl(pages.where("page_id < 8").select("url", "domain").dropDuplicates(["url"]), links)
+
+
+# --- hub, logs, statistics ---------------------------------------------------------------------------------
+
+TYPES = {"view": "graph.show", "purchase": "highlight.set", "signup": "graph.refresh", "click": "highlight.clear"}
+HUB = "lg AS (SELECT 'c' || user_id AS channel, event_id AS seq, ts, props AS payload, CASE event_type WHEN 'view' THEN 'graph.show' WHEN 'purchase' THEN 'highlight.set' WHEN 'signup' THEN 'graph.refresh' WHEN 'click' THEN 'highlight.clear' END AS type FROM events WHERE event_type <> 'error')"
+HELD = f"""{HUB}, st AS (SELECT channel, max(seq) FILTER (type = 'graph.show') AS sh, max(seq) FILTER (type = 'highlight.set') AS hl, coalesce(max(seq) FILTER (type = 'graph.refresh'), -1) AS e1, coalesce(max(seq) FILTER (type IN ('graph.refresh', 'highlight.clear')), -1) AS e2 FROM lg GROUP BY channel),
+hd AS (SELECT channel, 'graph.show' AS type, sh AS seq FROM st WHERE sh > e1 UNION ALL SELECT channel, 'highlight.set', hl FROM st WHERE hl > e2)"""
+
+
+def _log(spark, sf_dir):
+    kind = F.create_map(*(F.lit(x) for kv in TYPES.items() for x in kv))[F.col("event_type")]
+    return table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.concat(F.lit("c"), "user_id").alias("channel"), F.col("event_id").alias("seq"), "ts", kind.alias("type"), F.col("props").alias("payload"))
+
+
+@query(f"WITH {HELD} SELECT hd.channel, hd.type, seq, payload FROM hd JOIN lg USING (channel, seq)")
+def hub_retained(spark, sf_dir):
+    return hub.retained(_log(spark, sf_dir)).select("channel", "type", "seq", "payload")
+
+
+@query(f"WITH {HELD} SELECT channel, arg_max(hd.type, ((ts, hd.type = 'graph.show'))) AS type, arg_max(seq, ((ts, hd.type = 'graph.show'))) AS seq FROM hd JOIN lg USING (channel, seq) GROUP BY channel")
+def hub_replay(spark, sf_dir):
+    return hub.replay(hub.retained(_log(spark, sf_dir))).select("channel", "type", "seq")
+
+
+@query("SELECT event_id AS search_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")
+def rolling_last5(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("search_id"), "ts", "event_type")
+    return S.last_searches(log).select("search_id", "event_type")
+
+
+@query("""WITH t AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations)
+SELECT conv_id, question, min(turn) AS answer, row_number() OVER (PARTITION BY conv_id ORDER BY question) AS occurrence FROM t WHERE role = 'assistant' AND question IS NOT NULL GROUP BY conv_id, question""")
+def qa_pairs(spark, sf_dir):
+    return workflow.qa_pairs(table(spark, sf_dir, "conversations"))
+
+
+@query("""WITH s AS (SELECT role, length(text) AS v, row_number() OVER (PARTITION BY role ORDER BY length(text)) AS k, count(*) OVER (PARTITION BY role) AS n FROM conversations)
+SELECT role, count(*) AS n, max(v) FILTER (k = n // 2 + 1) AS median, round(avg(v), 6) AS mean, max(v) AS most FROM s GROUP BY role""")
+def qa_latency_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("role", F.length("text").cast("long").alias("v"))
+    return workflow.population_stats(rows, "role", "v").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def first_in_session(spark, sf_dir):
+    return workflow.first_in_session(table(spark, sf_dir, "conversations").where("role = 'assistant'"), "conv_id", "turn").select("conv_id", "turn")
+
+
+CLAIMS = [("blue ring",), ("purple ring",), ("nation_24",), ("rin",), ("atlantis",)]
+
+
+@query(f"WITH {N}, {GN}, cl(name) AS (VALUES {', '.join(f'({c[0]!r})' for c in CLAIMS)}) SELECT cl.name, CASE WHEN EXISTS (SELECT 1 FROM gn WHERE contains(name_key, cl.name)) THEN 'refuted' ELSE 'true' END AS verdict FROM cl")
+def absence_audit(spark, sf_dir):
+    claims = spark.createDataFrame(CLAIMS, "name string")
+    return audit.absent_nodes(claims, sample(spark, sf_dir).graph_nodes)
+
+
+@query("SELECT start_id, type, end_id, k FROM (SELECT l_suppkey AS start_id, l_returnflag AS type, l_partkey AS end_id, row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS k FROM lineitem)")
+def rel_occurrence_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("start_id"), F.col("l_returnflag").alias("type"), F.col("l_partkey").alias("end_id"), "l_orderkey", "l_linenumber")
+    each = Window.partitionBy("start_id", "type", "end_id").orderBy("l_orderkey", "l_linenumber")
+    return rows.select("start_id", "type", "end_id", (F.row_number().over(each) - 1).cast("long").alias("k"))
+
+
+@query()
+def jamo_repair(spark, sf_dir):
+    """Damaged Hangul keywords and what their questions make of them."""
+    rows = [("a", 0, "일륨도", "탄지로의 일륜도가 뭐야?"), ("a", 1, "네즈코", "네즈코는 누구야"), ("b", 0, "귀살데", "귀살대 대원"), ("b", 1, "물", "물의 호흡")]
+    return audit.damaged_keywords(spark.createDataFrame(rows, "search_id string, kw_pos int, keyword string, question string"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

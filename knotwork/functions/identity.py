@@ -13,14 +13,14 @@ SPACE = "[\\u0009-\\u000D\\u0020\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u20
 UNIT = "\x1f"
 
 
-@F.pandas_udf("string")
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 def nfc(x: Column) -> Column:
     """NFC; ASCII values never leave the JVM (they go to Python as nulls)."""
-    return F.coalesce(_nfc(F.when(~x.rlike("^[\\x00-\\x7F]*$"), x)), x)
+    to_nfc = F.pandas_udf(_nfc, "string")
+    return F.coalesce(to_nfc(F.when(~x.rlike("^[\\x00-\\x7F]*$"), x)), x)
 
 
 def trim_space(x: Column) -> Column:

@@ -41,7 +41,8 @@ class Index:
 def build_index(nodes: DataFrame) -> Index:
     docs = nodes.select("kgid", tokens(F.col("name_key")).alias("tokens")).withColumn("dl", F.size("tokens"))
     postings = docs.select("kgid", "dl", F.explode("tokens").alias("token")).groupBy("token", "kgid").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    return Index(postings, docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return Index(written(postings, "postings"), written(corpus, "corpus"))
 
 
 def best(rows: DataFrame, most: int = L.SEEDS_PER_KEYWORD) -> DataFrame:
@@ -91,12 +92,13 @@ def with_keys(keywords: DataFrame) -> DataFrame:
 def waterfall(keywords: DataFrame, nodes: DataFrame, index: Index, tiers: int = 3) -> DataFrame:
     """Each keyword's nodes of the first tier that has any; a later tier only sees what earlier ones missed."""
     key = ["search_id", "kw_pos"]
-    t1 = exact(keywords, nodes).withColumn("tier", F.lit("T1"))
+    # A few rows a keyword: written, so that no tier is computed again by the next.
+    t1 = written(exact(keywords, nodes).withColumn("tier", F.lit("T1")), "t1")
     left = keywords.join(t1, key, "left_anti")
-    t2 = floored(bm25(left, nodes, index)).where("kept").drop("kept", "ratio").withColumn("tier", F.lit("T2"))
+    t2 = written(floored(bm25(left, nodes, index)).where("kept").drop("kept", "ratio").withColumn("tier", F.lit("T2")), "t2")
     if tiers < 3:
         return t1.unionByName(t2)
-    t3 = containing(left.join(t2, key, "left_anti"), nodes).withColumn("tier", F.lit("T3"))
+    t3 = written(containing(left.join(t2, key, "left_anti"), nodes).withColumn("tier", F.lit("T3")), "t3")
     return t1.unionByName(t2).unionByName(t3)
 
 
@@ -124,7 +126,9 @@ def seeds(keywords: DataFrame, nodes: DataFrame, index: Index) -> DataFrame:
     """All keywords' seeds, repaired ones after T1 and T2 of their candidate; cut to 15 rows a search by score."""
     first = waterfall(keywords, nodes, index).withColumn("restored", F.lit(None).cast("string"))
     missed = keywords.join(first, ["search_id", "kw_pos"], "left_anti")
-    again = missed.join(anchor_candidates(missed), ["search_id", "kw_pos"]).withColumn("kw_key", F.col("candidate"))
+    again = written(missed.join(anchor_candidates(missed), ["search_id", "kw_pos"]).withColumn("kw_key", F.col("candidate")), "repaired")
+    if not again.limit(1).count():
+        return first
     second = waterfall(again.drop("candidate"), nodes, index, 2).join(again.select("search_id", "kw_pos", F.col("candidate").alias("restored")), ["search_id", "kw_pos"])
     return first.unionByName(second)
 

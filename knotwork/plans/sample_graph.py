@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import ascii_name_key
 from ..operators import merge
+from ..tables import written
 
 FILES = 4
 
@@ -85,6 +86,11 @@ class Sample:
         return merge.merged_rels(self.linked)
 
 
+    def stored(self) -> tuple[DataFrame, DataFrame]:
+        """The merged graph as tables, as a rebuild leaves it for searches."""
+        return written(self.graph_nodes, "graph-nodes"), written(self.graph_rels, "graph-rels")
+
+
 def sample(spark: SparkSession, sf_dir: str, dictionary: DataFrame | None = None) -> Sample:
     nodes = document_nodes(spark, sf_dir)
     return Sample(nodes, document_rels(spark, sf_dir), merge.canonicalize(nodes, dictionary, ascii_name_key))
