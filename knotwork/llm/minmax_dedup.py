@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
     rows = buckets_of(classes)
     shared = rows.groupBy("bucket").agg(F.min("id").alias("other"), F.count("*").alias("n")).where("n > 1").select("bucket", "other")
     rows = W.stage_table(rows.join(shared, "bucket").select("bucket", "id", "other"), "bucket-rows")
-    texts = docs.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # The texts that may have to be compared, as a table: the whole corpus's text is dealt once only.
+    texts = W.stage_table(docs.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     def verdicts(pairs: DataFrame, name: str) -> DataFrame:
         return W.stage_table(confirm(promising(pairs, classes), texts, n), name)
