@@ -232,18 +232,18 @@ def naming_gate(spark, sf_dir):
 
 # --- search ------------------------------------------------------------------------------------------------
 
-COLS = ["search_id", "kw_pos", "kgid", "name", F.col("rank").cast("long").alias("rank")]
+COLS = ["search_id", "kw_pos", "kgid", "name", "cast(rank as bigint) AS rank"]
 
 
 @query(f"WITH {N}, {GN}, {KEYED}, {T1} SELECT search_id, kw_pos, kgid, name, rank FROM t1")
 def search_t1(spark, sf_dir):
-    return S.exact(_keywords(spark), sample(spark, sf_dir).graph_nodes).select(*COLS)
+    return S.exact(_keywords(spark), sample(spark, sf_dir).graph_nodes).selectExpr(*COLS)
 
 
 @query(f"WITH {N}, {GN}, {KEYED}, {T2} SELECT search_id, kw_pos, kgid, name, rank, round(score, 6) AS score FROM t2")
 def search_t2_bm25(spark, sf_dir):
     nodes, _ = sample(spark, sf_dir).stored()
-    return S.floored(S.bm25(_keywords(spark), nodes, S.build_index(nodes))).select(*COLS, F.round("score", 6).alias("score"))
+    return S.floored(S.bm25(_keywords(spark), nodes, S.build_index(nodes))).selectExpr(*COLS, "round(score, 6) AS score")
 
 
 @query(f"WITH {N}, {GN}, {KEYED}, {T2} SELECT search_id, kw_pos, kgid, ratio FROM t2 WHERE NOT kept")
@@ -254,13 +254,13 @@ def t2_floor_cuts(spark, sf_dir):
 
 @query(f"WITH {N}, {GN}, {KEYED}, {T3} SELECT search_id, kw_pos, kgid, name, rank FROM t3")
 def search_t3_contains(spark, sf_dir):
-    return S.containing(_keywords(spark), sample(spark, sf_dir).graph_nodes).select(*COLS)
+    return S.containing(_keywords(spark), sample(spark, sf_dir).graph_nodes).selectExpr(*COLS)
 
 
 @query(f"WITH {WF} SELECT search_id, kw_pos, kgid, name, rank, tier FROM wf")
 def search_waterfall(spark, sf_dir):
     nodes, _ = sample(spark, sf_dir).stored()
-    return S.waterfall(_keywords(spark), nodes, S.build_index(nodes)).select(*COLS, "tier")
+    return S.waterfall(_keywords(spark), nodes, S.build_index(nodes)).selectExpr(*COLS, "tier")
 
 
 @query(f"WITH {WF} SELECT search_id, kw_pos, keyword FROM kw WHERE (search_id, kw_pos) NOT IN (SELECT (search_id, kw_pos) FROM wf)")

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.identity import name_key, nfc, node_kgid, rel_kgid
 from ..limits import PAIRS_REPORTED, RESERVED_PROPS
 
-ORDER = F.struct("file", "pos")
+
+def order() -> Column:
+    """What comes first: by file, then by place in it."""
+    return F.struct("file", "pos")
 
 
 def dictionary_index(entries: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def canonicalize(nodes: DataFrame, dictionary: DataFrame | None = None, key=name
 def merged_nodes(keyed: DataFrame) -> DataFrame:
     """One row a (label, name_key): first name by order, and the sorted sets of files."""
     return keyed.groupBy("kgid", "label", "name_key").agg(
-        F.min_by("name", ORDER).alias("name"), F.sort_array(F.collect_set("file")).alias("reviewed_files"), F.sort_array(F.collect_set("input_file")).alias("input_files")
+        F.min_by("name", order()).alias("name"), F.sort_array(F.collect_set("file")).alias("reviewed_files"), F.sort_array(F.collect_set("input_file")).alias("input_files")
     )
 
 
@@ -48,7 +51,7 @@ def exploded(rows: DataFrame, *keys: str) -> DataFrame:
 
 def first_values(rows: DataFrame, *keys: str) -> DataFrame:
     """First value by order of each property, for nodes or relationships."""
-    return exploded(rows, *keys).where("prop <> 'name'").groupBy(*keys, "prop").agg(F.min_by("value", ORDER).alias("value"))
+    return exploded(rows, *keys).where("prop <> 'name'").groupBy(*keys, "prop").agg(F.min_by("value", order()).alias("value"))
 
 
 def as_map(values: DataFrame, *keys: str) -> DataFrame:
@@ -82,8 +85,8 @@ def conflicts(observed: DataFrame, applied: DataFrame | None = None) -> DataFram
 
 
 def conflict_report(found: DataFrame, most: int = PAIRS_REPORTED) -> DataFrame:
-    order = [F.collate(F.col(c), "UNICODE") for c in ("label", "name_key", "prop")]
-    return found.orderBy(*order).limit(most)
+    by = [F.collate(F.col(c), "UNICODE") for c in ("label", "name_key", "prop")]
+    return found.orderBy(*by).limit(most)
 
 
 def judge_overrides(overrides: DataFrame, nodes: DataFrame, observed: DataFrame) -> DataFrame:
