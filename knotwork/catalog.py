@@ -29,6 +29,13 @@ def query(sql: str | None = None):
     return add
 
 
+def _sql_like(name: str, old: str, new: str = "") -> str:
+    """The SQL of another query with one condition or limit put in another way."""
+    if old not in _SQL[name]:
+        raise ValueError(f"{name}: no {old!r} in its SQL")
+    return _SQL[name].replace(old, new)
+
+
 # Common table expressions of the SQL side, in the order they build on each other.
 KEY = "lower(trim(regexp_replace(name, '\\s+', ' ', 'g')))"
 N = f"""files AS (SELECT unnest(range(4)) AS f), n0 AS (
@@ -343,12 +350,22 @@ def node_facts(spark, sf_dir):
 ci AS (SELECT DISTINCT 's' || c_custkey % 40 AS search_id, CASE c_custkey % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'r' ELSE 'x' END || c_custkey AS alias FROM customer WHERE c_custkey < 300)
 SELECT search_id, count(*) AS submitted, count(kgid) AS accepted, CASE WHEN count(kgid) = 0 THEN 'none' WHEN count(kgid) < count(*) THEN 'partial' ELSE 'verified' END AS status, count(*) > 0.5 * 12 AS dense FROM ci LEFT JOIN al USING (alias) GROUP BY search_id""")
 def citation_verify(spark, sf_dir):
+    return _citations(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey < 300"))
+
+
+@query(_sql_like("citation_verify", " WHERE c_custkey < 300"))
+def citation_verify_whole(spark, sf_dir):
+    """Citations of all customers."""
+    return _citations(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
+def _citations(spark, sf_dir, customers):
     of = table(spark, sf_dir, "supplier").select(F.explode(F.sequence(F.lit(0), F.lit(39))).alias("s"), "s_suppkey")
     search_id = F.concat(F.lit("s"), "s").alias("search_id")
     nodes = of.select(search_id, F.concat(F.lit("n"), "s_suppkey").alias("alias"), F.lit("node").alias("kind"), F.concat(F.lit("k"), "s_suppkey").alias("kgid"), F.lit(None).cast("string").alias("from_kgid"), F.lit(None).cast("string").alias("to_kgid"))
     rels = of.select(search_id, F.concat(F.lit("r"), "s_suppkey").alias("alias"), F.lit("rel").alias("kind"), F.concat(F.lit("q"), "s_suppkey").alias("kgid"), F.concat(F.lit("k"), "s_suppkey").alias("from_kgid"), F.lit("k0").alias("to_kgid"))
     n = F.pmod("c_custkey", F.lit(3))
-    cited = table(spark, sf_dir, "customer").where("c_custkey < 300").select(F.concat(F.lit("s"), F.pmod("c_custkey", F.lit(40))).alias("search_id"), F.concat(F.when(n == 0, "n").when(n == 1, "r").otherwise("x"), "c_custkey").alias("alias"))
+    cited = customers.select(F.concat(F.lit("s"), F.pmod("c_custkey", F.lit(40))).alias("search_id"), F.concat(F.when(n == 0, "n").when(n == 1, "r").otherwise("x"), "c_custkey").alias("alias"))
     sizes = of.select(search_id, F.lit(12).alias("total")).distinct()
     return S.citation_status(S.verify_citations(cited, nodes.unionByName(rels)), sizes)
 
@@ -385,13 +402,50 @@ def dag_summary(spark, sf_dir):
     return graph.analyze_dag(nodes, edges, graph.strong_components(nodes, edges))
 
 
+def _cycles_whole(spark, sf_dir):
+    """All customers, with the same edges; those of nations 0 to 19 point to one anywhere in the table as well."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), "c_nationkey")
+    near = customers.select("src", (F.pmod(F.col("src") * 7 + 3, F.lit(60)) + 60 * F.floor(F.col("src") / 60)).alias("dst"))
+    far = customers.where("c_nationkey < 20").select("src", F.pmod(F.col("src") * 31 + 11, F.lit(max(1, customers.count()))).alias("dst"))
+    nodes = customers.select(F.col("src").alias("id"))
+    return nodes, near.unionByName(far).distinct().join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+@query()
+def scc_whole(spark, sf_dir):
+    """No SQL: the closure of a component of thousands has millions of pairs."""
+    return graph.strong_components(*_cycles_whole(spark, sf_dir))
+
+
+@query()
+def dag_cycle_edges_whole(spark, sf_dir):
+    nodes, edges = _cycles_whole(spark, sf_dir)
+    return graph.cyclic_edges(edges, graph.strong_components(nodes, edges)).select("src", "dst")
+
+
+@query()
+def dag_summary_whole(spark, sf_dir):
+    nodes, edges = _cycles_whole(spark, sf_dir)
+    return graph.analyze_dag(nodes, edges, graph.strong_components(nodes, edges))
+
+
 # An acyclic one: each order points to orders of a smaller key.
 DG = "ed AS (SELECT o_orderkey AS src, o_orderkey // 2 AS dst FROM orders WHERE o_orderkey BETWEEN 1 AND 2000 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey BETWEEN 1 AND 2000), no AS (SELECT DISTINCT unnest([src, dst]) AS id FROM ed)"
 
 
 @query(f"WITH RECURSIVE {DG}, wk AS (SELECT id, 0::BIGINT AS depth FROM no UNION SELECT dst, depth + 1 FROM wk JOIN ed ON src = id) SELECT id, max(depth) AS depth FROM wk GROUP BY id")
 def dag_depth(spark, sf_dir):
-    keys = table(spark, sf_dir, "orders").where("o_orderkey between 1 and 2000")
+    return _order_depth(table(spark, sf_dir, "orders").where("o_orderkey between 1 and 2000"))
+
+
+# Order 0 would point to itself; it is a node through order 1.
+@query(_sql_like("dag_depth", "o_orderkey BETWEEN 1 AND 2000", "o_orderkey >= 1"))
+def dag_depth_whole(spark, sf_dir):
+    """All orders."""
+    return _order_depth(table(spark, sf_dir, "orders").where("o_orderkey >= 1"))
+
+
+def _order_depth(keys):
     edges = keys.select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 2).alias("dst")).unionByName(keys.select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 3).alias("dst"))).distinct()
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return graph.dag_depth(nodes, edges)
@@ -434,11 +488,11 @@ def connected_only(spark, sf_dir):
 L12 = "l1 AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 3 = 0), l2 AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 97 = 0 UNION SELECT 100000), nd AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 130)"
 
 
-def _layers(spark, sf_dir):
+def _layers(spark, sf_dir, which="c_custkey < 130"):
     events = table(spark, sf_dir, "events")
     one = events.where("event_id % 3 = 0").select(F.col("user_id").alias("id")).distinct()
     two = events.where("event_id % 97 = 0").select(F.col("user_id").alias("id")).union(spark.range(100000, 100001)).distinct()
-    return table(spark, sf_dir, "customer").where("c_custkey < 130").select(F.col("c_custkey").alias("id")), one, two
+    return table(spark, sf_dir, "customer").where(which).select(F.col("c_custkey").alias("id")), one, two
 
 
 @query(f"WITH {L12} SELECT id, CASE WHEN id IN (FROM l2) THEN 'layer2' WHEN id IN (FROM l1) THEN 'layer1' ELSE 'out' END AS state FROM nd")
@@ -451,6 +505,17 @@ def highlight_nm(spark, sf_dir):
     return graph.highlight_counts(*_layers(spark, sf_dir))
 
 
+@query(_sql_like("highlight_state", " WHERE c_custkey < 130"))
+def highlight_state_whole(spark, sf_dir):
+    """All customers."""
+    return graph.highlight_states(*_layers(spark, sf_dir, "true"))
+
+
+@query(_sql_like("highlight_nm", " WHERE c_custkey < 130"))
+def highlight_nm_whole(spark, sf_dir):
+    return graph.highlight_counts(*_layers(spark, sf_dir, "true"))
+
+
 @query(f"WITH {R}, {GN}, {GR} (SELECT 'label' AS kind, label AS name, count(*) AS n FROM gn GROUP BY label ORDER BY n DESC, name LIMIT 8) UNION ALL (SELECT 'type', type, count(*) AS n FROM gr GROUP BY type ORDER BY n DESC, type LIMIT 8)")
 def structure_summary(spark, sf_dir):
     g = sample(spark, sf_dir)
@@ -476,6 +541,13 @@ def filtered_subgraph(spark, sf_dir):
     return nodes.select("id")
 
 
+@query(_sql_like("filtered_subgraph", " AND d = 9"))
+def filtered_subgraph_whole(spark, sf_dir):
+    """All relationships, whatever they end in."""
+    nodes, _ = filters.filtered_subgraph(*_event_graph(spark, sf_dir), {"type": ["click", "error"], "level": lambda v: v == "3"})
+    return nodes.select("id")
+
+
 @query(f"WITH {FR} SELECT DISTINCT 'type' AS facet, type AS value FROM fr UNION ALL SELECT DISTINCT 'level', level FROM fr")
 def facets_relationship(spark, sf_dir):
     return filters.facets(_event_graph(spark, sf_dir)[1], ["type", "level"])

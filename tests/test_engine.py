@@ -263,3 +263,43 @@ def test_catalog_against_sql(spark, name):
     got = catalog.queries()[name](spark, sf).toPandas()[list(want.columns)]
     rows = lambda d: sorted(map(repr, d.astype(object).where(d.notna(), None).values.tolist()))
     assert rows(got) == rows(want)
+
+
+def against_sql(spark, name, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(catalog.oracle_sql()[name]).df()
+    got = catalog.queries()[name](spark, sf).toPandas()[list(want.columns)]
+    rows = lambda d: sorted(map(repr, d.astype(object).where(d.notna(), None).values.tolist()))
+    assert rows(got) == rows(want)
+    return got
+
+
+@pytest.mark.parametrize(("name", "rows"), [("dag_depth_whole", 15000), ("highlight_state_whole", 1500), ("highlight_nm_whole", 2), ("citation_verify_whole", 40), ("filtered_subgraph_whole", 45)])
+def test_whole_tables(spark, name, rows):
+    assert len(against_sql(spark, name, "/root/testdata/sf0.01")) >= rows
+
+
+def test_whole_components(spark):
+    """Components of all customers against the pairs that reach each other."""
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    customers = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey").collect()
+    edges = {(i, (i * 7 + 3) % 60 + 60 * (i // 60)) for i, _ in customers} | {(i, (i * 31 + 11) % 150) for i, nation in customers if nation < 20}
+    edges = {e for e in edges if e[1] < 150}
+    reach = np.eye(150, dtype=bool)
+    for a, b in edges:
+        reach[a, b] = True
+    for k in range(150):
+        reach |= reach[:, [k]] & reach[[k], :]
+    least = (reach & reach.T).argmax(1)
+    nodes, links = catalog._cycles_whole(spark, sf)
+    parts = graph.strong_components(nodes, links).localCheckpoint()
+    assert {r.id: r.component for r in parts.collect()} == dict(enumerate(least.tolist())) and np.bincount(least).max() > 60
+    cyclic = {(a, b) for a, b in edges if least[a] == least[b]}
+    assert {tuple(r) for r in graph.cyclic_edges(links, parts).select("src", "dst").collect()} == cyclic
+    assert tuple(graph.analyze_dag(nodes, links, parts).first()) == (False, len(cyclic), sum(a == b for a, b in cyclic), int((np.bincount(least) > 1).sum()))
