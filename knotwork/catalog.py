@@ -286,15 +286,22 @@ def seed_global_cap(spark, sf_dir):
     return S.capped(S.seeds(_keywords(spark), nodes, S.build_index(nodes)), 4).select("search_id", "kw_pos", "kgid", "tier")
 
 
+@query(_sql_like("seed_global_cap", "g <= 4", f"g <= {L.MAX_SEEDS}"))
+def seed_global_cap_whole(spark, sf_dir):
+    """The operator's own cap."""
+    nodes, _ = sample(spark, sf_dir).stored()
+    return S.capped(S.seeds(_keywords(spark), nodes, S.build_index(nodes))).select("search_id", "kw_pos", "kgid", "tier")
+
+
 LOC = "nx AS (SELECT DISTINCT kgid, label, name_key FROM n), wy AS (SELECT from_kgid AS fr, to_kgid AS o, kgid FROM gr UNION ALL SELECT to_kgid, from_kgid, kgid FROM gr WHERE from_kgid <> to_kgid)"
 H1 = "h0 AS (SELECT kgid FROM nx WHERE label = 'Nation' AND name_key IN ('nation_3', 'nation_8')), e1 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h0) ORDER BY kgid, fr LIMIT 60), h1 AS (SELECT DISTINCT o AS kgid FROM e1 WHERE o NOT IN (SELECT kgid FROM h0))"
 H2 = "e2 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h1) ORDER BY kgid, fr LIMIT 60), h2 AS (SELECT DISTINCT o AS kgid FROM e2 WHERE o NOT IN (SELECT kgid FROM h0) AND o NOT IN (SELECT kgid FROM h1))"
 
 
-def _hops(spark, sf_dir, k):
+def _hops(spark, sf_dir, k, most=60):
     nodes, rels = sample(spark, sf_dir).stored()
     start = nodes.where("label = 'Nation' and name_key in ('nation_3', 'nation_8')").select(F.lit("s").alias("search_id"), "kgid")
-    return S.hops(start, rels, k, 60)[0].select("kgid", F.col("hop").cast("long").alias("hop"))
+    return S.hops(start, rels, k, most)[0].select("kgid", F.col("hop").cast("long").alias("hop"))
 
 
 @query(f"WITH {R}, {GR}, {LOC}, {H1} SELECT kgid, 0::BIGINT AS hop FROM h0 UNION ALL SELECT kgid, 1 FROM h1")
@@ -307,6 +314,17 @@ def khop_2(spark, sf_dir):
     return _hops(spark, sf_dir, 2)
 
 
+@query(_sql_like("khop_1", "LIMIT 60", f"LIMIT {L.RELS_PER_HOP}"))
+def khop_1_whole(spark, sf_dir):
+    """The operator's own limit of relationships a hop."""
+    return _hops(spark, sf_dir, 1, L.RELS_PER_HOP)
+
+
+@query(_sql_like("khop_2", "LIMIT 60", f"LIMIT {L.RELS_PER_HOP}"))
+def khop_2_whole(spark, sf_dir):
+    return _hops(spark, sf_dir, 2, L.RELS_PER_HOP)
+
+
 # Paths over the tree of customers, nations and regions, where each is the only one.
 TREE = "tr AS (SELECT * FROM gr WHERE type <> 'SUPPLIES'), tw AS (SELECT from_kgid AS fr, to_kgid AS o, kgid FROM tr UNION ALL SELECT to_kgid, from_kgid, kgid FROM tr)"
 ENDS = [("supplier#000000000", "supplier#000000001"), ("nation_1", "nation_6"), ("customer#000000001", "nation_19"), ("customer#000000000", "nation_7"), ("nation_0", "nation_1")]
@@ -317,11 +335,21 @@ pp AS (SELECT pair, a.kgid AS a, b.kgid AS b FROM pe JOIN (SELECT DISTINCT kgid,
 w AS (SELECT pair, a AS fr, b, 0 AS length, [a] AS path FROM pp UNION ALL SELECT pair, o, b, length + 1, list_append(path, o) FROM w JOIN tw USING (fr) WHERE length < 4 AND NOT list_contains(path, o))
 SELECT pair, length::BIGINT AS length, array_to_string(path, '>') AS path FROM w WHERE fr = b QUALIFY row_number() OVER (PARTITION BY pair ORDER BY length, path) = 1""")
 def shortest_path_pairs(spark, sf_dir):
+    return _paths(spark, sf_dir, "type <> 'SUPPLIES'")
+
+
+@query()
+def shortest_path_pairs_whole(spark, sf_dir):
+    """Over relationships of all types. No SQL: the walks of a recursion grow with the power of a hub's degree."""
+    return _paths(spark, sf_dir, "true")
+
+
+def _paths(spark, sf_dir, which):
     g = sample(spark, sf_dir)
     ids = g.graph_nodes.select("kgid", "name_key")
     ends = spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(ENDS)], "pair int, a_key string, b_key string")
     pairs = ends.join(ids.withColumnsRenamed({"kgid": "a", "name_key": "a_key"}), "a_key").join(ids.withColumnsRenamed({"kgid": "b", "name_key": "b_key"}), "b_key").select(F.lit("s").alias("search_id"), "pair", "a", "b")
-    found = S.shortest_paths(pairs, g.graph_rels.where("type <> 'SUPPLIES'"))
+    found = S.shortest_paths(pairs, g.graph_rels.where(which))
     return found.select("pair", F.col("length").cast("long").alias("length"), F.array_join("nodes", ">").alias("path"))
 
 
@@ -340,9 +368,19 @@ def layer1_rels(spark, sf_dir):
 @query(f"""WITH {P}, f AS (SELECT kgid, prop, arg_min(value, (p.file, p.pos)) AS value FROM p JOIN (SELECT DISTINCT kgid, label, name_key FROM n) USING (label, name_key) GROUP BY kgid, prop)
 SELECT kgid AS id, string_agg(prop || '=' || left(trim(value, '"'), 6), ';' ORDER BY prop) AS facts FROM f GROUP BY kgid""")
 def node_facts(spark, sf_dir):
+    return _facts(spark, sf_dir, 6)
+
+
+@query(_sql_like("node_facts", ", 6)", f", {L.FACT_CHARS})"))
+def node_facts_whole(spark, sf_dir):
+    """The operator's own length of a fact."""
+    return _facts(spark, sf_dir, L.FACT_CHARS)
+
+
+def _facts(spark, sf_dir, chars):
     keyed = sample(spark, sf_dir).keyed
     nodes = merge.as_map(merge.first_values(keyed, "kgid"), "kgid").withColumnRenamed("kgid", "id")
-    shown = filters.node_facts(nodes, chars=6)
+    shown = filters.node_facts(nodes, chars=chars)
     return shown.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("facts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("facts"))
 
 

@@ -303,3 +303,38 @@ def test_whole_components(spark):
     cyclic = {(a, b) for a, b in edges if least[a] == least[b]}
     assert {tuple(r) for r in graph.cyclic_edges(links, parts).select("src", "dst").collect()} == cyclic
     assert tuple(graph.analyze_dag(nodes, links, parts).first()) == (False, len(cyclic), sum(a == b for a, b in cyclic), int((np.bincount(least) > 1).sum()))
+
+
+@pytest.mark.parametrize(("name", "rows"), [("khop_1_whole", 100), ("khop_2_whole", 100), ("seed_global_cap_whole", 13), ("node_facts_whole", 1000)])
+def test_operators_own_limits(spark, name, rows):
+    assert len(against_sql(spark, name, "/root/testdata/sf0.01")) >= rows
+
+
+def test_paths_over_all_types(spark):
+    """The least shortest path of each pair, by a breadth-first walk over all relationships."""
+    sf = "/root/testdata/sf0.001"
+    g = catalog.sample(spark, sf)
+    ids: dict[str, list[str]] = {}
+    for r in g.graph_nodes.select("kgid", "name_key").collect():
+        ids.setdefault(r.name_key, []).append(r.kgid)
+    near: dict[str, set[str]] = {}
+    for r in g.graph_rels.select("from_kgid", "to_kgid").collect():
+        near.setdefault(r.from_kgid, set()).add(r.to_kgid)
+        near.setdefault(r.to_kgid, set()).add(r.from_kgid)
+    want = {}
+    for pair, (a, b) in enumerate(catalog.ENDS, 1):
+        (start,), (end,) = ids[a], ids[b]
+        paths = {start: [start]}
+        layer, length = paths, 0
+        while end not in paths and length < 4:
+            new: dict[str, list[str]] = {}
+            for at, path in layer.items():
+                for to in near[at] - {*paths}:
+                    new[to] = min(new.get(to, [*path, to]), [*path, to])
+            layer, length = new, length + 1
+            paths = paths | new
+        if end in paths:
+            want[pair] = (length, ">".join(paths[end]))
+    got = {r.pair: (r.length, r.path) for r in catalog.queries()["shortest_path_pairs_whole"](spark, sf).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and got[1][0] == 2
+    assert got == want
