@@ -46,8 +46,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
-    return encode(docs, tokenizer_path())
+    """(doc_id, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers, and their text again."""
+    return encode(docs, tokenizer_path(), decoded=True)
 
 
 STAGES = [

@@ -305,6 +305,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert {*out.doc_id} == {*kept} and out.n_tokens.sum() > 0
 
 
+def test_pipeline_decodes(spark, docs, tokenizer):
+    import corpus_pipeline as P
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in P.bpe(spark, docs, "").collect():
+        ids = ids_of(tokenizer, texts[r.doc_id])
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded == tokenizer.decode(ids, skip_special_tokens=False)
+
+
 def test_queries_and_sql(spark):
     import duckdb
 
