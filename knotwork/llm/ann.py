@@ -20,9 +20,9 @@ Every row is indexed. What the driver and tasks hold besides rows is the coarse
 tree and the blocks' bounding boxes: some 200 bytes for each ``BLOCK_ROWS`` rows.
 
 Results: scores are double-precision inner products of the original vectors;
-ties go to the smaller vec_id. Vectors that are null, zero, of another length
-than the longest, or hold a null or non-finite component take no part, neither
-do null ids. Rows with one vec_id count once if equal. A query with no other
+ties go to the smaller vec_id. Vectors that are null, zero, or hold a null or
+non-finite component take no part, neither do null ids. Vectors of each length
+are searched by themselves. Rows with one vec_id count once if equal. A query with no other
 vector has no rows; an empty table gives an empty table; columns besides the
 two named are not read.
 """
@@ -30,6 +30,7 @@ two named are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -182,12 +183,16 @@ def nearest(vectors: DataFrame, every: int, k: int = 20, id_col: str = "vec_id",
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     rows = rows.where("vec_id is not null and v is not null").withColumn("square", square)
     rows = rows.where(F.col("square").isNotNull() & (F.col("square") > 0) & (F.col("square") < F.lit(float("inf"))) & ~F.isnan("square"))
-    size = rows.agg(F.max(F.size("v")).alias("dim")).first()
-    dim = size.dim or 0
-    rows = rows.where(F.size("v") == dim)
-    n, longest = rows.agg(F.count("*"), F.max("square")).first()
-    if not n:
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("square").alias("longest")).orderBy("dim").collect()
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [nearest_of(rows.where(F.size("v") == r.dim), r.dim, r.n, r.longest, every, k) for r in sizes]
+    # An id with vectors of several lengths still gets one list.
+    return found[0] if len(found) == 1 else ranked(reduce(DataFrame.unionByName, found).drop("rank"), k)
+
+
+def nearest_of(rows: DataFrame, dim: int, n: int, longest: float, every: int, k: int) -> DataFrame:
+    """:func:`nearest` over the n rows (vec_id, v, square) of ``dim`` components and squares up to ``longest``."""
     space = Space(dim, math.sqrt(longest))
 
     def arrays(batch) -> np.ndarray:

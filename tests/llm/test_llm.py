@@ -257,6 +257,19 @@ def test_ann(spark, monkeypatch):
     assert ann.nearest(vectors.limit(0), 20).count() == 0
 
 
+def test_ann_lengths(spark):
+    """One stray longer vector takes no other one's neighbours away; each length is searched by itself."""
+    rng = np.random.default_rng(9)
+    x, y = rng.standard_normal((300, 8)), rng.standard_normal((40, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)] + [(2000, [1.0] * 9)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20).toPandas()
+    assert {*got.query_id} == {*range(0, 300, 20), 1000, 1020}
+    for first, of in ((0, x), (1000, y)):
+        mine = got[(got.query_id >= first) & (got.query_id < first + 1000)]
+        assert len(mine) == 20 * mine.query_id.nunique() and mine.vec_id.between(first, first + len(of) - 1).all()
+        assert np.allclose(mine.score, (of[mine.query_id - first] * of[mine.vec_id - first]).sum(1), rtol=1e-12)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     plain = [f"word{i}" for i in range(300)]
