@@ -34,6 +34,13 @@ LONG = 96
 NONE = np.iinfo(np.int32).max
 
 
+@lru_cache(1)
+def newer() -> frozenset[str]:
+    """Letters and digits that the split pattern's engine knows and ``unicodedata`` doesn't."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -56,8 +63,9 @@ class RankBpe:
             self.tokens[i] = t
         self.token_bytes = [t.encode() for t in self.tokens]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self.lines = regex.compile(r"\n|" + self.pieces.pattern)
+        self.pattern = pattern.replace(r"\s", r"\p{White_Space}")
+        self.pieces, self.lines = regex.compile(self.pattern), regex.compile(r"\n|" + self.pattern)
+        self.strict = None
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         chars = byte_chars()
         self.inner = np.array([vocab[c] for c in chars], np.int32)
@@ -182,9 +190,22 @@ class RankBpe:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
+    def split(self, text: str, lines: bool = True) -> list[str]:
+        """The pieces of a normal text; ``lines``: with line ends as pieces of their own.
+
+        The library's tables end with the Unicode version of ``unicodedata``; later letters and digits are neither to it.
+        """
+        if not text.isascii() and not newer().isdisjoint(text):
+            if self.strict is None:
+                known = {k: rf"[\p{{{k}}}--[{''.join(map(regex.escape, sorted(newer())))}]]" for k in "LN"}
+                exact = self.pattern.replace(r"\p{L}", known["L"]).replace(r"\p{N}", known["N"])
+                self.strict = regex.compile("(?V1)" + exact), regex.compile(r"(?V1)\n|" + exact)
+            return self.strict[lines].findall(text)
+        return (self.lines if lines else self.pieces).findall(text)
+
     def piece_counts(self, text: str) -> np.ndarray:
         """How many pieces each line of the text has."""
-        found = self.lines.findall(self.normal(text))
+        found = self.split(self.normal(text))
         ends = np.fromiter(map("\n".__eq__, found), bool, len(found))
         edges = np.concatenate([[-1], np.flatnonzero(ends), [len(found)]])
         return np.diff(edges) - 1
@@ -200,7 +221,7 @@ class RankBpe:
             own = iter(np.split(flat, np.cumsum(lens)[:-1]))
             each = [self.encode_special(w) if w in odd else next(own) for w in each_word]
             return np.concatenate([np.empty(0, np.uint32), *each]), np.fromiter(map(len, each), np.int64, len(each))
-        found = self.lines.findall(self.normal(text))
+        found = self.split(self.normal(text))
         ends = np.fromiter(map("\n".__eq__, found), bool, len(found))
         word = np.cumsum(ends)[~ends]
         pieces = [p for p in found if p != "\n"]
@@ -215,7 +236,7 @@ class RankBpe:
         """The ids of a word that holds special tokens' strings: those are cut out first, from the raw text."""
         flat, at = [np.empty(0, np.uint32)], 0
         for m in [*self.specials.finditer(text), None]:
-            pieces = self.pieces.findall(self.normal(text[at : m.start() if m else len(text)]))
+            pieces = self.split(self.normal(text[at : m.start() if m else len(text)]), lines=False)
             ids, starts, size = self.merge([p.encode() for p in pieces])
             flat += [ids[a : a + k] for a, k in zip(starts, size, strict=True)]
             if m:
@@ -234,8 +255,11 @@ def load(path: str) -> RankBpe:
 
 
 def lower_ascii(text: bytes) -> bytes:
-    """A-Z in lower case, as the normaliser would later do; not where special tokens' strings may be."""
-    return text if b"<|" in text else text.lower()
+    """A-Z in lower case, as the normaliser would later do; not where special tokens' strings may be.
+
+    Nor where combining marks (U+0300-036F) stand: NFC comes before lower case, and some letters compose in one case only.
+    """
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
 @lru_cache(2)
