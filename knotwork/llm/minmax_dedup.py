@@ -13,19 +13,22 @@ Groups of copies never become all their pairs:
 3. Classes that are not yet joined with their bucket's main component are
    compared with one member of that component for each bucket.
 4. What is then still apart is compared with all members of the other
-   components in its buckets: in blocks of bounded size with all members of a
-   bucket's main component, where that is large (a block gives a link at most
-   for each class apart, not its pairs), else pair by pair. Pairs inside one
-   component can change nothing and are never looked at.
-
-Pairs are first judged by their signatures, and dropped if these agree in
-under ``LEAST_ESTIMATE`` (over 6 standard deviations below 0.8) or the sets'
-sizes rule it out; the others are confirmed on their full sets.
+   components in its buckets, by tasks of bounded size: blocks of members
+   against chunks of those apart. Signatures say which members of a task may
+   have a link at all, then the texts of these alone come to the task, which
+   gives a spanning forest of the links it finds. A bucket's large main
+   component is met as a whole, once and not for each of its buckets. No pair is
+   ever a row, and pairs inside one component are never looked at.
+
+Signatures that agree in under ``LEAST_ESTIMATE`` (over 6 standard deviations
+below 0.8), or sets whose sizes rule it out, are dropped; all other links are
+confirmed on full sets. Many documents apart that share a bucket cost
+comparisons by the square inside tasks, rows by the square over ``BLOCK``.
 
 Results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text with
 fewer words than a shingle is one shingle as a whole; null, empty and word-free
-texts have 0 shingles and are their own components; rows with one doc_id count
-as one document; an empty table gives an empty table; columns besides the two
+texts have 0 shingles and are their own components; rows with one doc_id are
+one document, in one component, even if their texts differ; an empty table gives an empty table; columns besides the two
 named are not read. Rows with a null doc_id keep a null component.
 """
 
@@ -46,7 +49,7 @@ PERCENT = 80
 LEAST_ESTIMATE = 0.6
 #: Members of a bucket that are compared by signature in one block, and documents compared by set.
 BLOCK, SET_BLOCK = 1000, 400
-#: A bucket's main component of more classes than this is compared in blocks of sets.
+#: A bucket's main component of more classes than this is compared once for all its buckets.
 LARGE = 48
 
 _random = np.random.default_rng(20_240_229)
@@ -172,19 +175,35 @@ def apart(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known, W.stage_table(mains.where("parts > 1").drop("parts"), "buckets")
 
 
-def cross_pairs(known: DataFrame, mains: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket that signatures allow, each from its first common band only.
+def dealt(rows: DataFrame, key: list[str], sizes: DataFrame) -> DataFrame:
+    """Rows of each group (``key``) for tasks of bounded size: (key, block, chunk, side, ...) from (key, outside, ...).
+
+    All members are cut into ``blocks`` and those that ask into ``chunks`` (both
+    columns of ``sizes``); a member goes to its block's tasks with each chunk,
+    one that asks to its chunk's tasks with each block.
+    """
+    own = {c: F.pmod(F.xxhash64("id", F.lit(c)), F.col(f"{c}s")).cast("int").alias(c) for c in ("block", "chunk")}
+    every = {c: F.explode(F.sequence(F.lit(0), F.col(f"{c}s") - 1)).alias(c) for c in ("block", "chunk")}
+    rows = rows.join(sizes, key)
+    other = [c for c in rows.columns if c not in ("blocks", "chunks", "outside")]
+    held = rows.where("held").select(*other, F.lit(0).alias("side"), own["block"], every["chunk"])
+    sent = rows.where("outside").select(*other, F.lit(1).alias("side"), own["chunk"], every["block"])
+    return held.unionByName(sent)
+
+
+def candidates(known: DataFrame, mains: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, block, chunk, id, component): the members of a task that signatures allow a link to another component.
 
-    Large main components are left to :func:`links_to_large`. Those outside the
-    main component meet all others: these are dealt into blocks, and each
-    outsider is sent to all blocks of its bucket.
+    Large main components are left to :func:`links_to_large`. A pair counts in
+    its first common band only. Rows are members of tasks, never pairs.
     """
     few = mains.withColumn("others", F.when(F.col("of_main") > LARGE, F.col("n") - F.col("of_main")).otherwise(F.col("n")))
-    rows = known.join(few.withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int")), "bucket")
-    rows = rows.where((F.col("of_main") <= LARGE) | (F.col("component") != F.col("main")) & (F.col("others") > 1))
-    rows = rows.join(classes.select("id", "signature", "n_shingles"), "id")
-    held = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "id", "component", "main", "n_shingles", "signature")
-    sent = rows.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "id", "component", "main", "n_shingles", "signature")
+    outside = F.col("component") != F.col("main")
+    rows = known.join(few, "bucket").where((F.col("of_main") <= LARGE) | outside & (F.col("others") > 1))
+    rows = rows.select("bucket", "id", "component", "main", outside.alias("outside"), F.lit(True).alias("held"))
+    sizes = few.select("bucket", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("of_main")) / BLOCK).cast("int").alias("chunks"))
+    rows = dealt(rows, ["bucket"], sizes).drop("held").join(classes.select("id", "signature", "n_shingles"), "id")
+    out = pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("chunk", pa.int32()), ("id", pa.int64()), ("component", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         side = group["side"].to_numpy()
@@ -192,8 +211,7 @@ def cross_pairs(known: DataFrame, mains: DataFrame, classes: DataFrame) -> DataF
         hashes = band_hashes(signs)
         ids, parts, size, main = (group[c].to_numpy() for c in ("id", "component", "n_shingles", "main"))
         band = int(np.flatnonzero(hashes[0] == group["bucket"][0].as_py())[0])
-        out_a, out_b = [], []
-        members = np.flatnonzero(side == 0)
+        members, chosen = np.flatnonzero(side == 0), np.zeros(len(group), bool)
         for i in np.flatnonzero(side == 1):
             fit = parts[members] != parts[i]
             fit &= 100 * np.minimum(size[members], size[i]) >= PERCENT * np.maximum(size[members], size[i])
@@ -202,12 +220,37 @@ def cross_pairs(known: DataFrame, mains: DataFrame, classes: DataFrame) -> DataF
             near = members[fit]
             near = near[(signs[near] == signs[i]).mean(1) >= LEAST_ESTIMATE]
             near = near[(hashes[near] == hashes[i]).argmax(1) == band]
-            out_a.append(np.minimum(ids[near], ids[i]))
-            out_b.append(np.maximum(ids[near], ids[i]))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+            chosen[near] = True
+            chosen[i] = len(near) > 0
+        at = np.flatnonzero(chosen)
+        at = at[np.unique(ids[at], return_index=True)[1]]
+        return group.take(pa.array(at)).select(out.names).cast(out)
 
-    return held.unionByName(sent).groupBy("bucket", "block").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("bucket", "block", "chunk").applyInArrow(run, "bucket long, block int, chunk int, id long, component long")
+
+
+def links_between(asks: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) on full sets between components that meet in one task of :func:`candidates`.
+
+    A task gives a spanning forest of its links: fewer rows than it has members.
+    """
+    rows = asks.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, parts = group["id"].to_numpy(), group["component"].to_numpy()
+        sets = [shingle_set(t, n) for t in W.texts_of(group["text"].combine_chunks())]
+        index = Postings(sets)
+        a, b = [], []
+        for i in range(len(group)):
+            near = index.linked(sets[i])
+            for j in near[parts[near] != parts[i]].tolist():
+                if parts[j] != parts[i]:  # not joined by an earlier link of this task
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+                    parts = np.where(parts == parts[j], parts[i], parts)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("bucket", "block", "chunk").applyInArrow(run, "a long, b long")
 
 
 class Postings:
@@ -232,20 +275,14 @@ class Postings:
 
 
 def links_to_large(known: DataFrame, mains: DataFrame, labels: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Links (a, b) of classes apart with the large main components of their buckets: one for each block at most."""
+    """Links (a, b) of classes apart with the large main components of their buckets: one for each task at most."""
     asks = known.join(mains.where(F.col("of_main") > LARGE), "bucket").where("component <> main").select("id", F.col("main").alias("component")).distinct()
     asks = W.stage_table(asks, "asks")
     members = labels.join(asks.select("component").distinct(), "component", "left_semi")
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("blocks"))
     sizes = sizes.join(asks.groupBy("component").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("chunks")), "component")
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-
-    def dealt(rows: DataFrame, own: str, all_of: str, side: int) -> DataFrame:
-        """Each row to one part by its id, and to all of the other side's parts."""
-        part = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own)
-        return rows.join(sizes, "component").join(texts, "id").select("component", F.lit(side).alias("side"), "id", "text", part, F.explode(F.sequence(F.lit(0), F.col(all_of) - 1)).alias("other")).withColumnRenamed("other", all_of)
-
-    rows = dealt(members, "blocks", "chunks", 0).unionByName(dealt(asks, "chunks", "blocks", 1))
+    rows = members.select("component", "id", F.lit(False).alias("outside")).unionByName(asks.select("component", "id", F.lit(True).alias("outside")))
+    rows = dealt(rows.withColumn("held", ~F.col("outside")), ["component"], sizes).drop("held").join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
 
     def run(group: pa.Table) -> pa.Table:
         side, ids = group["side"].to_numpy(), group["id"].to_numpy()
@@ -260,7 +297,7 @@ def links_to_large(known: DataFrame, mains: DataFrame, labels: DataFrame, docs:
                     b.append(max(ids[i], ids[held[j]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("component", "blocks", "chunks").applyInArrow(run, "a long, b long")
+    return rows.groupBy("component", "block", "chunk").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,9 +325,11 @@ def near_duplicates(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
     judged = judged.unionByName(verdicts(more.join(judged, ["a", "b"], "left_anti"), "judged"))
     labels = components(judged.where("linked"))
     known, mains = apart(rows, labels)
-    rest = cross_pairs(known, mains, classes).join(judged, ["a", "b"], "left_anti")
-    found = [judged.where("linked").select("a", "b"), confirm(rest, texts, n).where("linked").select("a", "b"), links_to_large(known, mains, labels, texts, n)]
-    links = found[0].unionByName(found[1]).unionByName(found[2])
+    asks = W.stage_table(candidates(known, mains, classes), "candidates")
+    links = judged.where("linked").select("a", "b").unionByName(links_between(asks, texts, n)).unionByName(links_to_large(known, mains, labels, texts, n))
+    # Rows of one doc_id with different texts are one document: its classes are joined.
+    several = full.groupBy("doc_id").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).where("least <> most").select("doc_id")
+    links = links.unionByName(full.join(several, "doc_id").join(firsts, "set_key").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"))
 
     found = components(links)
     named = firsts.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
