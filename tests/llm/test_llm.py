@@ -62,6 +62,32 @@ def test_bpe_long_words(tokenizer):
         assert flat.tolist() == ids_of(tokenizer, word) and lens.tolist() == [len(flat)]
 
 
+#: Letters that compose with their mark in lower case only, and a letter newer than the library's tables.
+ODD_ORDER = ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c", "aT\u0308b J\u030cx", "x\u209dy", "\u0130x I\u0307", "ΑΣ ΣΑΣ"]
+
+
+def test_bpe_order_and_fuzz(tokenizer):
+    """NFC before lower case, in both operators; and random Unicode."""
+    import random
+
+    own, library = bpe.memo(bpe.tokenizer_path()), token_files.library_memo(bpe.tokenizer_path())
+    rng = random.Random(1)
+    ranges = [(32, 127), (32, 127), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x6FF), (0x900, 0x980), (0x1100, 0x1200), (0x1E00, 0x2190), (0x3040, 0x3100), (0x1F600, 0x1F640)]
+    fuzz = ["".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
+    for text in ODD_ORDER + fuzz:
+        want = ids_of(tokenizer, text)
+        assert own.texts([text.encode()])[0].tolist() == want, ascii(text)
+        assert library.texts([text.encode()])[0].tolist() == want, ascii(text)
+
+
+def test_encoders_empty(spark, docs):
+    none = docs.limit(0)
+    assert bpe.encode(none, bpe.tokenizer_path(), decoded=True).count() == 0
+    assert wordpiece.count_pieces(none, bpe.tokenizer_path("piece_bpe_32k.model")).count() == 0
+    manifest = token_files.write(none, W.shared_dir(spark, "none"), bpe.tokenizer_path())
+    assert manifest.count() == 0 and token_files.read_digests(manifest).count() == 0
+
+
 def test_token_files(spark, docs, tokenizer):
     base = W.shared_dir(spark, "files")
     manifest = token_files.write(docs, base, bpe.tokenizer_path(), sequence=64, file_bytes=4000, shards=3)
@@ -172,6 +198,43 @@ def test_near_duplicates(spark, monkeypatch, large):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], label[r.doc_id] == r.doc_id)
 
 
+def test_near_copies_under_the_threshold(spark, monkeypatch):
+    """Unlinked near copies: what comes to confirmation grows in proportion to the group."""
+    from collections import Counter as Count
+
+    write, sent = W.stage_table, Count()
+
+    def counted(df, name):
+        table = write(df, name)
+        sent[name] += table.count()
+        return table
+
+    monkeypatch.setattr(W, "stage_table", counted)
+    rng, base, got = np.random.default_rng(11), [f"b{i}" for i in range(120)], []
+    texts = []
+    for _ in range(1200):
+        words = list(base)
+        for k in rng.choice(120, 8, replace=False):
+            words[k] = f"n{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    for n in (300, 1200):
+        sent.clear()
+        rows = minmax_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string"), 2).toPandas()
+        got.append(sent["candidates"])
+        if n == 300:
+            _, label = brute_components(range(n), texts[:n], 2)
+            assert {*zip(rows.doc_id, rows.component_id, strict=True)} == {*label.items()}
+    # A document comes with at most one row for each of its buckets, however many documents those hold.
+    assert 0 < got[0] / 300 and got[1] / 1200 <= 1.5 * got[0] / 300
+
+
+def test_near_duplicates_one_id_two_texts(spark):
+    """One id is one document, whatever its rows' texts: it joins the components of both."""
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    got = minmax_dedup.near_duplicates(table(spark, [one, one, two, two, two], [9, 4, 9, 2, 7]), 2).toPandas()
+    assert {*got.component_id} == {2} and got.kept.sum() == 1
+
+
 def test_near_duplicates_empty(spark):
     assert minmax_dedup.near_duplicates(table(spark, []), 5).count() == 0
     got = minmax_dedup.near_duplicates(table(spark, ["a b", "a b", None], [4, 4, None]), 5).toPandas()
@@ -241,7 +304,7 @@ def test_ann(spark, monkeypatch):
     x = rng.standard_normal((1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
     x[200:900] = x[200]  # one vector, many times
     rows = [(i, v.tolist(), "x") for i, v in enumerate(x)]
-    rows += [(2000, None, "x"), (2020, [0.0] * 16, "x"), (2040, [1.0] * 15 + [float("nan")], "x"), (2060, [None] * 16, "x"), (2080, [1.0, 2.0], "x"), (None, [1.0] * 16, "x"), (2100, [float("inf")] * 16, "x")]
+    rows += [(2000, None, "x"), (2020, [0.0] * 16, "x"), (2040, [1.0] * 15 + [float("nan")], "x"), (2060, [None] * 16, "x"), (None, [1.0] * 16, "x"), (2100, [float("inf")] * 16, "x")]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
     got = ann.nearest(vectors, 20).toPandas()
     found = total = 0
@@ -270,6 +333,36 @@ def test_ann_lengths(spark):
         assert np.allclose(mine.score, (of[mine.query_id - first] * of[mine.vec_id - first]).sum(1), rtol=1e-12)
 
 
+def test_ann_magnitudes(spark):
+    """Squares that overflow or underflow take nobody out; scores are those of the vectors as they are."""
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((120, 6))
+    x[:40] *= 1e200
+    x[40:80] *= 1e-200
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 20, k=5).toPandas()
+    assert {*got.query_id} == {0, 20, 40, 60, 80, 100} and (got.groupby("query_id").size() == 5).all()
+    with np.errstate(over="ignore", invalid="ignore"):
+        for r in got.itertuples():
+            assert r.score == (x[r.query_id] * x[r.vec_id]).sum()
+    assert (got[got.query_id > 80].vec_id < 40).all()
+
+
+def test_ann_stops(spark):
+    """The test ends most searches long before all rows are verified, at a recall over 0.9."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    verified = spark.sparkContext.accumulator(0)
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 60, verified=verified).toPandas()
+    assert 0 < verified.value < 0.3 * 100 * 6000
+    hit = 0
+    for q, mine in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -9
+        hit += len({*np.argsort(-s)[:20].tolist()} & {*mine.vec_id})
+    assert hit >= 0.9 * 2000
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     plain = [f"word{i}" for i in range(300)]
