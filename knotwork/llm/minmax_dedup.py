@@ -332,6 +332,7 @@ def near_duplicates(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
     links = links.unionByName(full.join(several, "doc_id").join(firsts, "set_key").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"))
 
     found = components(links)
+    W.drop_stage(classes, rows, texts, known, asks)
     named = firsts.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     whole = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -172,7 +172,9 @@ class Model:
         fit = W.stage_table(fit, "features").withColumn("features", array_to_vector("features"))
         trees = GBTClassifier(maxDepth=3, maxIter=16, stepSize=0.3, seed=5, featuresCol="features", labelCol="label", cacheNodeIds=False)
         self.trees = trees.fit(fit.where("part = 1"))
-        self.curve = IsotonicRegression(featuresCol="margin", labelCol="label").fit(self.margins(fit.where("part = 2")))
+        # Trees give few different margins: one row for each, as the fit deals its rows by them.
+        steps = self.margins(fit.where("part = 2")).groupBy("margin").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+        self.curve = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(steps)
 
     def featured(self, docs: DataFrame, text_col: str) -> DataFrame:
         """(row, features): all columns of ``docs`` in one struct, so that none can clash."""

@@ -25,14 +25,16 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 
-    The setting is read from the session; only where it is unset (tests on one
-    machine) a temporary folder takes its place.
+    The setting is read from the session; only where it is unset, and all runs
+    in one process (tests), a temporary folder takes its place.
     """
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="knotwork-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -111,30 +113,40 @@ class WordMemo:
     may change a text before it is split (say, its case).
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 600_000, prepare: Callable[[bytes], bytes] = bytes):
-        self.encode, self.most, self.prepare = encode, most, prepare
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 600_000, prepare: Callable[[bytes], bytes] = bytes, most_bytes: int = 64 << 20):
+        self.encode, self.most, self.prepare, self.most_bytes = encode, most, prepare, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[bytes, int] = {}
-        self.flat = np.empty(0, np.uint32)
-        self.starts = np.empty(0, np.int64)
-        self.lens = np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)  # more room than values, as are the next two
+        self.starts, self.lens = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.values = self.bytes = 0
+
+    @staticmethod
+    def put(room: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+        """``new`` behind the first ``at`` values; the room doubles where it has to grow."""
+        if at + len(new) > len(room):
+            room = np.concatenate([room[:at], np.empty(max(at + len(new), 1024), room.dtype)])
+        room[at : at + len(new)] = new
+        return room
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """The memo's row of each word."""
-        if len(self.rows) > self.most:
+        if len(self.rows) > self.most or self.bytes > self.most_bytes:
             self.clear()
         got = list(map(self.rows.get, words))
         if None in got:
             missing = [i for i, r in enumerate(got) if r is None]
             new = list(dict.fromkeys([words[i] for i in missing]))
             flat, lens = self.encode(new)
-            starts = np.cumsum(lens) - lens + len(self.flat)
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, flat])
-            self.starts = np.concatenate([self.starts, starts])
-            self.lens = np.concatenate([self.lens, lens])
+            n = len(self.rows)
+            self.starts = self.put(self.starts, n, np.cumsum(lens) - lens + self.values)
+            self.lens = self.put(self.lens, n, lens)
+            self.flat = self.put(self.flat, self.values, flat)
+            self.values += len(flat)
+            self.bytes += 4 * len(flat) + sum(map(len, new))
+            self.rows.update(zip(new, range(n, n + len(new)), strict=True))
             rows = self.rows
             for i in missing:
                 got[i] = rows[words[i]]
