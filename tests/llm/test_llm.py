@@ -241,9 +241,21 @@ def test_near_duplicates_empty(spark):
     assert got[got.doc_id == 4].component_id.tolist() == [4, 4]
 
 
+def test_window_ranks():
+    """Windows in the order of their words, against sorting them."""
+    rng = np.random.default_rng(3)
+    words = [b"%c" % c for c in rng.integers(97, 100, 400)]
+    for window in (1, 2, 3, 5, 9, 20, 35):
+        at = np.arange(len(words) - window + 1)
+        windows = [tuple(words[i : i + window]) for i in at]
+        place = {w: i for i, w in enumerate(sorted({*windows}))}
+        assert substring_dedup.window_ranks(words, at, window).tolist() == [place[w] for w in windows]
+
+
 @pytest.mark.parametrize("part", [substring_dedup.PART, 1])
 def test_substring_dedup(spark, monkeypatch, part):
     monkeypatch.setattr(substring_dedup, "PART", part)
+    monkeypatch.setattr(substring_dedup, "ROWS", 64)
     rng = np.random.default_rng(2)
     passage = [f"p{i}" for i in range(60)]
     texts = [*TEXTS, "same words again " * 30]
@@ -411,6 +423,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert {*out.doc_id} == {*kept} and out.n_tokens.sum() > 0
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Rows without an id, repeated ids, texts' white space, extra columns, empty tables."""
+    import corpus_pipeline as P
+
+    item = " ".join(f"q{i}" for i in range(20))
+    text = [" ".join(f"d{d}w{i}" for i in range(60)) for d in range(8)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    columns = "doc_id long, text string, lang string, source string, n_chars long, key string, row long, hash string, found_id int"
+    rows = [(1, text[0]), (1, text[1]), (1, text[1]), (2, text[0]), (None, text[2]), (None, text[2]), (None, text[3]), (3, text[3]), (None, None), (4, ""), (5, f"{text[4]}\n\n{text[5]} "), (None, f"{text[6]} {item}"), (6, f"{text[7]} {item}"), (6, text[7])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", 1, "h", 2) for i, t in rows], columns)
+    kept = P.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    # text[0] is once a row of doc 1 and doc 2; which of doc 1's rows bears the id is the hash's choice.
+    assert sorted(t or "" for _, t in got) == sorted(["", "", text[0], text[1], text[2], text[3], *(t or "" for _, t in rows[10:])])
+    assert (3, text[3]) in got and (4, "") in got and (None, None) in got
+    clean = P.decontaminate(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted((x for x in rows if item not in (x[1] or "")), key=repr)
+    again = " ".join(f"p{i}" for i in range(40))
+    texts = ["a\n\nb  c ", f"x\n{again}\ty\n\nz", f"{again} end", None, f"head \n{again}"]
+    got = P.substring_dedup(spark, spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long"), "")
+    assert [r.text for r in got.orderBy("doc_id").collect()] == [texts[0], "x\ty\n\nz", "end", None, "head"]
+    assert [r.n_chars for r in got.orderBy("doc_id").collect()] == [7, 6, 3, 7, 4]
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_decodes(spark, docs, tokenizer):
     import corpus_pipeline as P
 
