@@ -14,7 +14,7 @@ below some prefixes:
 3. The suffixes of every other anchor are read from the texts again, as the
    stretch of words that they cover. Parts of up to ``PART`` anchors fit in
    memory: their suffixes are ordered by their words (ranks of 3, 9, 27 and 35
-   words, each from the one before), and neighbours whose common prefix has 35
+   words, or 2, 4, 8 and on in very large parts, each from the one before), and neighbours whose common prefix has 35
    words are leaves of one deep node. For larger parts the prefix is drawn out
    to all 35 words; each node is then a part of its own, of which only the
    number of leaves counts, again pre-aggregated, under 128 bits of its words' hash.
@@ -47,9 +47,7 @@ from . import words as W
 WINDOW, GRAM = 35, 16
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Anchors of one part that a task holds at once, each with 35 to 54 words; rows that a task orders at once besides.
-PART, ROWS = 16_384, 16_384
-#: Bits of a rank: three of them make one sort key, so a task orders under 2^21 words at once.
-BITS = 21
+PART, ROWS = 65_536, 16_384
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -155,15 +153,19 @@ def window_ranks(words: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
     """For each place in ``at`` the rank, by its words, of the window of words that begins there."""
     number = {w: i for i, w in enumerate(sorted({*words}))}
     rank = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    span = 1
-    while 3 * span <= window:
-        wide = np.full(len(rank) + 2 * span, 0, np.int64)  # places behind the end belong to no window
+    # As many ranks as fit make one sort key.
+    fold, bits, span = (3, 21, 1) if len(words) < 1 << 21 else (2, 31, 1)
+    while fold * span <= window:
+        wide = np.zeros(len(rank) + (fold - 1) * span, np.int64)  # places behind the end belong to no window
         wide[: len(rank)] = rank
-        rank = ranked((wide[: len(rank)] << 2 * BITS) | (wide[span : span + len(rank)] << BITS) | wide[2 * span :])
-        span *= 3
+        keys = rank
+        for k in range(1, fold):
+            keys = (keys << bits) | wide[k * span : k * span + len(rank)]
+        rank = ranked(keys)
+        span *= fold
     keys = np.zeros(len(at), np.int64)
     for i in [*range(0, window - span, span), window - span]:
-        keys = ranked((keys << BITS) | rank[at + i])
+        keys = ranked((keys << bits) | rank[at + i])
     return keys
 
 
