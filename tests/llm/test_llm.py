@@ -130,7 +130,16 @@ PAGES = [
     ("<html><body><nav>Menu</nav><article><h1>T &amp; U</h1><p>One  <b>bo</b>ld<br>line<p>two</article><footer>F</footer>", "T & U One bold line two"),
     ("<body><div id='sidebar'>S</div><div><h2>Head</h2><p>Long enough a paragraph of text to count as content.</p></div><div class=comments><p>I disagree very much with all of this.</p></div>", "Head Long enough a paragraph of text to count as content."),
     ("<article><p>x<!-- no --><script>var a='</p>'</script>y</p><form><p>mail</p></form></article>", "xy"),
-    ("just text &lt;b&gt;", "just text <b>"), (None, ""), ("", ""), ("<article></article>", ""), ("<p>open", "open"), ("<" * 50, "<" * 50),
+    ("just text &lt;b&gt;", "just text <b>"), (None, ""), ("", ""), ("<p title=it's>Don't stop now</p><p>second block</p>", "Don't stop now second block"),
+    ("<div class='social-science'><p>One paragraph of it.</p></div><div class='ad-slot'><p>Buy.</p></div>", "One paragraph of it."),
+    ("<div class='content with-sidebar'><h1>A</h1><p>Text of the page, some of it.</p></div><div class=sidebar>no</div>", "A Text of the page, some of it."),
+    ("<form id=f><article><p>In a form around the page.</p><label>kept</label></article></form><form>no</form>", "In a form around the page. kept"),
+    ("<article><p>Body.</p><section id='responses'><p>I disagree with every single word of this text.</p></section></article>", "Body."),
+    ("<article><p>Body.</p><article class='comment'><p>me too</p></article></article>", "Body."),
+    ("<div class=share><p>Only this is here, under an odd name.</p></div>", "Only this is here, under an odd name."),
+    ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a b c"), ("<div><table><tr><td>x</div>y<td>z</table>w</div>", "x y z w"),
+    ("<p>a<!--> b<!-- c --><p>d<span class=ad><span>no</span> no</span> e", "a b d e"), ("<p>x &#" + "9" * 5000 + "; y", "x \ufffd y"),
+    ("<p>kept <a href='x", "kept"), ("<article></article>", ""), ("<p>open", "open"), ("<" * 50, "<" * 50),
 ]
 
 
@@ -141,6 +150,90 @@ def test_html(spark):
     assert got.n_chars.tolist() == [len(t) for t in got.text]
 
 
+def test_html_odd_input_is_linear():
+    """A megabyte of odd markup takes about as long, for its size, as a tenth of it."""
+    import time
+
+    for unit in ("<a ", "<script ", "<div>", "<p title='", "<!--", "</div>", "<ul><li>", "<li><div>", "&#1", "<b>x", "<", "<td>"):
+        began = time.process_time()
+        html_text.main_text(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 10, unit
+
+
+def test_html_density():
+    """The tree's part against the definition, counted anew for each node of random pages."""
+    import math
+    import random
+    import xml.etree.ElementTree as Xml
+
+    def count(e):
+        text, tags, links, link_tags = (e.text or "").strip(), 0, 0, 0
+        n = len(text)
+        for c in e:
+            a, b, d, f = count(c)
+            n, tags, links, link_tags = n + a + len((c.tail or "").strip()), tags + b + 1, links + (a if c.tag == "a" else d), link_tags + f + (c.tag == "a")
+        return n, tags, links, link_tags
+
+    def words(e):
+        return " ".join(" ".join(e.itertext()).split())
+
+    def main(source):
+        root = Xml.fromstring(source)
+        parent = {c: p for p in root.iter() for c in p}
+        nodes = [e for e in root.iter() if e.tag != "a"]
+        all_n, _, all_links, _ = count(root)
+
+        def density(e):
+            n, tags, links, link_tags = count(e)
+            if not n:
+                return 0.0
+            base = math.log(n * links / max(1, n - links) + all_links * n / max(1, all_n) + math.e)
+            return n / max(1, tags) * math.log(max(n * max(1, tags) / (max(1, links) * max(1, link_tags)), 1.0)) / base
+
+        of = {e: density(e) for e in nodes}
+        total = {e: sum(of[c] for c in e if c in of) or of[e] for e in nodes}
+        core = max(nodes, key=lambda e: (total[e], -nodes.index(e)))
+        path = [core]
+        while path[-1] in parent:
+            path.append(parent[path[-1]])
+        least = min(of[e] for e in path)
+        while core in parent and parent[core].tag != "body" and 2 * count(core)[0] >= count(parent[core])[0]:
+            core = parent[core]
+        chosen = {core} | {e for e in nodes if e not in path and of[e] >= least and 2 * count(e)[2] < count(e)[0]}
+        kept = {x for e in chosen for x in e.iter()}
+        out = []
+
+        def walk(e):
+            pieces = [e.text] if e in kept else []
+            for c in e:
+                if c.tag == "a":
+                    pieces += [c.text, c.tail] if e in kept else []
+                else:
+                    out.append(pieces)
+                    walk(c)
+                    pieces = [c.tail] if e in kept else []
+            out.append(pieces)
+
+        walk(root)
+        return " ".join(t for t in (" ".join("".join(x or "" for x in p).split()) for p in out) if t)
+
+    rng = random.Random(4)
+
+    def grow(depth):
+        inside = "".join(grow(depth - 1) if depth and rng.random() < 0.7 else f"<a>l{rng.randrange(99)} k</a>" if rng.random() < 0.4 else f" w{rng.randrange(10 ** rng.randrange(1, 30))} t " for _ in range(rng.randint(1, 4)))
+        return f"<div>{inside}</div>"
+
+    for _ in range(300):
+        source = f"<body>{grow(3)}{grow(2)}</body>"
+        assert html_text.main_text(source) == main(source), source
+
+
+def test_html_empty_and_repeated(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a")], "page_id long, url string, html string")
+    assert [r.text for r in html_text.extract(rows).collect()] == ["a", "a"]
+    assert html_text.extract(rows.limit(0)).count() == 0
+
+
 def test_url_filter(spark):
     urls = ["http://a.example.com/en/7/x", "http://example.com/en/8", "http://com/en/", "http://xcom/en/", "http://EXAMPLE.net/de/8?q", "http://net/de", "mailto:x", None, "", "http://a.org/es/#x", "://com/en/"]
     want = [("example.com/en/7", "allow"), ("com/en/", "block"), ("com/en/", "block"), (None, "allow"), ("example.net/de/8", "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("org/es/", "block"), ("com/en/", "block")]
