@@ -69,28 +69,36 @@ class Engine:
         return got.select(document_key(F.col("content")).alias("key"), "file", "kind", "text", text.quality(F.col("text")).alias("quality"), "error")
 
     def kg_generate(self, inputs: DataFrame, engine: Callable[[str], str], second: Callable[[str], str] | None = None) -> DataFrame:
-        """(stem, json, error) of ``inputs(stem, prompt)``: one corrective retry on bad output, one change of engine on a refusal."""
+        """(stem, json, error) of ``inputs(stem, prompt)``: one corrective retry on bad output; one change of engine, with the prompt as it was, where the first is used up. Other failures end a document."""
         import json
+        import re
 
         import pandas as pd
 
         def one(prompt: str) -> tuple[str | None, str | None]:
-            error = None
-            for call in [e for e in (engine, second) if e]:
-                for _ in range(2):
-                    try:
-                        raw = call(prompt if error is None else f"{prompt}\n\n{error}").strip()
-                    except Exception as e:  # noqa: BLE001
-                        error = str(e)[:200]
-                        break
-                    a, b = raw.find("{"), raw.rfind("}")
-                    try:
-                        if raw.startswith("[") or a < 0:
-                            raise ValueError("no single JSON object")
-                        json.loads(raw[a : b + 1])
-                        return raw[a : b + 1], None
-                    except ValueError as e:
-                        error = f"bad output: {e}"
+            engines, asked, error = [e for e in (engine, second) if e], prompt, None
+            for attempt in range(3):
+                try:
+                    raw = engines[0](asked).strip()
+                except Exception as e:  # noqa: BLE001
+                    error = str(e)[:200]
+                    if len(engines) < 2 or not re.search(L.RATE_LIMIT, str(e)):
+                        return None, error
+                    engines, asked = engines[1:], prompt
+                    continue
+                fenced = re.search(r"```(?:json)?\s*(.*?)```", raw, re.S)
+                body = (fenced[1] if fenced else raw).strip()
+                a, b = body.find("{"), body.rfind("}")
+                try:
+                    if raw.startswith("[") or body.startswith("[") or a < 0:
+                        raise ValueError("no single JSON object")
+                    json.loads(body[a : b + 1])
+                    return body[a : b + 1], None
+                except ValueError as e:
+                    if error is not None and error.startswith("bad output"):
+                        return None, f"bad output: {e}"
+                    error = f"bad output: {e}"
+                    asked = f"{prompt}\n\n{error}"
             return None, error
 
         def run(frames):

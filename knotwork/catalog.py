@@ -29,13 +29,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _sql_like(name: str, old: str, new: str = "") -> str:
-    """The SQL of another query with one condition or limit put in another way."""
-    if old not in _SQL[name]:
-        raise ValueError(f"{name}: no {old!r} in its SQL")
-    return _SQL[name].replace(old, new)
-
-
 # Common table expressions of the SQL side, in the order they build on each other.
 KEY = "lower(trim(regexp_replace(name, '\\s+', ' ', 'g')))"
 N = f"""files AS (SELECT unnest(range(4)) AS f), n0 AS (
@@ -188,16 +181,9 @@ def merge_summary(spark, sf_dir):
     return merge.summary(g.graph_nodes, g.keyed, g.graph_nodes, g.graph_rels)
 
 
-# Names of different lengths come from cutting some part names short.
-SHORT = "gs AS (SELECT DISTINCT label, CASE WHEN kgid > 'n_c' AND label IN ('Part', 'Nation') THEN substr(name_key, 1, length(name_key) - 1 - length(name_key) % 7) ELSE name_key END AS name_key FROM gn)"
-
-
-@query(f"""WITH {N}, {GN}, {SHORT} SELECT a.label, a.name_key AS a_key, b.name_key AS b_key FROM gs a JOIN gs b ON a.label = b.label AND a.name_key <> '' AND (length(a.name_key), a.name_key) < (length(b.name_key), b.name_key) AND contains(b.name_key, a.name_key)""")
+@query(f"""WITH {N}, {GN}, gs AS (SELECT DISTINCT label, name_key FROM gn) SELECT a.label, a.name_key AS a_key, b.name_key AS b_key FROM gs a JOIN gs b ON a.label = b.label AND a.name_key <> '' AND (length(a.name_key), a.name_key) < (length(b.name_key), b.name_key) AND contains(b.name_key, a.name_key)""")
 def similar_name_pairs(spark, sf_dir):
-    nodes = sample(spark, sf_dir).graph_nodes
-    n = F.length("name_key")
-    cut = F.when((F.col("kgid") > "n_c") & F.col("label").isin("Part", "Nation"), F.substring(F.col("name_key"), F.lit(1), n - 1 - F.pmod(n, F.lit(7)))).otherwise(F.col("name_key"))
-    return merge.similar_names(nodes.select("label", cut.alias("name_key")).distinct())
+    return merge.similar_names(sample(spark, sf_dir).graph_nodes.select("label", "name_key").distinct())
 
 
 # --- validation --------------------------------------------------------------------------------------------
@@ -249,13 +235,13 @@ def search_t1(spark, sf_dir):
 
 @query(f"WITH {N}, {GN}, {KEYED}, {T2} SELECT search_id, kw_pos, kgid, name, rank, round(score, 6) AS score FROM t2")
 def search_t2_bm25(spark, sf_dir):
-    nodes, _ = sample(spark, sf_dir).stored()
+    nodes = sample(spark, sf_dir).stored_nodes()
     return S.floored(S.bm25(_keywords(spark), nodes, S.build_index(nodes))).selectExpr(*COLS, "round(score, 6) AS score")
 
 
 @query(f"WITH {N}, {GN}, {KEYED}, {T2} SELECT search_id, kw_pos, kgid, ratio FROM t2 WHERE NOT kept")
 def t2_floor_cuts(spark, sf_dir):
-    nodes, _ = sample(spark, sf_dir).stored()
+    nodes = sample(spark, sf_dir).stored_nodes()
     return S.floored(S.bm25(_keywords(spark), nodes, S.build_index(nodes))).where("not kept").select("search_id", "kw_pos", "kgid", "ratio")
 
 
@@ -266,42 +252,36 @@ def search_t3_contains(spark, sf_dir):
 
 @query(f"WITH {WF} SELECT search_id, kw_pos, kgid, name, rank, tier FROM wf")
 def search_waterfall(spark, sf_dir):
-    nodes, _ = sample(spark, sf_dir).stored()
+    nodes = sample(spark, sf_dir).stored_nodes()
     return S.waterfall(_keywords(spark), nodes, S.build_index(nodes)).selectExpr(*COLS, "tier")
 
 
 @query(f"WITH {WF} SELECT search_id, kw_pos, keyword FROM kw WHERE (search_id, kw_pos) NOT IN (SELECT (search_id, kw_pos) FROM wf)")
 def search_unmatched(spark, sf_dir):
-    nodes, _ = sample(spark, sf_dir).stored()
+    nodes = sample(spark, sf_dir).stored_nodes()
     asked = _keywords(spark)
     return S.unmatched(asked, S.seeds(asked, nodes, S.build_index(nodes)))
 
 
-CAP = "cap AS (SELECT * FROM wf WHERE (search_id, kgid) IN (SELECT (search_id, kgid) FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY score DESC, kw_pos, rank) AS g FROM wf) WHERE g <= 4))"
+CAP = f"cap AS (SELECT * FROM wf WHERE (search_id, kgid) IN (SELECT (search_id, kgid) FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY score DESC, kw_pos, rank) AS g FROM wf) WHERE g <= {L.MAX_SEEDS}))"
 
 
 @query(f"WITH {WF}, {CAP} SELECT search_id, kw_pos, kgid, tier FROM cap")
 def seed_global_cap(spark, sf_dir):
-    nodes, _ = sample(spark, sf_dir).stored()
-    return S.capped(S.seeds(_keywords(spark), nodes, S.build_index(nodes)), 4).select("search_id", "kw_pos", "kgid", "tier")
-
-
-@query(_sql_like("seed_global_cap", "g <= 4", f"g <= {L.MAX_SEEDS}"))
-def seed_global_cap_whole(spark, sf_dir):
-    """The operator's own cap."""
-    nodes, _ = sample(spark, sf_dir).stored()
+    nodes = sample(spark, sf_dir).stored_nodes()
     return S.capped(S.seeds(_keywords(spark), nodes, S.build_index(nodes))).select("search_id", "kw_pos", "kgid", "tier")
 
 
+
 LOC = "nx AS (SELECT DISTINCT kgid, label, name_key FROM n), wy AS (SELECT from_kgid AS fr, to_kgid AS o, kgid FROM gr UNION ALL SELECT to_kgid, from_kgid, kgid FROM gr WHERE from_kgid <> to_kgid)"
-H1 = "h0 AS (SELECT kgid FROM nx WHERE label = 'Nation' AND name_key IN ('nation_3', 'nation_8')), e1 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h0) ORDER BY kgid, fr LIMIT 60), h1 AS (SELECT DISTINCT o AS kgid FROM e1 WHERE o NOT IN (SELECT kgid FROM h0))"
-H2 = "e2 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h1) ORDER BY kgid, fr LIMIT 60), h2 AS (SELECT DISTINCT o AS kgid FROM e2 WHERE o NOT IN (SELECT kgid FROM h0) AND o NOT IN (SELECT kgid FROM h1))"
+H1 = f"h0 AS (SELECT kgid FROM nx WHERE label = 'Nation' AND name_key IN ('nation_3', 'nation_8')), e1 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h0) ORDER BY kgid, fr LIMIT {L.RELS_PER_HOP}), h1 AS (SELECT DISTINCT o AS kgid FROM e1 WHERE o NOT IN (SELECT kgid FROM h0))"
+H2 = f"e2 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h1) ORDER BY kgid, fr LIMIT {L.RELS_PER_HOP}), h2 AS (SELECT DISTINCT o AS kgid FROM e2 WHERE o NOT IN (SELECT kgid FROM h0) AND o NOT IN (SELECT kgid FROM h1))"
 
 
-def _hops(spark, sf_dir, k, most=60):
+def _hops(spark, sf_dir, k):
     nodes, rels = sample(spark, sf_dir).stored()
     start = nodes.where("label = 'Nation' and name_key in ('nation_3', 'nation_8')").select(F.lit("s").alias("search_id"), "kgid")
-    return S.hops(start, rels, k, most)[0].select("kgid", F.col("hop").cast("long").alias("hop"))
+    return S.hops(start, rels, k)[0].select("kgid", F.col("hop").cast("long").alias("hop"))
 
 
 @query(f"WITH {R}, {GR}, {LOC}, {H1} SELECT kgid, 0::BIGINT AS hop FROM h0 UNION ALL SELECT kgid, 1 FROM h1")
@@ -314,42 +294,35 @@ def khop_2(spark, sf_dir):
     return _hops(spark, sf_dir, 2)
 
 
-@query(_sql_like("khop_1", "LIMIT 60", f"LIMIT {L.RELS_PER_HOP}"))
-def khop_1_whole(spark, sf_dir):
-    """The operator's own limit of relationships a hop."""
-    return _hops(spark, sf_dir, 1, L.RELS_PER_HOP)
 
 
-@query(_sql_like("khop_2", "LIMIT 60", f"LIMIT {L.RELS_PER_HOP}"))
-def khop_2_whole(spark, sf_dir):
-    return _hops(spark, sf_dir, 2, L.RELS_PER_HOP)
+ENDS = [("supplier#000000000", "supplier#000000001"), ("nation_1", "nation_6"), ("customer#000000001", "nation_19"), ("customer#000000000", "nation_7"), ("nation_0", "nation_1")]
 
 
-# Paths over the tree of customers, nations and regions, where each is the only one.
-TREE = "tr AS (SELECT * FROM gr WHERE type <> 'SUPPLIES'), tw AS (SELECT from_kgid AS fr, to_kgid AS o, kgid FROM tr UNION ALL SELECT to_kgid, from_kgid, kgid FROM tr)"
-ENDS = [("supplier#000000000", "supplier#000000001"), ("nation_1", "nation_6"), ("customer#000000001", "nation_19"), ("customer#000000000", "nation_7"), ("nation_0", "nation_1")]
+def _walk_sql() -> str:
+    """Steps p0 .. p4 from a pair's first node, each to the least neighbour that is one nearer to the second."""
+    steps = ["p0 AS (SELECT pp.pair, a AS here, ds.d AS length, a AS path FROM pp JOIN ds ON ds.pair = pp.pair AND ds.kgid = a)"]
+    for k in range(1, L.PATH_LENGTH + 1):
+        nearer = f"SELECT p.pair, min(o) AS o FROM p{k - 1} p JOIN tw ON fr = here JOIN ds ON ds.pair = p.pair AND ds.kgid = o AND ds.d = length - {k} GROUP BY p.pair"
+        steps.append(f"p{k} AS (SELECT p.pair, coalesce(o, here) AS here, length, CASE WHEN o IS NULL THEN path ELSE path || '>' || o END AS path FROM p{k - 1} p LEFT JOIN ({nearer}) x ON x.pair = p.pair)")
+    return ", ".join(steps)
 
 
-@query(f"""WITH RECURSIVE {R}, {GR}, {TREE}, pe(pair, a_key, b_key) AS (VALUES {", ".join(f"({i + 1}, '{a}', '{b}')" for i, (a, b) in enumerate(ENDS))}),
+@query(f"""WITH RECURSIVE {R}, {GR}, tw AS (SELECT from_kgid AS fr, to_kgid AS o FROM gr UNION SELECT to_kgid, from_kgid FROM gr), pe(pair, a_key, b_key) AS (VALUES {", ".join(f"({i + 1}, '{a}', '{b}')" for i, (a, b) in enumerate(ENDS))}),
 pp AS (SELECT pair, a.kgid AS a, b.kgid AS b FROM pe JOIN (SELECT DISTINCT kgid, name_key FROM n) a ON a.name_key = a_key JOIN (SELECT DISTINCT kgid, name_key FROM n) b ON b.name_key = b_key),
-w AS (SELECT pair, a AS fr, b, 0 AS length, [a] AS path FROM pp UNION ALL SELECT pair, o, b, length + 1, list_append(path, o) FROM w JOIN tw USING (fr) WHERE length < 4 AND NOT list_contains(path, o))
-SELECT pair, length::BIGINT AS length, array_to_string(path, '>') AS path FROM w WHERE fr = b QUALIFY row_number() OVER (PARTITION BY pair ORDER BY length, path) = 1""")
+w AS (SELECT pair, b AS kgid, 0 AS d FROM pp UNION SELECT pair, o, d + 1 FROM w JOIN tw ON fr = kgid WHERE d < {L.PATH_LENGTH}),
+ds AS (SELECT pair, kgid, min(d) AS d FROM w GROUP BY pair, kgid), {_walk_sql()} SELECT pair, length::BIGINT AS length, path FROM p{L.PATH_LENGTH}""")
 def shortest_path_pairs(spark, sf_dir):
-    return _paths(spark, sf_dir, "type <> 'SUPPLIES'")
-
-
-@query()
-def shortest_path_pairs_whole(spark, sf_dir):
-    """Over relationships of all types. No SQL: the walks of a recursion grow with the power of a hub's degree."""
-    return _paths(spark, sf_dir, "true")
+    """Over relationships of all types."""
+    return _paths(spark, sf_dir)
 
 
-def _paths(spark, sf_dir, which):
+def _paths(spark, sf_dir):
     g = sample(spark, sf_dir)
     ids = g.graph_nodes.select("kgid", "name_key")
     ends = spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(ENDS)], "pair int, a_key string, b_key string")
     pairs = ends.join(ids.withColumnsRenamed({"kgid": "a", "name_key": "a_key"}), "a_key").join(ids.withColumnsRenamed({"kgid": "b", "name_key": "b_key"}), "b_key").select(F.lit("s").alias("search_id"), "pair", "a", "b")
-    found = S.shortest_paths(pairs, g.graph_rels.where(which))
+    found = S.shortest_paths(pairs, g.graph_rels)
     return found.select("pair", F.col("length").cast("long").alias("length"), F.array_join("nodes", ">").alias("path"))
 
 
@@ -366,37 +339,27 @@ def layer1_rels(spark, sf_dir):
 
 
 @query(f"""WITH {P}, f AS (SELECT kgid, prop, arg_min(value, (p.file, p.pos)) AS value FROM p JOIN (SELECT DISTINCT kgid, label, name_key FROM n) USING (label, name_key) GROUP BY kgid, prop)
-SELECT kgid AS id, string_agg(prop || '=' || left(trim(value, '"'), 6), ';' ORDER BY prop) AS facts FROM f GROUP BY kgid""")
+SELECT kgid AS id, string_agg(prop || '=' || left(trim(value, '"'), {L.FACT_CHARS}), ';' ORDER BY prop) AS facts FROM f GROUP BY kgid""")
 def node_facts(spark, sf_dir):
-    return _facts(spark, sf_dir, 6)
+    return _facts(spark, sf_dir)
 
 
-@query(_sql_like("node_facts", ", 6)", f", {L.FACT_CHARS})"))
-def node_facts_whole(spark, sf_dir):
-    """The operator's own length of a fact."""
-    return _facts(spark, sf_dir, L.FACT_CHARS)
 
-
-def _facts(spark, sf_dir, chars):
+def _facts(spark, sf_dir):
     keyed = sample(spark, sf_dir).keyed
     nodes = merge.as_map(merge.first_values(keyed, "kgid"), "kgid").withColumnRenamed("kgid", "id")
-    shown = filters.node_facts(nodes, chars=chars)
+    shown = filters.node_facts(nodes)
     return shown.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("facts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("facts"))
 
 
 @query("""WITH al AS (SELECT 'n' || s_suppkey AS alias, 'node' AS kind, 'k' || s_suppkey AS kgid FROM supplier UNION ALL SELECT 'r' || s_suppkey, 'rel', 'q' || s_suppkey FROM supplier),
-ci AS (SELECT DISTINCT 's' || c_custkey % 40 AS search_id, CASE c_custkey % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'r' ELSE 'x' END || c_custkey AS alias FROM customer WHERE c_custkey < 300)
+ci AS (SELECT DISTINCT 's' || c_custkey % 40 AS search_id, CASE c_custkey % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'r' ELSE 'x' END || c_custkey AS alias FROM customer)
 SELECT search_id, count(*) AS submitted, count(kgid) AS accepted, CASE WHEN count(kgid) = 0 THEN 'none' WHEN count(kgid) < count(*) THEN 'partial' ELSE 'verified' END AS status, count(*) > 0.5 * 12 AS dense FROM ci LEFT JOIN al USING (alias) GROUP BY search_id""")
 def citation_verify(spark, sf_dir):
-    return _citations(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey < 300"))
-
-
-@query(_sql_like("citation_verify", " WHERE c_custkey < 300"))
-def citation_verify_whole(spark, sf_dir):
-    """Citations of all customers."""
     return _citations(spark, sf_dir, table(spark, sf_dir, "customer"))
 
 
+
 def _citations(spark, sf_dir, customers):
     of = table(spark, sf_dir, "supplier").select(F.explode(F.sequence(F.lit(0), F.lit(39))).alias("s"), "s_suppkey")
     search_id = F.concat(F.lit("s"), "s").alias("search_id")
@@ -410,14 +373,14 @@ def _citations(spark, sf_dir, customers):
 
 # --- graph analytics ---------------------------------------------------------------------------------------
 
-# A graph with cycles of many sizes: each customer points to another of its nation.
-CY = "ed AS (SELECT c_custkey AS src, (c_custkey * 7 + 3) % 60 + 60 * (c_custkey // 60) AS dst FROM customer WHERE c_custkey < 600), no AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 600), e AS (SELECT ed.* FROM ed JOIN no ON dst = id)"
+# A graph with cycles of many sizes: each customer points to another of its block of 60.
+CY = "ed AS (SELECT c_custkey AS src, (c_custkey * 7 + 3) % 60 + 60 * (c_custkey // 60) AS dst FROM customer), no AS (SELECT c_custkey AS id FROM customer), e AS (SELECT ed.* FROM ed JOIN no ON dst = id)"
 REACH = "re AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM re JOIN e ON b = src)"
 SCC = "sc AS (SELECT id, least(id, coalesce(min(x.b), id)) AS component FROM no LEFT JOIN (SELECT p.a, p.b FROM re p JOIN re q ON p.a = q.b AND p.b = q.a) x ON x.a = id GROUP BY id)"
 
 
 def _cycles(spark, sf_dir):
-    nodes = table(spark, sf_dir, "customer").where("c_custkey < 600").select(F.col("c_custkey").alias("id"))
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     edges = nodes.select(F.col("id").alias("src"), (F.pmod(F.col("id") * 7 + 3, F.lit(60)) + 60 * F.floor(F.col("id") / 60)).alias("dst"))
     return nodes, edges.join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
@@ -467,22 +430,16 @@ def dag_summary_whole(spark, sf_dir):
     return graph.analyze_dag(nodes, edges, graph.strong_components(nodes, edges))
 
 
-# An acyclic one: each order points to orders of a smaller key.
-DG = "ed AS (SELECT o_orderkey AS src, o_orderkey // 2 AS dst FROM orders WHERE o_orderkey BETWEEN 1 AND 2000 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey BETWEEN 1 AND 2000), no AS (SELECT DISTINCT unnest([src, dst]) AS id FROM ed)"
+# An acyclic one: each order points to orders of a smaller key. Order 0 would point to itself; it is a node through order 1.
+DG = "ed AS (SELECT o_orderkey AS src, o_orderkey // 2 AS dst FROM orders WHERE o_orderkey >= 1 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey >= 1), no AS (SELECT DISTINCT unnest([src, dst]) AS id FROM ed)"
 
 
 @query(f"WITH RECURSIVE {DG}, wk AS (SELECT id, 0::BIGINT AS depth FROM no UNION SELECT dst, depth + 1 FROM wk JOIN ed ON src = id) SELECT id, max(depth) AS depth FROM wk GROUP BY id")
 def dag_depth(spark, sf_dir):
-    return _order_depth(table(spark, sf_dir, "orders").where("o_orderkey between 1 and 2000"))
-
-
-# Order 0 would point to itself; it is a node through order 1.
-@query(_sql_like("dag_depth", "o_orderkey BETWEEN 1 AND 2000", "o_orderkey >= 1"))
-def dag_depth_whole(spark, sf_dir):
-    """All orders."""
     return _order_depth(table(spark, sf_dir, "orders").where("o_orderkey >= 1"))
 
 
+
 def _order_depth(keys):
     edges = keys.select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 2).alias("dst")).unionByName(keys.select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 3).alias("dst"))).distinct()
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -500,7 +457,7 @@ def highest_degree(spark, sf_dir):
 
 @query(f"WITH {R}, {GR}, b AS (SELECT from_kgid AS id, to_kgid AS o FROM gr UNION ALL SELECT to_kgid, from_kgid FROM gr) SELECT id, count(DISTINCT o) AS n_neighbours, count(*) AS links FROM b GROUP BY id")
 def neighbors(spark, sf_dir):
-    return graph.neighbours(_edges(spark, sf_dir)).select("id", F.size("neighbours").cast("long").alias("n_neighbours"), "links")
+    return graph.neighbour_counts(_edges(spark, sf_dir))
 
 
 @query(f"""WITH {R}, {GR}, c AS (SELECT DISTINCT kgid AS id FROM n WHERE label = 'Nation' AND name_key < 'nation_15'), s AS (SELECT id FROM c UNION SELECT to_kgid FROM gr WHERE from_kgid IN (FROM c) UNION SELECT from_kgid FROM gr WHERE to_kgid IN (FROM c))
@@ -523,14 +480,14 @@ def connected_only(spark, sf_dir):
     return graph.connected_only(nodes, _edges(spark, sf_dir))
 
 
-L12 = "l1 AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 3 = 0), l2 AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 97 = 0 UNION SELECT 100000), nd AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 130)"
+L12 = "l1 AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 3 = 0), l2 AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 97 = 0 UNION SELECT 100000), nd AS (SELECT c_custkey AS id FROM customer)"
 
 
-def _layers(spark, sf_dir, which="c_custkey < 130"):
+def _layers(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     one = events.where("event_id % 3 = 0").select(F.col("user_id").alias("id")).distinct()
     two = events.where("event_id % 97 = 0").select(F.col("user_id").alias("id")).union(spark.range(100000, 100001)).distinct()
-    return table(spark, sf_dir, "customer").where(which).select(F.col("c_custkey").alias("id")), one, two
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), one, two
 
 
 @query(f"WITH {L12} SELECT id, CASE WHEN id IN (FROM l2) THEN 'layer2' WHEN id IN (FROM l1) THEN 'layer1' ELSE 'out' END AS state FROM nd")
@@ -543,15 +500,6 @@ def highlight_nm(spark, sf_dir):
     return graph.highlight_counts(*_layers(spark, sf_dir))
 
 
-@query(_sql_like("highlight_state", " WHERE c_custkey < 130"))
-def highlight_state_whole(spark, sf_dir):
-    """All customers."""
-    return graph.highlight_states(*_layers(spark, sf_dir, "true"))
-
-
-@query(_sql_like("highlight_nm", " WHERE c_custkey < 130"))
-def highlight_nm_whole(spark, sf_dir):
-    return graph.highlight_counts(*_layers(spark, sf_dir, "true"))
 
 
 @query(f"WITH {R}, {GN}, {GR} (SELECT 'label' AS kind, label AS name, count(*) AS n FROM gn GROUP BY label ORDER BY n DESC, name LIMIT 8) UNION ALL (SELECT 'type', type, count(*) AS n FROM gr GROUP BY type ORDER BY n DESC, type LIMIT 8)")
@@ -572,19 +520,13 @@ def _event_graph(spark, sf_dir):
     return nodes, rels
 
 
-@query(f"WITH {FR}, k AS (SELECT * FROM fr WHERE type IN ('click', 'error') AND level = '3' AND d = 9) SELECT DISTINCT unnest([s, d]) AS id FROM k")
+@query(f"WITH {FR}, k AS (SELECT * FROM fr WHERE type IN ('click', 'error') AND level = '3') SELECT DISTINCT unnest([s, d]) AS id FROM k")
 def filtered_subgraph(spark, sf_dir):
     nodes, rels = _event_graph(spark, sf_dir)
-    nodes, _ = filters.filtered_subgraph(nodes, rels.where("end_node_id = 9"), {"type": ["click", "error"], "level": lambda v: v == "3"})
+    nodes, _ = filters.filtered_subgraph(nodes, rels, {"type": ["click", "error"], "level": lambda v: v == "3"})
     return nodes.select("id")
 
 
-@query(_sql_like("filtered_subgraph", " AND d = 9"))
-def filtered_subgraph_whole(spark, sf_dir):
-    """All relationships, whatever they end in."""
-    nodes, _ = filters.filtered_subgraph(*_event_graph(spark, sf_dir), {"type": ["click", "error"], "level": lambda v: v == "3"})
-    return nodes.select("id")
-
 
 @query(f"WITH {FR} SELECT DISTINCT 'type' AS facet, type AS value FROM fr UNION ALL SELECT DISTINCT 'level', level FROM fr")
 def facets_relationship(spark, sf_dir):
@@ -732,13 +674,211 @@ def rel_occurrence_ids(spark, sf_dir):
     return rows.select("start_id", "type", "end_id", (F.row_number().over(each) - 1).cast("long").alias("k"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a', 0, '일륨도', '일륜도', 'damaged'), ('a', 1, '네즈코', NULL, 'sound'), ('b', 0, '귀살데', '귀살대', 'damaged'), ('b', 1, '물', NULL, 'sound')) v(search_id, kw_pos, keyword, candidate, verdict)")
 def jamo_repair(spark, sf_dir):
     """Damaged Hangul keywords and what their questions make of them."""
     rows = [("a", 0, "일륨도", "탄지로의 일륜도가 뭐야?"), ("a", 1, "네즈코", "네즈코는 누구야"), ("b", 0, "귀살데", "귀살대 대원"), ("b", 1, "물", "물의 호흡")]
     return audit.damaged_keywords(spark.createDataFrame(rows, "search_id string, kw_pos int, keyword string, question string"))
 
 
+# --- functions over whole tables ---------------------------------------------------------------------------
+
+@query("""WITH a AS (SELECT page_id, regexp_replace(url, '[<>:"/\\\\|?*]', '_', 'g') AS x FROM pages), b AS (SELECT page_id, regexp_replace(left(x, 80), '[. ]+$', '') AS x FROM a)
+SELECT page_id, CASE WHEN x = '' THEN 'untitled' ELSE x END AS name FROM b""")
+def safe_file_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.safe_file_name(F.col("url")).alias("name"))
+
+
+@query("""SELECT doc_id, 's_' || lang || '_p' || CASE WHEN doc_id < 10 THEN '0' ELSE '' END || doc_id AS stem, 's_' || lang || '_p' || CASE WHEN doc_id < 10 THEN '0' ELSE '' END || doc_id || '.kg.json' AS file,
+lang || '.kg.rej' || doc_id || '.json' AS rejected FROM documents""")
+def file_stems(spark, sf_dir):
+    stem = text.page_stem(F.lit("s"), F.col("lang"), F.col("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", stem.alias("stem"), text.kg_file(stem).alias("file"), text.rejected_file(F.col("lang"), F.col("doc_id")).alias("rejected"))
+
+
+EXT = "['pdf', 'PNG', 'jpeg', 'txt', 'tif', 'md']"
+
+
+@query(f"""WITH f AS (SELECT event_id, ({EXT})[event_id % 6 + 1] AS ext FROM events)
+SELECT event_id, CASE WHEN ext = 'pdf' THEN 'pdf' WHEN lower(ext) IN ('png', 'jpeg', 'tif') THEN 'image' END AS kind FROM f""")
+def source_types(spark, sf_dir):
+    ext = F.get(F.array(*map(F.lit, ["pdf", "PNG", "jpeg", "txt", "tif", "md"])), F.pmod("event_id", F.lit(6)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.source_type(F.concat(F.lit("/a.b/c"), "event_id", F.lit("."), ext)).alias("kind"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '([+\\-&|!(){}\\[\\]^\"~*?:\\\\/])', '\\\\\\1', 'g') AS escaped FROM documents")
+def escaped_queries(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", identity.escape_query(F.col("text")).alias("escaped"))
+
+
+@query("""SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS kst, strftime(ts, '%Y%m%d%H%M%S') AS stamp, strftime(ts, '%Y%m%dT%H%M%S') AS build FROM events""")
+def time_stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.iso_kst(F.col("ts")).alias("kst"), text.batch_stamp(F.col("ts")).alias("stamp"), text.build_id(F.col("ts")).alias("build"))
+
+
+@query("""WITH x AS (SELECT event_id, event_id * 9007199254740 AS n FROM events) SELECT event_id, CASE WHEN n > 9007199254740991 THEN '"' || n || '"' ELSE n::VARCHAR END AS safe FROM x""")
+def json_safe_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.json_safe_long(F.col("event_id") * 9007199254740).alias("safe"))
+
+
+@query("""SELECT p_partkey, '#' || string_agg(lower(printf('%02x', (v + round((255 - v) * 0.4))::INT)), '' ORDER BY k) AS colour FROM (SELECT p_partkey, unnest([0, 1, 2]) AS k, unnest([p_partkey % 256, p_size * 5 % 256, (p_partkey * 7) % 256]) AS v FROM part) GROUP BY p_partkey""")
+def brightened(spark, sf_dir):
+    parts = [F.lower(F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")) for x in (F.col("p_partkey"), F.col("p_size") * 5, F.col("p_partkey") * 7)]
+    return table(spark, sf_dir, "part").select("p_partkey", text.brighten(F.concat(F.lit("#"), *parts), 0.4).alias("colour"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT p_brand AS name FROM part), w AS (SELECT name, 0 AS i, 0::BIGINT AS h FROM t UNION ALL SELECT name, i + 1, (h * 31 + ascii(substr(name, i + 1, 1))) % 4294967296 FROM w WHERE i < length(name))
+SELECT name, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 25 AS colour FROM w WHERE i = length(name)""")
+def type_colours(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct().select("name", text.type_colour(F.col("name")).cast("long").alias("colour"))
+
+
+@query("""SELECT event_id, 'K_' || event_type AS key, user_id::VARCHAR AS value FROM events WHERE event_id % 4 <> 3""")
+def environment_lines(spark, sf_dir):
+    n, name, value = F.pmod("event_id", F.lit(4)), F.concat(F.lit("K_"), "event_type"), F.col("user_id").cast("string")
+    line = F.when(n == 0, F.concat(name, F.lit("="), value, F.lit("  # note"))).when(n == 1, F.concat(F.lit(" export "), name, F.lit(' = "'), value, F.lit('"'))).when(n == 2, F.concat(name, F.lit("='"), value, F.lit("'"))).otherwise(F.concat(F.lit("# "), name))
+    rows = table(spark, sf_dir, "events").select("event_id", text.environment_line(line).alias("pair"))
+    return rows.where("pair is not null").select("event_id", "pair.key", "pair.value")
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'url' WHEN 1 THEN 'file' ELSE 'invalid' END AS kind, page_id % 5 IN (2, 3) AS path FROM pages""")
+def target_kinds(spark, sf_dir):
+    n = F.pmod("page_id", F.lit(5))
+    target = F.when(n == 0, F.col("url")).when(n == 1, F.concat(F.lit("d"), "page_id", F.lit(".kg.json"))).when(n == 2, F.concat(F.lit("C:\\d\\"), "page_id")).when(n == 3, F.concat(F.lit("file://x/"), "page_id", F.lit(".kg.json"))).otherwise(F.concat(F.lit("../"), "page_id", F.lit(".kg.json")))
+    return table(spark, sf_dir, "pages").select("page_id", text.target_kind(target).alias("kind"), text.looks_like_path(target).alias("path"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'ok' WHEN event_id % 6 IN (1, 2) THEN 'rate_limit' WHEN event_id % 6 = 3 THEN 'timeout' WHEN event_id % 6 = 4 THEN 'not_installed' ELSE 'crash' END AS engine,
+CASE event_id % 4 WHEN 0 THEN 'auth' WHEN 1 THEN 'paused' WHEN 2 THEN 'unconfigured' ELSE 'other' END AS db FROM events""")
+def failure_kinds(spark, sf_dir):
+    n, m = F.pmod("event_id", F.lit(6)), F.pmod("event_id", F.lit(4))
+    stderr = F.when(n == 0, "rate limit").when(n == 1, "Too many requests").when(n == 2, "status: 429").when(n == 5, "disk quota, road 429-2")
+    engine = text.engine_failure(F.when(n == 0, 0).when(n == 4, 9009).otherwise(1), stderr, n == 3, F.lit(None).cast("string"))
+    db = text.database_failure(F.when(m == 0, "Unauthorized").when(m == 1, "connect ECONNREFUSED").when(m == 2, "X_UNCONFIGURED").otherwise("else"))
+    return table(spark, sf_dir, "events").select("event_id", engine.alias("engine"), db.alias("db"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"n": ' || event_id || '}' WHEN 1 THEN '{"n": 1}' END AS found FROM events""")
+def engine_answers(spark, sf_dir):
+    n = F.pmod("event_id", F.lit(5))
+    raw = F.when(n == 0, F.concat(F.lit("Here:\n```json\n{\"n\": "), "event_id", F.lit("}\n```\nbye"))).when(n == 1, 'so {"n": 1} it is').when(n == 2, '[{"n": 1}]').when(n == 3, "").otherwise("{broken")
+    return table(spark, sf_dir, "events").select("event_id", text.engine_json(raw).alias("found"))
+
+
+@query("""SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_custkey % 3 = 1 THEN 'T' || c_custkey END, c_custkey::VARCHAR) AS shown, contains(lower(coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_custkey % 3 = 1 THEN 'T' || c_custkey END, c_custkey::VARCHAR) || ' Customer ' || c_custkey), '00') AS hit,
+'name: ' || CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE ' ' END || chr(10) || 'title: ' || CASE WHEN c_custkey % 3 = 1 THEN 'T' || c_custkey ELSE '' END AS tip FROM customer""")
+def shown_names(spark, sf_dir):
+    n = F.pmod("c_custkey", F.lit(3))
+    props = F.create_map(F.lit("name"), F.when(n == 0, F.col("c_name")).otherwise(" "), F.lit("title"), F.when(n == 1, F.concat(F.lit("T"), "c_custkey")).otherwise(""))
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("Customer").alias("label"), props.alias("props"))
+    return filters.search_dim(nodes, "00").select("id", filters.display_name(nodes).alias("shown"), "hit", filters.tooltip(F.col("props")).alias("tip"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'Node' ELSE event_type END AS label FROM events")
+def display_labels(spark, sf_dir):
+    n, kind = F.pmod("event_id", F.lit(3)), F.col("event_type")
+    labels = F.when(n == 0, F.array(F.lit(L.SYSTEM_LABEL), kind)).when(n == 1, F.array(kind, F.lit("Other"))).otherwise(F.array(F.lit(L.SYSTEM_LABEL)))
+    return table(spark, sf_dir, "events").select("event_id", validate.display_label(labels).alias("label"))
+
+
+@query("""WITH e AS (SELECT 'seg' || c_custkey % 50 AS key, c_mktsegment AS own FROM customer), d AS (SELECT DISTINCT key, own FROM e)
+SELECT 'variant_in_two_entries' AS code, 'V' AS label, key FROM d GROUP BY key HAVING count(*) > 1""")
+def dictionary_errors(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.lit("C").alias("canonical_label"), F.col("c_mktsegment").alias("canonical_name"), F.lit("V").alias("label"), F.concat(F.lit(" SEG"), F.pmod("c_custkey", F.lit(50))).alias("name"))
+    return validate.dictionary_problems(rows)
+
+
+@query("""WITH o AS (SELECT 'N' AS label, 'k' || event_id % 900 AS name_key, CASE WHEN event_id % 10 = 0 THEN 'kgid' ELSE event_type END AS prop, event_id % 11 = 0 AS bad FROM events)
+SELECT 'forbidden_property' AS code, label, name_key, prop FROM o WHERE prop = 'kgid' UNION ALL SELECT 'value_type', label, name_key, prop FROM o WHERE bad UNION ALL SELECT 'duplicate', label, name_key, prop FROM o GROUP BY ALL HAVING count(*) > 1""".replace("GROUP BY ALL", "GROUP BY label, name_key, prop"))
+def override_errors(spark, sf_dir):
+    n = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.lit("N").alias("label"), F.concat(F.lit("k"), F.pmod(n, F.lit(900))).alias("name_key"), F.when(F.pmod(n, F.lit(10)) == 0, "kgid").otherwise(F.col("event_type")).alias("prop"), F.when(F.pmod(n, F.lit(11)) == 0, "[1, null]").otherwise('"x"').alias("value"))
+    return validate.override_problems(rows)
+
+
+@query("""WITH m AS (SELECT * FROM events), k AS (SELECT event_id FROM events WHERE event_type IN ('view', 'purchase')) SELECT (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM customer) AND event_id % 200 IN (SELECT c_custkey FROM customer)) AS edges,
+(SELECT count(*) FROM events) - (SELECT count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM customer) AND event_id % 200 IN (SELECT c_custkey FROM customer)) AS dangling, true AS truncated""")
+def dangling_counts(spark, sf_dir):
+    edges = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("src"), F.pmod("event_id", F.lit(200)).alias("dst"))
+    return graph.dangling_summary(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), edges, L.VIEW_NODES, L.VIEW_RELS)
+
+
+@query("""WITH nd AS (SELECT c_custkey AS id FROM customer), l1 AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 3 = 0), l2 AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 97 = 0 UNION SELECT 100000), t AS (SELECT id FROM l2 INTERSECT SELECT id FROM nd)
+SELECT 'layer1' AS layer, id FROM (SELECT id FROM l1 INTERSECT SELECT id FROM nd EXCEPT SELECT id FROM t) UNION ALL SELECT 'layer2', id FROM t""")
+def rendered_sets(spark, sf_dir):
+    one, two = graph.rendered_layers(*_layers(spark, sf_dir))
+    return one.select(F.lit("layer1").alias("layer"), "id").unionByName(two.select(F.lit("layer2").alias("layer"), "id"))
+
+
+@query("""WITH a AS (SELECT p_name AS name FROM part WHERE p_partkey % 7 <> 0), b AS (SELECT p_name AS name FROM part WHERE p_partkey % 5 <> 0) SELECT name, 'extra' AS side FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT name, 'missing' FROM (FROM b EXCEPT ALL FROM a)""")
+def graph_source_difference(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    return graph.differences(names.where("p_partkey % 7 <> 0").select("name"), names.where("p_partkey % 5 <> 0").select("name")).select("name", "side")
+
+
+TW = f"""{LED}, a AS (SELECT * FROM lg WHERE key IN ('k1', 'k2')), b AS (SELECT * FROM lg WHERE file IN (SELECT file FROM a)),
+c AS (SELECT * FROM lg WHERE final_hash IN (SELECT final_hash FROM b) OR key IN (SELECT key FROM b)), tw AS (SELECT key FROM lg WHERE file IN (SELECT file FROM c) OR key IN (SELECT key FROM c))"""
+
+
+@query(f"WITH {TW} SELECT key, 'blocked' AS status FROM tw UNION ALL SELECT key, status FROM lg WHERE key NOT IN (SELECT key FROM tw)")
+def sources_blocked(spark, sf_dir):
+    targets = spark.createDataFrame([("k1",), ("k2",)], "key string")
+    return workflow.remove_sources(workflow.ledger_latest(_updates(spark, sf_dir)), targets, True).select("key", "status")
+
+
+@query(f"WITH {TW} SELECT key, status FROM lg WHERE key NOT IN (SELECT key FROM tw)")
+def sources_removed(spark, sf_dir):
+    targets = spark.createDataFrame([("k1",), ("k2",)], "key string")
+    return workflow.remove_sources(workflow.ledger_latest(_updates(spark, sf_dir)), targets, False).select("key", "status")
+
+
+FILES = "fl AS (SELECT CASE quality WHEN 1 THEN 'Reviewed' ELSE 'Generated' END AS folder, 's' || doc_id % 40 AS stem, 'f' || doc_id AS file, doc_id FROM labels)"
+
+
+def _files(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "Reviewed").otherwise("Generated").alias("folder"), F.concat(F.lit("s"), F.pmod("doc_id", F.lit(40))).alias("stem"), F.concat(F.lit("f"), "doc_id").alias("file"))
+
+
+@query(f"WITH {FILES} SELECT stem, min(folder) AS folder FROM fl GROUP BY stem")
+def located_documents(spark, sf_dir):
+    return workflow.locate(_files(spark, sf_dir)).select("stem", "folder")
+
+
+@query(f"""WITH {FILES}, {LED} SELECT 'folder:' || folder AS measure, count(*) AS n FROM fl GROUP BY folder UNION ALL SELECT 'status:' || status, count(*) FROM lg GROUP BY status UNION ALL SELECT 'held', count(*) FILTER (seq % 5 >= 3) FROM lg""")
+def status_measures(spark, sf_dir):
+    ledger = workflow.ledger_latest(_updates(spark, sf_dir)).withColumn("reject_count", F.pmod("seq", F.lit(5)))
+    return workflow.status_counts(_files(spark, sf_dir), ledger)
+
+
+@query(f"""WITH {LED}, d AS (SELECT 'f' || i AS file, i % 2 = 0 AS approve FROM (SELECT unnest(range(20)) AS i))
+SELECT key, CASE WHEN approve THEN 0 WHEN NOT approve THEN seq % 5 + 1 ELSE seq % 5 END AS reject_count, CASE WHEN approve THEN NULL WHEN NOT approve THEN 'new' ELSE 'old' END AS last_reject_reason FROM lg LEFT JOIN d USING (file)""")
+def review_effects(spark, sf_dir):
+    ledger = workflow.ledger_latest(_updates(spark, sf_dir)).withColumn("reject_count", F.pmod("seq", F.lit(5))).withColumn("last_reject_reason", F.lit("old"))
+    decisions = spark.range(20).select(F.concat(F.lit("f"), "id").alias("file"), (F.col("id") % 2 == 0).alias("approve"), F.when(F.col("id") % 2 == 1, "new").alias("reason"))
+    return workflow.review(ledger, decisions).select("key", "reject_count", "last_reject_reason")
+
+
+@query("""WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS collected, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'signup') AS robots, count(*) FILTER (event_type = 'purchase') AS passed FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN failed > 0 THEN CASE WHEN collected + passed > 0 THEN 'partial' ELSE 'fail' END WHEN collected + passed = 0 AND robots > 0 THEN 'fail' ELSE 'success' END AS verdict, greatest(failed, robots) + 1 AS round FROM c""")
+def collection_verdicts(spark, sf_dir):
+    kinds = {"collected": "view", "failed": "error", "robots": "signup", "passed": "purchase"}
+    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(*(F.count_if(F.col("event_type") == v).alias(k) for k, v in kinds.items()))
+    return runs.select("user_id", workflow.collection_verdict(*map(F.col, kinds)).alias("verdict"), workflow.rejection_round(F.col("failed"), F.col("robots")).alias("round"))
+
+
+@query("SELECT max(page_id) + 1 AS page FROM pages")
+def next_page_number(spark, sf_dir):
+    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("b1_name_p"), "page_id", F.lit(".md")).alias("file"))
+    return workflow.next_page(files, "b1").select(F.col("page").cast("long").alias("page"))
+
+
+@query("SELECT user_id, coalesce(CASE WHEN user_id % 3 = 0 THEN 'two' END, CASE WHEN user_id % 2 = 0 THEN 'bad' END, 'one') AS asked, CASE WHEN user_id % 3 <> 0 AND user_id % 2 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 'two' ELSE 'one' END AS engine FROM (SELECT DISTINCT user_id FROM events)")
+def engine_choices(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    argument, environment = F.when(F.col("user_id") % 3 == 0, "two").otherwise(""), F.when(F.col("user_id") % 2 == 0, "bad")
+    return users.select("user_id", F.coalesce(F.nullif(argument, F.lit("")), environment, F.lit("one")).alias("asked"), workflow.engine_choice(argument, environment, "one", ["one", "two"]).alias("engine"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

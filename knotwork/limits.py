@@ -19,4 +19,7 @@ SYSTEM_PROPS = ["name", "name_key", "kgid", "reviewed_files", "input_files"]
 RESERVED_PROPS = ["name_key", "kgid", "reviewed_files", "input_files"]
 LABEL_RULE, TYPE_RULE = "^[A-Z][A-Za-z0-9]{1,39}$", "^[A-Z][A-Z0-9_]{1,39}$"
 REQUIRED_META = ["input_file", "schema_version", "engine", "generated_at"]
+# What stderr says of a used-up quota (a bare 429 may be part of an address), and what a database's errors say.
+RATE_LIMIT = r"(?i)rate[ _-]?limit|usage limit|quota exceeded|too many requests|사용량 한도|한도에 도달|(?:http|status)[^0-9]{0,10}429"
+DATABASE_AUTH, DATABASE_PAUSED = "(?i)Unauthorized|authentication", "(?i)ServiceUnavailable|routing|Connection was closed|Failed to connect|ECONNREFUSED|ETIMEDOUT"
 TRACKING = ["fbclid", "gclid", "dclid", "msclkid", "yclid", "igshid", "mc_cid", "mc_eid", "ref_src", "spm"]

@@ -75,7 +75,7 @@ def node_facts(nodes: DataFrame, most: int = FACTS_PER_NODE, chars: int = FACT_C
 
 def display_name(nodes: DataFrame) -> Column:
     texts = [F.nullif(trim_space(F.col("props")[k]), F.lit("")) for k in ("name", "title", "label")]
-    return F.coalesce(*texts, F.col("id"))
+    return F.coalesce(*texts, F.col("id").cast("string"))
 
 
 def search_dim(nodes: DataFrame, term: str) -> DataFrame:

@@ -81,16 +81,27 @@ def analyze_dag(nodes: DataFrame, edges: DataFrame, components: DataFrame) -> Da
 
 
 def dag_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, depth) of an acyclic graph: the longest path from a root. One join a level."""
-    depth = written(nodes.select("id", F.lit(0).cast("long").alias("depth")), "depth")
-    frontier = depth
+    """(id, depth): the longest path from a root, level by level: a node's level is settled once all before it are.
+
+    Where that leaves nodes over, there are cycles: then :func:`cyclic_depth` has the result.
+    """
+    links = written(edges.select("src", "dst").distinct(), "links")
+    waits = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("waits"))
+    left = written(nodes.select("id").distinct().join(waits, "id", "left").select("id", F.coalesce("waits", F.lit(0)).alias("waits")), "waiting")
+    found, level = None, 0
     while True:
-        deeper = edges.join(frontier, edges["src"] == frontier["id"]).groupBy("dst").agg((F.max("depth") + 1).alias("deeper"))
-        deeper = written(deeper.withColumnRenamed("dst", "id").join(depth, "id").where("deeper > depth").select("id", F.col("deeper").alias("depth")), "deeper")
-        if not deeper.limit(1).count():
-            return depth
-        depth = written(depth.join(deeper.withColumnRenamed("depth", "new"), "id", "left").select("id", F.coalesce("new", "depth").alias("depth")), "depth")
-        frontier = deeper
+        now = written(left.where("waits = 0").select("id", F.lit(level).cast("long").alias("depth")), "level")
+        if not now.limit(1).count():
+            break
+        found = now if found is None else found.unionByName(now)
+        if level % 16 == 15:
+            found = written(found, "levels")
+        done = links.join(now.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("done"))
+        left = written(left.where("waits > 0").join(done, "id", "left").select("id", (F.col("waits") - F.coalesce("done", F.lit(0))).alias("waits")), "waiting")
+        level += 1
+    if left.limit(1).count():
+        return cyclic_depth(nodes, edges)
+    return found if found is not None else nodes.select("id", F.lit(0).cast("long").alias("depth"))
 
 
 def cyclic_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -133,6 +144,12 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("id").agg(F.sort_array(F.collect_set("other")).alias("neighbours"), F.count("*").alias("links"))
 
 
+def neighbour_counts(edges: DataFrame) -> DataFrame:
+    """(id, n_neighbours, links): a hub's neighbours are counted by pairs, never gathered."""
+    pairs = both_ways(edges).groupBy("id", "other").agg(F.count("*").alias("links"))
+    return pairs.groupBy("id").agg(F.count("*").alias("n_neighbours"), F.sum("links").alias("links"))
+
+
 def parallel_edges(edges: DataFrame, key: str = "id") -> DataFrame:
     """Edges with their place in, and the size of, the group between the same two nodes; ``rotation`` fans them out."""
     pair = [F.least("src", "dst"), F.greatest("src", "dst")]
@@ -153,6 +170,14 @@ def without_dangling(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     return kept, inside
 
 
+def dangling_summary(nodes: DataFrame, edges: DataFrame, most_nodes: int, most_edges: int) -> DataFrame:
+    """One row: nodes and edges kept, edges with a missing end, and ``truncated``: a limit was reached or an edge dangles."""
+    kept, inside = without_dangling(nodes, edges)
+    counts = kept.agg(F.count("*").alias("nodes")).crossJoin(inside.agg(F.count("*").alias("edges"))).crossJoin(edges.select("id").distinct().agg(F.count("*").alias("all")))
+    cut = (F.col("nodes") >= most_nodes) | (F.col("all") >= most_edges) | (F.col("all") > F.col("edges"))
+    return counts.select("nodes", "edges", (F.col("all") - F.col("edges")).alias("dangling"), cut.alias("truncated"))
+
+
 def highlight_states(nodes: DataFrame, layer1: DataFrame, layer2: DataFrame) -> DataFrame:
     """(id, state): layer2 over layer1 over out."""
     one = layer1.select("id").distinct().withColumn("in1", F.lit(True))

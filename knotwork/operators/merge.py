@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import name_key, nfc, node_kgid, rel_kgid
+from ..functions.identity import ascii_name_key, name_key, nfc, node_kgid, rel_kgid
 from ..limits import PAIRS_REPORTED, RESERVED_PROPS
 
 
@@ -22,13 +22,20 @@ def order() -> Column:
 
 def dictionary_index(entries: DataFrame) -> DataFrame:
     """(label, variant_key, canonical_label, canonical_name) of ``entries(canonical_label, canonical_name, label, name)``; a variant of itself is none."""
-    keyed = entries.select("label", name_key(F.col("name")).alias("variant_key"), "canonical_label", "canonical_name", name_key(F.col("canonical_name")).alias("own_key"))
+    keyed = entries.select("label", name_key(F.col("name")).alias("variant_key"), "canonical_label", nfc(F.col("canonical_name")).alias("canonical_name"), name_key(F.col("canonical_name")).alias("own_key"))
     return keyed.where(~((F.col("label") == F.col("canonical_label")) & (F.col("variant_key") == F.col("own_key")))).drop("own_key").distinct()
 
 
 def canonicalize(nodes: DataFrame, dictionary: DataFrame | None = None, key=name_key) -> DataFrame:
     """Nodes with canonical label and name, ``changed``, name_key and kgid. The dictionary is small: one broadcast lookup."""
-    keyed = nodes.withColumn("name", nfc(F.col("name"))).withColumn("variant_key", key(F.col("name")))
+    named = nodes
+    if key is name_key:
+        # Only rows with other than ASCII names go through Python.
+        plain = F.coalesce(F.col("name").rlike("^[\\x00-\\x7F]*$"), F.lit(True))
+        named = nodes.where(plain).unionByName(nodes.where(~plain).withColumn("name", nfc(F.col("name"))))
+    # Composed by now.
+    key = ascii_name_key
+    keyed = named.withColumn("variant_key", key(F.col("name")))
     if dictionary is None:
         found = keyed.withColumn("changed", F.lit(False))
     else:

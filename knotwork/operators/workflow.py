@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +69,10 @@ def next_page(files: DataFrame, batch: str) -> DataFrame:
 
 
 def review(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Ledger after ``decisions(file, approve, reason)``: approval clears the counter, rejection raises it."""
+    """Ledger after ``decisions(file, approve, reason)``: approval clears counter and reason, rejection raises and sets them; other files stay as they are."""
     rows = ledger.join(decisions, "file", "left")
     count = F.when(F.col("approve"), 0).when(~F.col("approve"), F.col("reject_count") + 1).otherwise(F.col("reject_count"))
-    return rows.withColumn("reject_count", count).withColumn("last_reject_reason", F.when(~F.col("approve"), F.col("reason"))).drop("approve", "reason")
+    return rows.withColumn("reject_count", count).withColumn("last_reject_reason", F.when(~F.col("approve"), F.col("reason")).when(F.col("approve"), F.lit(None)).otherwise(F.col("last_reject_reason"))).drop("approve", "reason")
 
 
 def remove_sources(ledger: DataFrame, targets: DataFrame, block: bool) -> DataFrame:
@@ -81,9 +83,13 @@ def remove_sources(ledger: DataFrame, targets: DataFrame, block: bool) -> DataFr
     return ledger.join(gone, "key", "left").withColumn("status", F.when(F.col("gone"), "blocked").otherwise(F.col("status"))).drop("gone")
 
 
-def collection_verdict(collected: Column, failed: Column, robots: Column) -> Column:
-    """success, partial or fail from a run's counters; nothing but robots refusals is a failure."""
-    return F.when(collected == 0, "fail").when(failed > 0, "partial").otherwise("success")
+def collection_verdict(collected: Column, failed: Column, robots: Column, passed: Column | None = None) -> Column:
+    """success, partial or fail from a run's counters; nothing but robots refusals is a failure.
+
+    ``passed``: sources that were known or came twice; they count as progress, as collected ones do.
+    """
+    progress = collected + (F.lit(0) if passed is None else passed) > 0
+    return F.when(failed > 0, F.when(progress, "partial").otherwise("fail")).when(~progress & (robots > 0), "fail").otherwise("success")
 
 
 def status_counts(files: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -104,28 +110,41 @@ def engine_choice(argument: Column, environment: Column, default: str, known: li
     return F.when(chosen.isin(known), chosen)
 
 
-def crawl(start: DataFrame, links: DataFrame, known: DataFrame | None = None, blocked: DataFrame | None = None, pages: int = CRAWL_PAGES, levels: int = 10) -> DataFrame:
+def crawl(start: DataFrame, links: DataFrame, known: DataFrame | None = None, blocked: DataFrame | None = None, pages: int = CRAWL_PAGES, robots: Callable[[Column], Column] | None = None) -> DataFrame:
     """(url, domain, level, place): pages a crawl tries, breadth first, inside the start's registered domain.
 
     ``start(url, domain)``, ``links(src, pos, dst, dst_domain)``; known pages are
     passed over without counting as tries but their links go on; blocked ones
-    are left out. The cap holds per domain, in queue order.
+    and those that ``robots`` (a column function of urls) forbids are left out
+    and count for nothing. The cap holds per domain, in queue order: what comes
+    behind it is not tried, and its links are not followed, so the walk ends
+    when all domains are full or out of links, however long the way.
     """
-    order = Window.partitionBy("domain").orderBy("level", "from_place", "pos", "url")
     out = blocked.select("url") if blocked is not None else start.select("url").limit(0)
-    skip = known.select("url").withColumn("known", F.lit(True)) if known is not None else start.select("url").limit(0).withColumn("known", F.lit(True))
-    seen = written(start.join(out, "url", "left_anti").select("url", "domain", F.lit(0).alias("level"), F.lit(0).cast("long").alias("from_place"), F.lit(0).cast("long").alias("pos")), "frontier")
-    frontier = seen
-    for level in range(1, levels + 1):
-        placed = seen.withColumn("place", F.row_number().over(order).cast("long")).join(frontier.select("url"), "url", "left_semi")
-        next_ = links.join(placed.select(F.col("url").alias("src"), "domain", F.col("place").alias("from_place")), "src").where("dst_domain = domain")
-        next_ = next_.join(out.withColumnRenamed("url", "dst"), "dst", "left_anti").groupBy(F.col("dst").alias("url"), "domain").agg(F.min(F.struct("from_place", "pos")).alias("at"))
-        frontier = written(next_.select("url", "domain", F.lit(level).alias("level"), "at.from_place", "at.pos").join(seen.select("url"), "url", "left_anti"), "frontier")
+    skip = (known.select("url").distinct() if known is not None else start.select("url").limit(0)).withColumn("known", F.lit(True))
+
+    def allowed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(out, "url", "left_anti")
+        return rows.where(~F.coalesce(robots(F.col("url")), F.lit(False))) if robots is not None else rows
+
+    queue = allowed(start.select("url", "domain").distinct()).select("url", "domain", F.lit(0).cast("long").alias("from_place"), F.lit(0).cast("long").alias("pos"))
+    before = start.select("domain").distinct().select("domain", F.lit(0).cast("long").alias("queued"), F.lit(0).cast("long").alias("tries"))
+    order = Window.partitionBy("domain").orderBy("from_place", "pos", "url")
+    seen, level = None, 0
+    while True:
+        rows = queue.join(skip, "url", "left").join(before, "domain").withColumn("new", F.col("known").isNull().cast("long"))
+        rows = rows.withColumn("place", F.col("tries") + F.sum("new").over(order)).withColumn("at", F.col("queued") + F.row_number().over(order))
+        # A known page goes on as long as tries are left when its turn comes.
+        rows = rows.where((F.col("new") == 1) & (F.col("place") <= pages) | (F.col("new") == 0) & (F.col("place") < pages))
+        frontier = written(rows.select("url", "domain", F.lit(level).alias("level"), "new", "place", "at"), "frontier")
         if not frontier.limit(1).count():
             break
-        seen = seen.unionByName(frontier)
-    tried = seen.join(skip, "url", "left").where("known is null").withColumn("place", F.row_number().over(order).cast("long"))
-    return tried.where(F.col("place") <= pages).select("url", "domain", "level", "place")
+        seen, level = frontier if seen is None else written(seen.unionByName(frontier), "crawled"), level + 1
+        before = written(seen.groupBy("domain").agg(F.max("at").alias("queued"), F.sum("new").alias("tries")), "counters")
+        next_ = links.join(frontier.select(F.col("url").alias("src"), "domain", F.col("at").alias("from_place")), "src").where("dst_domain = domain")
+        next_ = next_.groupBy(F.col("dst").alias("url"), "domain").agg(F.min(F.struct("from_place", "pos")).alias("first")).select("url", "domain", "first.from_place", "first.pos")
+        queue = allowed(next_.join(seen.select("url"), "url", "left_anti"))
+    return (seen if seen is not None else frontier).where("new = 1").select("url", "domain", "level", "place")
 
 
 def qa_pairs(turns: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -138,11 +157,12 @@ def qa_pairs(turns: DataFrame, session: str = "conv_id", order: str = "turn") ->
 
 
 def population_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """n, upper median, mean and greatest value of each group. The median is picked by rank, not gathered in one array."""
-    each, all_ = Window.partitionBy(group).orderBy(value), Window.partitionBy(group)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("k", F.row_number().over(each)).withColumn("n", F.count("*").over(all_))
-    middle = F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col(value)))
-    return ranked.groupBy(group).agg(F.count("*").alias("n"), middle.alias("median"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+    """n, upper median, mean and greatest value of each group, from the counts of its different values (a hot group is summed up before it moves)."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    upto, all_ = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(group)
+    ranked = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(all_))
+    middle = F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 2) + 1, F.col(value)))
+    return ranked.groupBy(group).agg(F.sum("c").alias("n"), middle.alias("median"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.max(value).alias("most"))
 
 
 def first_in_session(rows: DataFrame, session: str, order: str) -> DataFrame:

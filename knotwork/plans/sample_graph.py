@@ -85,6 +85,9 @@ class Sample:
     def graph_rels(self) -> DataFrame:
         return merge.merged_rels(self.linked)
 
+    def stored_nodes(self) -> DataFrame:
+        """The merged nodes alone, which is all that finding seeds reads."""
+        return written(self.graph_nodes, "graph-nodes")
 
     def stored(self) -> tuple[DataFrame, DataFrame]:
         """The merged graph as tables, as a rebuild leaves it for searches."""

@@ -14,6 +14,7 @@ from knotwork.plans import rebuild
 from knotwork.plans import search as search_plan
 from knotwork.sources import documents
 from knotwork.streaming import hub
+from knotwork.tables import written
 
 
 def values(spark, rows, schema, *columns):
@@ -278,7 +279,7 @@ def against_sql(spark, name, sf):
     return got
 
 
-@pytest.mark.parametrize(("name", "rows"), [("dag_depth_whole", 15000), ("highlight_state_whole", 1500), ("highlight_nm_whole", 2), ("citation_verify_whole", 40), ("filtered_subgraph_whole", 45)])
+@pytest.mark.parametrize(("name", "rows"), [("dag_depth", 15000), ("highlight_state", 1500), ("highlight_nm", 2), ("citation_verify", 40), ("filtered_subgraph", 45)])
 def test_whole_tables(spark, name, rows):
     assert len(against_sql(spark, name, "/root/testdata/sf0.01")) >= rows
 
@@ -298,14 +299,14 @@ def test_whole_components(spark):
         reach |= reach[:, [k]] & reach[[k], :]
     least = (reach & reach.T).argmax(1)
     nodes, links = catalog._cycles_whole(spark, sf)
-    parts = graph.strong_components(nodes, links).localCheckpoint()
+    parts = written(graph.strong_components(nodes, links), "parts")
     assert {r.id: r.component for r in parts.collect()} == dict(enumerate(least.tolist())) and np.bincount(least).max() > 60
     cyclic = {(a, b) for a, b in edges if least[a] == least[b]}
     assert {tuple(r) for r in graph.cyclic_edges(links, parts).select("src", "dst").collect()} == cyclic
     assert tuple(graph.analyze_dag(nodes, links, parts).first()) == (False, len(cyclic), sum(a == b for a, b in cyclic), int((np.bincount(least) > 1).sum()))
 
 
-@pytest.mark.parametrize(("name", "rows"), [("khop_1_whole", 100), ("khop_2_whole", 100), ("seed_global_cap_whole", 13), ("node_facts_whole", 1000)])
+@pytest.mark.parametrize(("name", "rows"), [("khop_1", 100), ("khop_2", 100), ("seed_global_cap", 13), ("node_facts", 1000)])
 def test_operators_own_limits(spark, name, rows):
     assert len(against_sql(spark, name, "/root/testdata/sf0.01")) >= rows
 
@@ -335,6 +336,55 @@ def test_paths_over_all_types(spark):
             paths = paths | new
         if end in paths:
             want[pair] = (length, ">".join(paths[end]))
-    got = {r.pair: (r.length, r.path) for r in catalog.queries()["shortest_path_pairs_whole"](spark, sf).collect()}
+    got = {r.pair: (r.length, r.path) for r in catalog.queries()["shortest_path_pairs"](spark, sf).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and got[1][0] == 2
     assert got == want
+
+
+def test_review_and_verdicts(spark):
+    ledger = spark.createDataFrame([("a", 1, "old"), ("b", 2, "old"), ("c", 0, None)], "file string, reject_count int, last_reject_reason string")
+    decisions = spark.createDataFrame([("a", True, None), ("c", False, "new")], "file string, approve boolean, reason string")
+    got = {r.file: (r.reject_count, r.last_reject_reason) for r in workflow.review(ledger, decisions).collect()}
+    assert got == {"a": (0, None), "b": (2, "old"), "c": (1, "new")}
+    rows = [(3, 0, 0, 0), (3, 1, 0, 0), (0, 1, 0, 0), (0, 0, 2, 0), (0, 0, 0, 2), (0, 1, 0, 1)]
+    verdict = workflow.collection_verdict(*map(F.col, "cfrp"))
+    assert [v[0] for v in values(spark, rows, "c int, f int, r int, p int", verdict)] == ["success", "partial", "fail", "fail", "success", "partial"]
+    failures = [(1, "disk quota of the host", "crash"), (1, "Quota exceeded", "rate_limit"), (0, "429", "ok"), (1, "HTTP 429", "rate_limit"), (1, "dong 429-2", "crash"), (1, "사용량 한도", "rate_limit")]
+    kind = text.engine_failure(F.col("c"), F.col("e"), F.lit(False), F.lit(None).cast("string"))
+    assert [tuple(v) for v in values(spark, failures, "c int, e string, w string", kind, "w")] == [(w, w) for *_, w in failures]
+
+
+def test_depth_with_cycles_ends(spark):
+    nodes = spark.range(7).select("id")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 1), (2, 3), (4, 4), (5, 6)], "src long, dst long")
+    got = {r.id: r.depth for r in graph.dag_depth(nodes, edges).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 2, 4: 0, 5: 0, 6: 1}
+
+
+def test_crawl(spark):
+    """Long ways, the cap, known pages and robots."""
+    chain = [(f"u{i}", 0, f"u{i + 1}", "d") for i in range(25)]
+    links = spark.createDataFrame(chain + [("u0", 1, "x", "other"), ("u1", 1, "r", "d"), ("u1", 2, "b", "d")], "src string, pos long, dst string, dst_domain string")
+    start = spark.createDataFrame([("u0", "d")], "url string, domain string")
+    known, blocked = spark.createDataFrame([("u2",), ("u4",)], "url string"), spark.createDataFrame([("b",)], "url string")
+    got = workflow.crawl(start, links, known, blocked, pages=15, robots=lambda u: u == "r").orderBy("place").collect()
+    tried = [f"u{i}" for i in range(17) if i not in (2, 4)]
+    assert [(r.url, r.level, r.place) for r in got] == [(u, int(u[1:]), k) for k, u in enumerate(tried, 1)]
+    wide = spark.createDataFrame([("u0", i, f"w{i:02}", "d") for i in range(30)] + [("w20", 0, "y", "d")], "src string, pos long, dst string, dst_domain string")
+    assert [r.url for r in workflow.crawl(start, wide, pages=5).orderBy("place").collect()] == ["u0", "w00", "w01", "w02", "w03"]
+    assert workflow.crawl(start.limit(0), links).count() == 0
+
+
+def test_generate_changes_engine_on_a_used_up_quota_only(spark, tmp_path):
+    from knotwork.api import Engine
+
+    def first(prompt):
+        if "limit" in prompt:
+            raise RuntimeError("usage limit reached")
+        if "crash" in prompt:
+            raise RuntimeError("disk quota")
+        return "```json\n{\"a\": 1}\n```" if "bad output" in prompt or "good" in prompt else "no object"
+
+    rows = spark.createDataFrame([("s1", "good"), ("s2", "limit"), ("s3", "crash"), ("s4", "odd")], "stem string, prompt string")
+    got = {r.stem: (r.json, r.error) for r in Engine(spark, str(tmp_path)).kg_generate(rows, first, lambda p: '{"p": "' + p + '"}').collect()}
+    assert got["s1"] == ('{"a": 1}', None) and got["s2"] == ('{"p": "limit"}', None) and got["s3"][0] is None and got["s4"] == ('{"a": 1}', None)
