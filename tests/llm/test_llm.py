@@ -448,7 +448,7 @@ def test_ann_magnitudes(spark):
     assert {*got.query_id} == {0, 20, 40, 60, 80, 100} and (got.groupby("query_id").size() == 5).all()
     with np.errstate(over="ignore", invalid="ignore"):
         for r in got.itertuples():
-            assert r.score == (x[r.query_id] * x[r.vec_id]).sum()
+            np.testing.assert_equal(r.score, (x[r.query_id] * x[r.vec_id]).sum())  # products may be infinite, or no number
     assert (got[got.query_id > 80].vec_id < 40).all()
 
 
