@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import limits as L
-from .functions import identity, text
+from .functions import identity, notices, text
 from .operators import audit, filters, graph, merge, validate, workflow
 from .operators import search as S
 from .plans.sample_graph import sample, table
@@ -879,6 +879,143 @@ def engine_choices(spark, sf_dir):
     return users.select("user_id", F.coalesce(F.nullif(argument, F.lit("")), environment, F.lit("one")).alias("asked"), workflow.engine_choice(argument, environment, "one", ["one", "two"]).alias("engine"))
 
 
+# --- texts of counters, moves at review, audits of what clients saw ------------------------------------------
+
+PER_USER = "u AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') AS views FROM events GROUP BY user_id)"
+
+
+@query(f"""WITH {PER_USER} SELECT user_id, CASE user_id % 4 WHEN 0 THEN '{notices.CITED_ALL}' WHEN 1 THEN '인용 ' || n || '건 중 ' || views || '건이 검색 결과에 존재 (일부 탈락)' WHEN 2 THEN '{notices.CITED_NONE}' ELSE '{notices.CITED_NOT_YET}' END AS phrase,
+CASE WHEN views < n THEN '검색 결과 ' || n || '개 중 ' || views || '개 표시 중 — ' || CASE WHEN user_id % 2 = 0 THEN '필터 해제' ELSE '그래프 새로고침' END || ' 권장' END AS notice FROM u""")
+def counter_texts(spark, sf_dir):
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "view").alias("views"))
+    kind, n, views = F.pmod("user_id", F.lit(4)), F.col("n"), F.col("views")
+    status = F.when(kind == 0, "verified").when(kind == 1, "partial").when(kind == 2, "none")
+    return users.select("user_id", notices.citation_phrase(status, n, views).alias("phrase"), notices.coverage_notice(n, views, F.pmod("user_id", F.lit(2)) == 0).alias("notice"))
+
+
+@query(f"""WITH s AS (SELECT user_id, event_id, chr(39) || 'w' || event_id || chr(39) || '는 그래프에 없어, 이 호출의 question에서 자모 1개만 다른 ' || chr(39) || event_type || chr(39) || '로 다시 검색함' AS line FROM events WHERE event_id % 3 = 0 AND event_id % 2 > 0),
+r AS (SELECT user_id, '키워드 자동 재검색 ' || count(*) || '건: ' || string_agg(line, ' / ' ORDER BY event_id) || ' (자동 추정 — 확정된 오타 판정이 아니다)' || chr(10) || '{notices.RESTORED_ADVICE}' AS lines FROM s GROUP BY user_id)
+SELECT user_id, coalesce(lines, '') AS lines FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN r USING (user_id)""")
+def restoration_texts(spark, sf_dir):
+    seed = F.struct("event_id", F.col("event_type").alias("keyword"), F.when(F.pmod("event_id", F.lit(3)) == 0, F.concat(F.lit("w"), "event_id")).alias("restored_from"), F.pmod("event_id", F.lit(2)).alias("n_matched"))
+    seeds = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(seed)).alias("seeds"))
+    return seeds.select("user_id", F.array_join(notices.restoration_lines(F.col("seeds")), "\n").alias("lines"))
+
+
+@query("""SELECT event_id, ([502, 502, 502, 504, 504, 502, 500, 500])[event_id % 8 + 1] AS status, (['AUTH_FAILED', 'NETWORK_ERROR', 'NETWORK_ERROR', 'TIMEOUT', 'TIMEOUT', 'NETWORK_ERROR', 'INTERNAL_ERROR', 'INTERNAL_ERROR'])[event_id % 8 + 1] AS code FROM events""")
+def database_statuses(spark, sf_dir):
+    n = F.pmod("event_id", F.lit(8))
+    code = F.when(n == 0, L.DATABASE_AUTH_CODES[1]).when(n == 1, "SessionExpired").when(n == 3, L.DATABASE_TIMEOUT_CODES[0])
+    name = F.when(n == 2, L.DATABASE_ERROR_NAME).when(n == 6, "TypeError")
+    message = F.when(n == 2, "No routing servers").when(n == 4, "it timed out").when(n == 5, "EHOSTUNREACH 10.0.0.1").when(n == 6, "bad certificate").when(n == 7, "else")
+    return table(spark, sf_dir, "events").select("event_id", text.database_status(code, name, message).alias("s")).select("event_id", "s.*")
+
+
+@query("""WITH d AS (SELECT doc_id, 'd' || doc_id AS stem, doc_id % 6 < 3 AS approve, doc_id % 3 = 0 AS gen, doc_id % 4 = 0 AS rev, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS rej, CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 END AS led FROM documents),
+m AS (SELECT *, CASE WHEN gen THEN 'Generated' WHEN NOT approve AND rev THEN 'Reviewed' END AS came_from, greatest(coalesce(led, 0), rej) + 1 AS times FROM d)
+SELECT stem, came_from, CASE WHEN came_from IS NULL THEN NULL WHEN approve THEN 'Reviewed' ELSE 'Rejected' END AS goes_to, CASE WHEN came_from IS NULL THEN NULL WHEN approve THEN stem || '.kg.json' ELSE stem || '.kg.rej' || times || '.json' END AS file,
+CASE WHEN came_from IS NULL THEN coalesce(led, 0) WHEN approve THEN 0 ELSE times END AS reject_count, came_from IS NOT NULL AND NOT approve AND times >= 3 AS held, came_from IS NOT NULL AND NOT approve AND came_from = 'Reviewed' AS rebuild,
+CASE WHEN came_from IS NULL OR approve THEN NULL WHEN doc_id % 11 = 0 THEN 'not_asked' WHEN times >= 3 THEN 'held' WHEN doc_id % 7 = 0 THEN 'no_input' ELSE 'run' END AS again FROM m""")
+def review_moves(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("stem"))
+    folders = [F.when(F.col("doc_id") % n == 0, name) for n, name in ((3, "Generated"), (4, "Reviewed"), (5, "Rejected"), (5, "Rejected"))]
+    files = docs.select("stem", F.explode(F.array_compact(F.array(*folders))).alias("folder"))
+    ledger = docs.where("doc_id % 2 = 0").select("stem", (F.col("doc_id") % 4).alias("reject_count"))
+    decisions = docs.select("stem", (F.col("doc_id") % 6 < 3).alias("approve"), (F.col("doc_id") % 11 != 0).alias("regenerate"))
+    return workflow.review_moves(files, ledger, docs.where("doc_id % 7 <> 0"), decisions)
+
+
+HC = """p AS (SELECT DISTINCT user_id AS s, CASE WHEN event_id % 2 = 0 THEN 'node' ELSE 'rel' END AS kind, event_id % 20 AS id FROM events),
+l1 AS (SELECT * FROM p WHERE NOT (s % 5 = 0 AND id = 3)), l2 AS (SELECT * FROM l1 WHERE s % 3 = 0 AND id % 4 = 0 UNION ALL SELECT DISTINCT s, 'node', 99 FROM p WHERE s % 7 = 0),
+d1 AS (SELECT l1.* FROM l1 LEFT JOIN l2 USING (s, kind, id) WHERE l1.s % 11 = 0 OR l2.s IS NULL),
+c AS (SELECT *, coalesce(n2_, 0) AS n2, coalesce(nd_, 0) AS nd, coalesce(twice_, 0) AS twice, coalesce(r1_, 0) AS r1 FROM (SELECT s, count(*) AS np, count(*) FILTER (kind = 'rel') AS rp FROM p GROUP BY s) LEFT JOIN (SELECT s, count(*) AS n2_ FROM l2 GROUP BY s) USING (s)
+LEFT JOIN (SELECT s, count(*) AS nd_ FROM d1 GROUP BY s) USING (s) LEFT JOIN (SELECT s, count(*) AS twice_ FROM d1 JOIN l2 USING (s, kind, id) GROUP BY s) USING (s) LEFT JOIN (SELECT s, count(*) AS r1_ FROM l1 WHERE kind = 'rel' GROUP BY s) USING (s))"""
+HC_CHECKS = {
+    "search_id": "s % 13 <> 0", "question": "s % 13 = 0 AND s % 17 = 0 OR s % 13 <> 0 AND s % 17 <> 0", "layer1_nodes": "true", "layer1_rels": "rp = r1", "total": "s % 2 = 0", "truncated": "NOT (s % 4 = 0 AND s % 13 = 0)",
+    "layer2_nodes": "s % 7 <> 0", "layer2_rels": "true", "drawn_once": "twice = 0", "drawn": "nd + n2 = CASE WHEN s % 19 = 0 THEN 0 ELSE np END", "citation": "(s % 3 = 0) = (n2 > 0)",
+}
+
+
+@query(f"WITH {HC} " + " UNION ALL ".join(f"""SELECT s AS search_id, '{k}' AS "check", {v} AS ok FROM c""" for k, v in HC_CHECKS.items()))
+def highlight_checks(spark, sf_dir):
+    search, kind = F.col("user_id").alias("search_id"), F.when(F.col("event_id") % 2 == 0, "node").otherwise("rel").alias("kind")
+    pushed = table(spark, sf_dir, "events").select(search, kind, (F.col("event_id") % 20).alias("id")).distinct()
+    one = pushed.where("not (search_id % 5 = 0 and id = 3)")
+    two = one.where("search_id % 3 = 0 and id % 4 = 0").union(pushed.where("search_id % 7 = 0").select("search_id", F.lit("node"), F.lit(99).cast("long")).distinct())
+    drawn = one.where("search_id % 11 = 0").union(one.where("search_id % 11 <> 0").join(two, ["search_id", "kind", "id"], "left_anti"))
+    shown = [rows.select("search_id", F.lit(part).alias("part"), "kind", "id") for part, rows in (("layer1", one), ("layer2", two), ("drawn1", drawn), ("drawn2", two))]
+    totals = pushed.groupBy("search_id").agg(F.count("*").alias("n"))
+    s, asked = F.col("search_id"), F.concat(F.lit("q"), "search_id")
+    searches = totals.where("search_id % 13 <> 0").select("search_id", asked.alias("question"), F.when(s % 4 == 0, True).alias("truncated"))
+    cited = F.when(s % 3 == 0, F.when(s % 2 == 0, "verified").otherwise("partial")).otherwise("none")
+    screens = totals.select("search_id", F.when(s % 17 != 0, asked).alias("question"), (s % 4 == 0).alias("truncated"), (F.col("n") - s % 2).alias("total"), F.col("n").alias("matched"), (s % 19 != 0).alias("active"), cited.alias("citation"))
+    return audit.highlight_checks(searches, pushed, screens, shown[0].union(shown[1]).union(shown[2]).union(shown[3]))
+
+
+SAID = r"max_by(CASE WHEN role = 'user' THEN trim(regexp_replace(text, '\s+', ' ', 'g')) END, CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn)"
+
+
+def _parts(spark, sf_dir):
+    """Conversations as sessions: users' turns are utterances, the others calls with their results."""
+    asked, n = F.col("role") == "user", F.col("turn")
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session"), F.col("conv_id").alias("at"), n.alias("pos"), F.when(asked, F.col("text")).alias("utterance"),
+        F.when(~asked, F.when(n % 4 == 1, "mcp__x__kg_search").when(n % 4 == 3, "mcp__x__kg_cite")).alias("tool"), F.concat_ws("-", "conv_id", "turn").alias("tool_id"),
+        F.when(n % 8 == 1, F.concat(F.lit("q"), "conv_id")).alias("question"), F.when(F.col("conv_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))).alias("keywords"),
+        F.concat(F.lit("{"), "turn", F.lit("}")).alias("input"), F.when(~asked, F.concat(F.lit("상태: "), "turn", F.lit("\nother\n  시드 2 "))).alias("result"),
+    )
+
+
+@query(f"""WITH t AS (SELECT *, {SAID} AS said FROM conversations) SELECT conv_id || '-' || turn AS tool_id, CASE WHEN turn % 8 = 1 THEN 'q' || conv_id ELSE said END AS question, CASE WHEN turn % 8 = 1 THEN 'tool-arg' ELSE 'user-utterance' END AS question_source,
+CASE WHEN conv_id % 3 = 0 THEN 3 ELSE -1 END AS seed_count, conv_id % 3 <> 0 AS parse_failed FROM t WHERE role <> 'user' AND turn % 4 = 1 AND conv_id % 5 <> 0""")
+def probe_pairs(spark, sf_dir):
+    fence, n = "`" * 3, F.col("session") % 3
+    block = F.when(n == 0, '{"seeds": [{"keyword": "a", "matched": ["x", "y"]}, {"matched": ["z"]}, {}]}').when(n == 1, "{broken")
+    parts = _parts(spark, sf_dir)
+    results = parts.select("tool_id", F.coalesce(F.concat(F.lit(f"ok\n{fence}json\n"), block, F.lit(f"\n{fence}")), F.lit("no block")).alias("content"))
+    # -1 stands for the null of what was not measured.
+    return audit.probes(parts, results).drop("keywords").withColumn("seed_count", F.coalesce("seed_count", F.lit(-1)))
+
+
+@query(f"""WITH t AS (SELECT *, {SAID} AS said FROM conversations), l AS (SELECT max(conv_id) AS c FROM conversations WHERE role = 'user' AND contains(text, 'on '))
+SELECT conv_id AS session, turn AS pos, left(said, 60) AS question, CASE turn % 4 WHEN 1 THEN 'kg_search {{' || turn || '}}' WHEN 3 THEN 'kg_cite {{' || turn || '}}' END AS call, '상태: ' || turn || '|시드 2' AS shown FROM t, l WHERE conv_id = c AND role <> 'user' AND contains(said, 'on ')""")
+def answer_trace(spark, sf_dir):
+    return audit.answer_trace(_parts(spark, sf_dir), "on ").select("session", "pos", "question", "call", F.array_join("shown", "|").alias("shown"))
+
+
+@query("""SELECT event_type AS "case", count(*) AS n, sum(('0x' || substr(sha256(event_id || chr(31) || user_id), 1, 15))::BIGINT)::VARCHAR AS digest FROM events GROUP BY event_type""")
+def golden_digests(spark, sf_dir):
+    return audit.digests(table(spark, sf_dir, "events"), "event_type", "event_id", "user_id")
+
+
+@query("""SELECT DISTINCT event_type AS "case", CASE event_type WHEN 'view' THEN 'changed' WHEN 'signup' THEN 'missing' WHEN 'click' THEN 'new' ELSE 'same' END AS verdict FROM events""")
+def golden_verdicts(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    now = events.where("event_type <> 'signup'").withColumn("user_id", F.when(F.col("event_type") == "view", F.col("user_id") + 1).otherwise(F.col("user_id")))
+    before, after = (audit.digests(rows, "event_type", "event_id", "user_id") for rows in (events.where("event_type <> 'click'"), now))
+    return audit.golden_differences(before, after)
+
+
+@query("""WITH c AS (SELECT DISTINCT CASE WHEN p_partkey % 10 = 0 THEN 'no ' ELSE '' END || p_name AS name, (['colour', 'maker', 'weight'])[p_partkey % 3 + 1] AS prop FROM part)
+SELECT name, prop, CASE WHEN prop = 'weight' OR lower(name) NOT IN (SELECT lower(p_name) FROM part) THEN 'unmeasured' WHEN prop = 'maker' THEN 'refuted' ELSE 'true' END AS verdict FROM c""")
+def property_absence(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    prop = F.element_at(F.array(F.lit("colour"), F.lit("maker"), F.lit("weight")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    claims = part.select(F.concat(F.when(F.col("p_partkey") % 10 == 0, "no ").otherwise(""), "p_name").alias("name"), prop.alias("prop")).distinct()
+    values = part.select(identity.ascii_name_key(F.col("p_name")).alias("name_key"), F.explode(F.array(F.lit("brand"), F.lit("type"))).alias("prop"))
+    families = spark.createDataFrame([("colour", "^colou?r"), ("maker", "^brand$"), ("maker", "^make")], "family string, pattern string")
+    return audit.absent_properties(claims, values, families)
+
+
+@query("""WITH t AS (SELECT DISTINCT o_custkey AS k, o_orderstatus AS type FROM orders)
+SELECT c_name AS name, '^[F]' AS pattern, CASE WHEN c_custkey % 9 = 0 THEN 'unmeasured' WHEN EXISTS (SELECT 1 FROM t WHERE k = c_custkey AND type = 'F') THEN 'refuted' ELSE 'true' END AS verdict FROM customer""")
+def relationship_absence(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    nodes = customer.where("c_custkey % 9 <> 0").select(identity.ascii_name_key(F.col("c_name")).alias("name_key"), F.concat(F.lit("c"), "c_custkey").alias("kgid"))
+    rels = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("from_kgid"), F.concat(F.lit("o"), "o_orderkey").alias("to_kgid"), F.col("o_orderstatus").alias("type"))
+    return audit.absent_relationships(customer.select(F.col("c_name").alias("name"), F.lit("^[F]").alias("pattern")), nodes, rels)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -22,4 +22,11 @@ REQUIRED_META = ["input_file", "schema_version", "engine", "generated_at"]
 # What stderr says of a used-up quota (a bare 429 may be part of an address), and what a database's errors say.
 RATE_LIMIT = r"(?i)rate[ _-]?limit|usage limit|quota exceeded|too many requests|사용량 한도|한도에 도달|(?:http|status)[^0-9]{0,10}429"
 DATABASE_AUTH, DATABASE_PAUSED = "(?i)Unauthorized|authentication", "(?i)ServiceUnavailable|routing|Connection was closed|Failed to connect|ECONNREFUSED|ETIMEDOUT"
+DATABASE_ERROR_NAME = "Neo4jError"
+DATABASE_AUTH_CODES = ["Neo.ClientError.Security.Unauthorized", "Neo.ClientError.Security.AuthenticationRateLimit"]
+DATABASE_GONE_CODES = ["ServiceUnavailable", "SessionExpired"]
+DATABASE_TIMEOUT_CODES = ["Neo.ClientError.Transaction.TransactionTimedOut", "Neo.ClientError.Transaction.TransactionTimedOutClientConfiguration"]
+DATABASE_CONNECTION, DATABASE_TIMEOUT, DATABASE_UNREACHABLE = "(?i)connection|routing|ECONNREFUSED|ENOTFOUND|certificate|TLS", "(?i)timeout|timed out", "(?i)ECONNREFUSED|ENOTFOUND|EHOSTUNREACH|ETIMEDOUT"
+# Words that mark a result's lines worth showing.
+RESULT_LINES = "상태:|시드|인용|과잉|그래프에 없는|절단|viewer|delivered"
 TRACKING = ["fbclid", "gclid", "dclid", "msclkid", "yclid", "igshid", "mc_cid", "mc_eid", "ref_src", "spm"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import kg_file, rejected_file
 from ..limits import CRAWL_PAGES, HELD_AT_REJECTIONS
 from ..tables import written
 
@@ -75,6 +76,33 @@ def review(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.withColumn("reject_count", count).withColumn("last_reject_reason", F.when(~F.col("approve"), F.col("reason")).when(F.col("approve"), F.lit(None)).otherwise(F.col("last_reject_reason"))).drop("approve", "reason")
 
 
+def review_moves(files: DataFrame, ledger: DataFrame, inputs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Where each decided document goes, and what follows from it.
+
+    ``files(folder, stem)``, ``ledger(stem, reject_count)``, ``inputs(stem)``,
+    ``decisions(stem, approve, regenerate)``. Approval takes a document from
+    Generated to Reviewed. Rejection takes it from Generated, else from Reviewed,
+    to Rejected under its next number; one that was Reviewed must leave the graph
+    (``rebuild``). ``again`` says whether it is generated anew: run, not_asked,
+    held or no_input. Null ``goes_to``: the document isn't where it would have to be.
+    """
+    has = files.groupBy("stem").agg(*(F.count_if(F.col("folder") == x).alias(x) for x in ("Generated", "Reviewed", "Rejected")))
+    counted = ledger.groupBy("stem").agg(F.max("reject_count").alias("reject_count"))
+    source = inputs.select("stem").distinct().withColumn("has_input", F.lit(True))
+    rows = decisions.join(has, "stem", "left").join(counted, "stem", "left").join(source, "stem", "left")
+    came = F.when(F.col("Generated") > 0, "Generated").when(~F.col("approve") & (F.col("Reviewed") > 0), "Reviewed")
+    rows = rows.withColumn("came_from", came).withColumn("times", rejection_round(F.col("reject_count"), F.col("Rejected")))
+    moved, rejected = F.col("came_from").isNotNull(), F.col("came_from").isNotNull() & ~F.col("approve")
+    held = F.col("times") >= HELD_AT_REJECTIONS
+    again = F.when(~F.coalesce("regenerate", F.lit(True)), "not_asked").when(held, "held").when(F.col("has_input").isNull(), "no_input").otherwise("run")
+    return rows.select(
+        "stem", "came_from", F.when(moved, F.when(F.col("approve"), "Reviewed").otherwise("Rejected")).alias("goes_to"),
+        F.when(rejected, rejected_file(F.col("stem"), F.col("times"))).when(moved, kg_file(F.col("stem"))).alias("file"),
+        F.when(rejected, F.col("times")).when(moved, F.lit(0)).otherwise(F.coalesce("reject_count", F.lit(0))).cast("long").alias("reject_count"),
+        (rejected & held).alias("held"), (rejected & (F.col("came_from") == "Reviewed")).alias("rebuild"), F.when(rejected, again).alias("again"),
+    )
+
+
 def remove_sources(ledger: DataFrame, targets: DataFrame, block: bool) -> DataFrame:
     """Ledger without the targets and their twins, or with them blocked."""
     gone = twins(ledger, targets).withColumn("gone", F.lit(True))

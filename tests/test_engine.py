@@ -388,3 +388,38 @@ def test_generate_changes_engine_on_a_used_up_quota_only(spark, tmp_path):
     rows = spark.createDataFrame([("s1", "good"), ("s2", "limit"), ("s3", "crash"), ("s4", "odd")], "stem string, prompt string")
     got = {r.stem: (r.json, r.error) for r in Engine(spark, str(tmp_path)).kg_generate(rows, first, lambda p: '{"p": "' + p + '"}').collect()}
     assert got["s1"] == ('{"a": 1}', None) and got["s2"] == ('{"p": "limit"}', None) and got["s3"][0] is None and got["s4"] == ('{"a": 1}', None)
+
+
+@pytest.mark.parametrize("name", ["counter_texts", "restoration_texts", "database_statuses", "review_moves", "highlight_checks", "probe_pairs", "answer_trace", "golden_digests", "golden_verdicts", "property_absence", "relationship_absence"])
+def test_texts_moves_and_audits(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in "customer part orders events documents conversations".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(catalog.oracle_sql()[name]).df()
+    got = catalog.queries()[name](spark, sf).toPandas()[list(want.columns)]
+    rows = lambda d: sorted(map(repr, d.astype(object).where(d.notna(), None).values.tolist()))
+    assert rows(got) == rows(want) and len(got)
+
+
+def test_sink_keeps_what_is_not_its_own(spark, tmp_path):
+    node = "kgid string, label string, name_key string, name string, reviewed_files array<string>, input_files array<string>"
+    rel = "kgid string, from_kgid string, type string, to_kgid string, reviewed_files array<string>"
+    out, none = str(tmp_path / "g"), spark.createDataFrame([], rel)
+    ours = [("a", "P", "a", "A", ["f"], ["f"]), ("b", "P", "b", "B", ["f"], ["f"])]
+    theirs = [("x", "P", "x", "X", None, None), ("y", "P", "y", "Y", [], []), (None, "Q", None, "Z", None, None)]
+    links = [("r1", "x", "T", "y", None), ("r2", "x", "T", "a", None), ("r3", "a", "T", "b", ["f"])]
+    documents.write_graph(spark.createDataFrame(ours + theirs, node), spark.createDataFrame(links, rel), out, "b9")
+    documents.write_graph(spark.createDataFrame(ours[:1], node), none, out, "b10")
+    nodes, rels = documents.read_graph(spark, out)
+    assert documents.current_build(spark, out) == "b10"
+    assert sorted(r.name for r in nodes.collect()) == ["A", "X", "Y", "Z"] and [r.kgid for r in rels.collect()] == ["r1"]
+    for rows, links, build in ((ours + ours[:1], [], "b11"), ([*ours, ("c", "P", "b", "C", ["f"], ["f"])], [], "b12"), ([("c", "P", "x", "C", ["f"], ["f"])], [], "b13"), (ours, links[2:] * 2, "b14"), (ours, [], "b10")):
+        with pytest.raises(ValueError, match=build):
+            documents.write_graph(spark.createDataFrame(rows, node), spark.createDataFrame(links, rel), out, build)
+    assert documents.current_build(spark, out) == "b10"
+    with pytest.raises(FileNotFoundError):
+        documents.read_graph(spark, str(tmp_path / "other"))
+
