@@ -7,7 +7,7 @@ single rows are columns, failures of a whole verb exceptions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -39,14 +39,17 @@ class Engine:
 
     # Collection -------------------------------------------------------------------------------------------
 
-    def collect_web(self, start: DataFrame, links: DataFrame, fetch: Callable[[str], str], pages: int = L.CRAWL_PAGES) -> DataFrame:
-        """Pages from ``start(url)`` over ``links(src, pos, dst)``, breadth first inside each start's domain, with ledger columns."""
-        canon = start.select(text.normalize_url("url").alias("url")).withColumn("domain", text.registrable_domain("url"))
-        known = links.select(text.normalize_url("src").alias("src"), "pos", text.normalize_url("dst").alias("dst")).withColumn("dst_domain", text.registrable_domain("dst"))
+    def collect_web(self, start: DataFrame, links: DataFrame, fetch: Callable[[str], str], pages: int = L.CRAWL_PAGES, rules: str | None = None, suffixes: Iterable[str] = text.SECOND_LEVEL) -> DataFrame:
+        """Pages from ``start(url)`` over ``links(src, pos, dst)``, breadth first inside each start's domain, with ledger columns.
+
+        ``rules``: robots.txt, where all starts are of one site; ``suffixes``: the lines of a public suffix list.
+        """
+        canon = start.select(text.normalize_url("url").alias("url")).withColumn("domain", text.registrable_domain("url", suffixes))
+        known = links.select(text.normalize_url("src").alias("src"), "pos", text.normalize_url("dst").alias("dst")).withColumn("dst_domain", text.registrable_domain("dst", suffixes))
         ledger = self._read("ledger")
         skip = ledger.where("status = 'collected'").select(F.col("source").alias("url")) if ledger is not None else None
         blocked = ledger.where("status = 'blocked'").select(F.col("source").alias("url")) if ledger is not None else None
-        tried = workflow.crawl(canon, known, skip, blocked, pages)
+        tried = workflow.crawl(canon, known, skip, blocked, pages, text.robots_blocked(rules) if rules else None)
         got = documents.fetched_pages(tried, fetch)
         status = F.when(F.col("error").isNull(), "collected").otherwise("failed")
         return got.withColumn("key", sha16(F.col("url"))).withColumn("status", status).withColumn("quality", text.quality(F.col("markdown")))

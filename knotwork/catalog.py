@@ -851,7 +851,7 @@ def status_measures(spark, sf_dir):
 
 
 @query(f"""WITH {LED}, d AS (SELECT 'f' || i AS file, i % 2 = 0 AS approve FROM (SELECT unnest(range(20)) AS i))
-SELECT key, CASE WHEN approve THEN 0 WHEN NOT approve THEN seq % 5 + 1 ELSE seq % 5 END AS reject_count, CASE WHEN approve THEN NULL WHEN NOT approve THEN 'new' ELSE 'old' END AS last_reject_reason FROM lg LEFT JOIN d USING (file)""")
+SELECT key, CASE WHEN approve THEN 0 WHEN NOT approve THEN seq % 5 + 1 ELSE seq % 5 END AS reject_count, CASE WHEN NOT approve THEN 'new' ELSE 'old' END AS last_reject_reason FROM lg LEFT JOIN d USING (file)""")
 def review_effects(spark, sf_dir):
     ledger = workflow.ledger_latest(_updates(spark, sf_dir)).withColumn("reject_count", F.pmod("seq", F.lit(5))).withColumn("last_reject_reason", F.lit("old"))
     decisions = spark.range(20).select(F.concat(F.lit("f"), "id").alias("file"), (F.col("id") % 2 == 0).alias("approve"), F.when(F.col("id") % 2 == 1, "new").alias("reason"))

@@ -10,7 +10,7 @@ FLOOR, ANCHOR_DISTANCE, ANCHOR_MIN_CHARS = 0.5, 1, 3
 BM25_K1, BM25_B = 1.2, 0.75
 CITATION_DENSITY = 0.5
 INSERT_BATCH, DELETE_BATCH, PAIRS_REPORTED = 500, 2000, 10
-HELD_AT_REJECTIONS = 3
+HELD_AT_REJECTIONS, REASON_CHARS = 3, 500
 CRAWL_DELAY_MS, CRAWL_PAGES = 1000, 10
 LOW_QUALITY_CHARS = 200
 VIEW_NODES, VIEW_NODES_MAX, VIEW_RELS, VIEW_RELS_MAX = 300, 1000, 600, 2000

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import kg_file, rejected_file
-from ..limits import CRAWL_PAGES, HELD_AT_REJECTIONS
+from ..limits import CRAWL_PAGES, HELD_AT_REJECTIONS, REASON_CHARS
 from ..tables import written
 
 
@@ -70,10 +70,16 @@ def next_page(files: DataFrame, batch: str) -> DataFrame:
 
 
 def review(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Ledger after ``decisions(file, approve, reason)``: approval clears counter and reason, rejection raises and sets them; other files stay as they are."""
+    """Ledger after ``decisions(file, approve, reason)``.
+
+    Approval clears the counter and leaves the last reason. Rejection raises the
+    counter and sets the reason, at most ``REASON_CHARS`` of it; an empty one is
+    null. Files without a decision stay as they are.
+    """
     rows = ledger.join(decisions, "file", "left")
     count = F.when(F.col("approve"), 0).when(~F.col("approve"), F.col("reject_count") + 1).otherwise(F.col("reject_count"))
-    return rows.withColumn("reject_count", count).withColumn("last_reject_reason", F.when(~F.col("approve"), F.col("reason")).when(F.col("approve"), F.lit(None)).otherwise(F.col("last_reject_reason"))).drop("approve", "reason")
+    reason = F.when(~F.col("approve"), F.nullif(F.left("reason", F.lit(REASON_CHARS)), F.lit(""))).otherwise(F.col("last_reject_reason"))
+    return rows.withColumn("reject_count", count).withColumn("last_reject_reason", reason).drop("approve", "reason")
 
 
 def review_moves(files: DataFrame, ledger: DataFrame, inputs: DataFrame, decisions: DataFrame) -> DataFrame:

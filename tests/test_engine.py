@@ -60,6 +60,9 @@ def test_text_functions(spark):
     assert [tuple(p[0]) for p in page] == [("T", "https://a/b", "# H"), (None, None, "plain")]
     hosts = values(spark, [("https://a.b.co.kr/x",), ("http://www.s.com",), ("http://10.0.0.1/",), ("http://localhost/",)], "u string", text.registrable_domain("u"))
     assert [h[0] for h in hosts] == ["b.co.kr", "s.com", None, None]
+    rules = ["com", "*.ck", "!www.ck", "uk", "co.uk", "b.co.uk"]
+    hosts = [(f"http://{h}/",) for h in ("x.a.b.ck", "b.ck", "y.www.ck", "a.b.co.uk", "x.a.c.uk", "B.CO.UK", "x.y.unlisted")]
+    assert [v[0] for v in values(spark, hosts, "u string", text.registrable_domain("u", rules))] == ["a.b.ck", None, "www.ck", "a.b.co.uk", "c.uk", None, "y.unlisted"]
     blocked = text.robots_blocked("User-agent: *\nDisallow: /api/")
     assert values(spark, [("https://s/api",), ("https://s/apix",)], "u string", blocked("u")) == [(True,), (False,)]
     out = values(spark, [('```json\n{"a": 1}\n```',), ("[1]",), ('x {"a": {"b": 2}} y',), ("",), ("{bad",)], "o string", text.engine_json(F.col("o")))
@@ -342,10 +345,10 @@ def test_paths_over_all_types(spark):
 
 
 def test_review_and_verdicts(spark):
-    ledger = spark.createDataFrame([("a", 1, "old"), ("b", 2, "old"), ("c", 0, None)], "file string, reject_count int, last_reject_reason string")
-    decisions = spark.createDataFrame([("a", True, None), ("c", False, "new")], "file string, approve boolean, reason string")
+    ledger = spark.createDataFrame([("a", 1, "old"), ("b", 2, "old"), ("c", 0, None), ("d", 1, "old")], "file string, reject_count int, last_reject_reason string")
+    decisions = spark.createDataFrame([("a", True, None), ("c", False, "new" * 200), ("d", False, "")], "file string, approve boolean, reason string")
     got = {r.file: (r.reject_count, r.last_reject_reason) for r in workflow.review(ledger, decisions).collect()}
-    assert got == {"a": (0, None), "b": (2, "old"), "c": (1, "new")}
+    assert got == {"a": (0, "old"), "b": (2, "old"), "c": (1, ("new" * 200)[:500]), "d": (2, None)}
     rows = [(3, 0, 0, 0), (3, 1, 0, 0), (0, 1, 0, 0), (0, 0, 2, 0), (0, 0, 0, 2), (0, 1, 0, 1)]
     verdict = workflow.collection_verdict(*map(F.col, "cfrp"))
     assert [v[0] for v in values(spark, rows, "c int, f int, r int, p int", verdict)] == ["success", "partial", "fail", "fail", "success", "partial"]
