@@ -210,7 +210,10 @@ def shortest_paths(pairs: DataFrame, rels: DataFrame, most: int = L.PATH_LENGTH)
         met = met.select("search_id", "pair", nodes.alias("nodes"), F.concat("rels", F.reverse("rels_b")).alias("rels"))
         met = written(met.groupBy("search_id", "pair").agg(F.min(F.struct("nodes", "rels")).alias("p")).withColumn("length", F.lit(length)), "met")
         found = met if found is None else found.unionByName(met)
-        left = left.join(met, ["search_id", "pair"], "left_anti")
+        left = written(left.join(met, ["search_id", "pair"], "left_anti"), "left")
+        # The longer ways are the dear ones: none is walked when all pairs have met, or those left can get no further.
+        if not left.join(sides[side], ["search_id", "pair"], "left_semi").limit(1).count():
+            break
     return pairs.join(found, ["search_id", "pair"]).select("search_id", "pair", "a", "b", "length", "p.nodes", "p.rels")
 
 
