@@ -19,6 +19,7 @@ QUERIES = {
     "op8_substring_dedup": "substring_dedup",
     "op9_bpe": "bpe",
     "op10_wordpiece_counts": "wordpiece",
+    "op11_conversation_repair": "conversation_repair",
     "op13_chat_format": "chat_format",
 }
 
