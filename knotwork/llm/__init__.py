@@ -20,6 +20,7 @@ QUERIES = {
     "op9_bpe": "bpe",
     "op10_wordpiece_counts": "wordpiece",
     "op11_conversation_repair": "conversation_repair",
+    "op12_hard_negatives": "hard_negatives",
     "op13_chat_format": "chat_format",
 }
 
