@@ -34,11 +34,24 @@ LONG = 96
 NONE = np.iinfo(np.int32).max
 
 
+#: Letters of Unicode 16, which the library knows and ``unicodedata`` doesn't.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+#: Lower case of capitals that came with Unicode 16 and 17.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+CAPITALS = regex.compile(f"[{''.join(map(chr, LOWER))}]")
+
+
 @lru_cache(1)
 def newer() -> frozenset[str]:
-    """Letters and digits that the split pattern's engine knows and ``unicodedata`` doesn't."""
+    """Letters and digits that the split pattern's engine knows and the library doesn't: those of Unicode 17, and the digits of 16."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+    of_16 = {chr(c) for a, b in LETTERS_16 for c in range(a, b + 1)}
+    return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn") - of_16
 
 
 def byte_chars() -> list[str]:
@@ -188,12 +201,13 @@ class RankBpe:
         if text.isascii():
             return text.lower()
         text = unicodedata.normalize("NFC", text)
-        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return text.translate(LOWER) if CAPITALS.search(text) else text
 
     def split(self, text: str, lines: bool = True) -> list[str]:
         """The pieces of a normal text; ``lines``: with line ends as pieces of their own.
 
-        The library's tables end with the Unicode version of ``unicodedata``; later letters and digits are neither to it.
+        To the library what is :func:`newer` is neither letter nor digit.
         """
         if not text.isascii() and not newer().isdisjoint(text):
             if self.strict is None:
