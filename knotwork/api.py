@@ -144,8 +144,7 @@ class Engine:
         search_id = new_search_id(now)
         rows = [(search_id, i, k, question) for i, k in enumerate(keywords[: L.MAX_KEYWORDS])]
         asked = self.spark.createDataFrame(rows, "search_id string, kw_pos int, keyword string, question string")
-        nodes, rels = documents.read_graph(self.spark, f"{self.folder}/graph")
-        got = search_plan.search(asked, nodes, rels, hops, limit_nodes)
+        got = search_plan.search(asked, *documents.read_searchable(self.spark, f"{self.folder}/graph"), hops=hops, limit_nodes=limit_nodes)
         ends = got.nodes.select("search_id", "alias", "kgid")
         named = got.rels.join(ends.select("search_id", F.col("alias").alias("from_alias"), F.col("kgid").alias("from_kgid")), ["search_id", "from_alias"]).join(ends.select("search_id", F.col("alias").alias("to_alias"), F.col("kgid").alias("to_kgid")), ["search_id", "to_alias"])
         none = F.lit(None).cast("string")

@@ -13,6 +13,7 @@ from .operators import audit, filters, graph, merge, validate, workflow
 from .operators import search as S
 from .plans.sample_graph import sample, table
 from .plans.search import search
+from .plans.store import stored_build
 from .streaming import hub
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,9 +89,9 @@ def _keywords(spark: SparkSession) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rebuild the graph, search ``blue ring`` within one hop: layer-1 nodes."""
-    nodes, rels = sample(spark, sf_dir).stored()
     asked = spark.createDataFrame([("s", 0, "blue ring", None)], "search_id string, kw_pos int, keyword string, question string")
-    return search(asked, nodes, rels).nodes
+    g = stored_build(spark, sf_dir)
+    return search(asked, g.nodes, g.rels, g.index, g.steps).nodes
 
 
 # --- merge -------------------------------------------------------------------------------------------------
@@ -230,37 +231,74 @@ COLS = ["search_id", "kw_pos", "kgid", "name", "cast(rank as bigint) AS rank"]
 
 @query(f"WITH {N}, {GN}, {KEYED}, {T1} SELECT search_id, kw_pos, kgid, name, rank FROM t1")
 def search_t1(spark, sf_dir):
-    return S.exact(_keywords(spark), sample(spark, sf_dir).graph_nodes).selectExpr(*COLS)
+    g = stored_build(spark, sf_dir)
+    return S.exact(_keywords(spark), g.nodes, g.index).selectExpr(*COLS)
 
 
-@query(f"WITH {N}, {GN}, {KEYED}, {T2} SELECT search_id, kw_pos, kgid, name, rank, round(score, 6) AS score FROM t2")
+T2_ROWS = f"WITH {N}, {GN}, {KEYED}, {T2} SELECT search_id, kw_pos, kgid, name, rank, round(score, 6) AS score FROM t2"
+
+
+@query(T2_ROWS)
 def search_t2_bm25(spark, sf_dir):
+    """With an index made for this search."""
     nodes = sample(spark, sf_dir).stored_nodes()
     return S.floored(S.bm25(_keywords(spark), nodes, S.build_index(nodes))).selectExpr(*COLS, "round(score, 6) AS score")
 
 
+@query(T2_ROWS)
+def search_t2_stored(spark, sf_dir):
+    """With the index that was kept with the build."""
+    g = stored_build(spark, sf_dir)
+    return S.floored(S.bm25(_keywords(spark), g.nodes, g.index)).selectExpr(*COLS, "round(score, 6) AS score")
+
+
+# Names of mixed scripts from a table: 2 to 6 characters of Hangul, kana or han behind, before and inside Latin words.
+MIXED = "concat(substr('ab12한국어사전', 1 + c_custkey % 5, 2 + c_custkey % 6), substr('カタナひら刀剣鬼滅', 1 + c_nationkey % 7, 1 + c_custkey % 4), ' ', substr('x대한y민국zカナ日本', 1 + c_custkey % 9, 3 + c_nationkey % 4), '·', c_nationkey)"
+SCRIPT_RUNS = "[가-힣]+|[\\u3040-\\u30FF]+|[\\u4E00-\\u9FFF]+|[0-9a-z]+(?:·[0-9a-z]+)*"
+CJK_RUNS = "[가-힣]+|[\\x{3040}-\\x{30FF}]+|[\\x{4E00}-\\x{9FFF}]+|[0-9a-z]+(?:·[0-9a-z]+)*"
+
+
+@query(f"""WITH m AS (SELECT c_custkey, {MIXED} AS name FROM customer), r AS (SELECT c_custkey, unnest(regexp_extract_all(name, '{CJK_RUNS}')) AS run FROM m),
+t AS (SELECT c_custkey, unnest(CASE WHEN length(run) > 1 AND regexp_matches(run, '^[^0-9a-z]') THEN list_transform(range(1, length(run)), lambda i: substr(run, i, 2)) ELSE [run] END) AS token FROM r WHERE run NOT IN ({STOP}))
+SELECT token, count(*) AS n, count(DISTINCT c_custkey) AS n_docs FROM t GROUP BY token""")
+def cjk_tokens(spark, sf_dir):
+    """Tokens of names that mix scripts inside a word."""
+    named = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{MIXED} AS name")
+    rows = named.select("c_custkey", F.explode(S.tokens(F.col("name"))).alias("token"))
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("n_docs"))
+
+
 @query(f"WITH {N}, {GN}, {KEYED}, {T2} SELECT search_id, kw_pos, kgid, ratio FROM t2 WHERE NOT kept")
 def t2_floor_cuts(spark, sf_dir):
-    nodes = sample(spark, sf_dir).stored_nodes()
-    return S.floored(S.bm25(_keywords(spark), nodes, S.build_index(nodes))).where("not kept").select("search_id", "kw_pos", "kgid", "ratio")
+    g = stored_build(spark, sf_dir)
+    return S.floored(S.bm25(_keywords(spark), g.nodes, g.index)).where("not kept").select("search_id", "kw_pos", "kgid", "ratio")
+
+
+T3_ROWS = f"WITH {N}, {GN}, {KEYED}, {T3} SELECT search_id, kw_pos, kgid, name, rank FROM t3"
 
 
-@query(f"WITH {N}, {GN}, {KEYED}, {T3} SELECT search_id, kw_pos, kgid, name, rank FROM t3")
+@query(T3_ROWS)
 def search_t3_contains(spark, sf_dir):
-    return S.containing(_keywords(spark), sample(spark, sf_dir).graph_nodes).selectExpr(*COLS)
+    return S.containing(_keywords(spark), sample(spark, sf_dir).stored_nodes()).selectExpr(*COLS)
+
+
+@query(T3_ROWS)
+def search_t3_stored(spark, sf_dir):
+    """Over the gram postings that were kept with the build."""
+    g = stored_build(spark, sf_dir)
+    return S.containing(_keywords(spark), g.nodes, g.index).selectExpr(*COLS)
 
 
 @query(f"WITH {WF} SELECT search_id, kw_pos, kgid, name, rank, tier FROM wf")
 def search_waterfall(spark, sf_dir):
-    nodes = sample(spark, sf_dir).stored_nodes()
-    return S.waterfall(_keywords(spark), nodes, S.build_index(nodes)).selectExpr(*COLS, "tier")
+    g = stored_build(spark, sf_dir)
+    return S.waterfall(_keywords(spark), g.nodes, g.index).selectExpr(*COLS, "tier")
 
 
 @query(f"WITH {WF} SELECT search_id, kw_pos, keyword FROM kw WHERE (search_id, kw_pos) NOT IN (SELECT (search_id, kw_pos) FROM wf)")
 def search_unmatched(spark, sf_dir):
-    nodes = sample(spark, sf_dir).stored_nodes()
-    asked = _keywords(spark)
-    return S.unmatched(asked, S.seeds(asked, nodes, S.build_index(nodes)))
+    g, asked = stored_build(spark, sf_dir), _keywords(spark)
+    return S.unmatched(asked, S.seeds(asked, g.nodes, g.index))
 
 
 CAP = f"cap AS (SELECT * FROM wf WHERE (search_id, kgid) IN (SELECT (search_id, kgid) FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY score DESC, kw_pos, rank) AS g FROM wf) WHERE g <= {L.MAX_SEEDS}))"
@@ -268,9 +306,8 @@ CAP = f"cap AS (SELECT * FROM wf WHERE (search_id, kgid) IN (SELECT (search_id,
 
 @query(f"WITH {WF}, {CAP} SELECT search_id, kw_pos, kgid, tier FROM cap")
 def seed_global_cap(spark, sf_dir):
-    nodes = sample(spark, sf_dir).stored_nodes()
-    return S.capped(S.seeds(_keywords(spark), nodes, S.build_index(nodes))).select("search_id", "kw_pos", "kgid", "tier")
-
+    g = stored_build(spark, sf_dir)
+    return S.capped(S.seeds(_keywords(spark), g.nodes, g.index)).select("search_id", "kw_pos", "kgid", "tier")
 
 
 LOC = "nx AS (SELECT DISTINCT kgid, label, name_key FROM n), wy AS (SELECT from_kgid AS fr, to_kgid AS o, kgid FROM gr UNION ALL SELECT to_kgid, from_kgid, kgid FROM gr WHERE from_kgid <> to_kgid)"
@@ -279,9 +316,9 @@ H2 = f"e2 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h1) ORDER BY kgid,
 
 
 def _hops(spark, sf_dir, k):
-    nodes, rels = sample(spark, sf_dir).stored()
-    start = nodes.where("label = 'Nation' and name_key in ('nation_3', 'nation_8')").select(F.lit("s").alias("search_id"), "kgid")
-    return S.hops(start, rels, k)[0].select("kgid", F.col("hop").cast("long").alias("hop"))
+    g = stored_build(spark, sf_dir)
+    start = g.nodes.where("label = 'Nation' and name_key in ('nation_3', 'nation_8')").select(F.lit("s").alias("search_id"), "kgid")
+    return S.hops(start, g.steps, k)[0].select("kgid", F.col("hop").cast("long").alias("hop"))
 
 
 @query(f"WITH {R}, {GR}, {LOC}, {H1} SELECT kgid, 0::BIGINT AS hop FROM h0 UNION ALL SELECT kgid, 1 FROM h1")
@@ -318,24 +355,60 @@ def shortest_path_pairs(spark, sf_dir):
 
 
 def _paths(spark, sf_dir):
-    g = sample(spark, sf_dir)
-    ids = g.graph_nodes.select("kgid", "name_key")
+    g = stored_build(spark, sf_dir)
+    ids = g.nodes.select("kgid", "name_key")
     ends = spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(ENDS)], "pair int, a_key string, b_key string")
     pairs = ends.join(ids.withColumnsRenamed({"kgid": "a", "name_key": "a_key"}), "a_key").join(ids.withColumnsRenamed({"kgid": "b", "name_key": "b_key"}), "b_key").select(F.lit("s").alias("search_id"), "pair", "a", "b")
-    found = S.shortest_paths(pairs, g.graph_rels)
+    found = S.shortest_paths(pairs, g.steps)
     return found.select("pair", F.col("length").cast("long").alias("length"), F.array_join("nodes", ">").alias("path"))
 
 
-@query()
+def _hop_sql(k: int) -> str:
+    """Hops e1, h1 .. ek, hk of all searches from their seeds."""
+    out = ["h0 AS (SELECT DISTINCT search_id, kgid, 0 AS hop FROM cap)", "wy AS (SELECT from_kgid AS fr, to_kgid AS o, kgid, type, from_kgid, to_kgid FROM gr UNION ALL SELECT to_kgid, from_kgid, kgid, type, from_kgid, to_kgid FROM gr WHERE from_kgid <> to_kgid)"]
+    for i in range(1, k + 1):
+        seen = " UNION ALL ".join(f"SELECT search_id, kgid FROM h{j}" for j in range(i))
+        out.append(f"e{i} AS (SELECT h.search_id, {i} AS hop, w.* FROM h{i - 1} h JOIN wy w ON fr = h.kgid QUALIFY row_number() OVER (PARTITION BY h.search_id ORDER BY w.kgid, fr) <= {L.RELS_PER_HOP})")
+        out.append(f"h{i} AS (SELECT DISTINCT search_id, o AS kgid, {i} AS hop FROM e{i} WHERE (search_id, o) NOT IN ({seen}))")
+    return ", ".join(out)
+
+
+def _seed_path_sql() -> str:
+    """Path pt(search_id, pair, p, kgid, rel) of each pair of first seeds: the least shortest one."""
+    steps = ["p0 AS (SELECT sp.search_id, sp.pair, a AS here, ds.d AS length, NULL AS rel FROM sp JOIN ds ON ds.search_id = sp.search_id AND ds.pair = sp.pair AND ds.kgid = a WHERE a <> b)"]
+    for k in range(1, L.PATH_LENGTH + 1):
+        steps.append(f"""p{k} AS (SELECT x.search_id, x.pair, s.o AS here, x.length, s.kgid AS rel FROM (SELECT p.search_id, p.pair, p.length, min({{'o': w.o, 'kgid': w.kgid}}) AS s FROM p{k - 1} p JOIN wy w ON w.fr = p.here
+  JOIN ds ON ds.search_id = p.search_id AND ds.pair = p.pair AND ds.kgid = w.o AND ds.d = p.length - {k} GROUP BY p.search_id, p.pair, p.length) x)""")
+    every = " UNION ALL ".join(f"SELECT search_id, pair, {k} AS p, here AS kgid, rel FROM p{k}" for k in range(L.PATH_LENGTH + 1))
+    return f"""fs AS (SELECT search_id, kgid, min(kw_pos) AS kw_pos FROM cap WHERE rank = 1 GROUP BY search_id, kgid),
+sp AS (SELECT a.search_id, row_number() OVER (PARTITION BY a.search_id ORDER BY a.kw_pos, b.kw_pos) AS pair, a.kgid AS a, b.kgid AS b FROM fs a JOIN fs b ON a.search_id = b.search_id AND a.kw_pos < b.kw_pos QUALIFY pair <= {L.PATH_PAIRS}),
+rw AS (SELECT search_id, pair, b AS kgid, 0 AS d FROM sp UNION SELECT search_id, pair, w.o, d + 1 FROM rw JOIN wy w ON fr = rw.kgid WHERE d < {L.PATH_LENGTH}),
+ds AS (SELECT search_id, pair, kgid, min(d) AS d FROM rw GROUP BY ALL), {", ".join(steps)}, pt AS ({every})"""
+
+
+def _layer_sql(k: int) -> str:
+    reached = " UNION ALL ".join(f"SELECT search_id, kgid, 0.0, {i} + 1 FROM h{i}" for i in range(1, k + 1))
+    return f"""WITH RECURSIVE {R}, {GN}, {GR}, {KEYED}, {T1}, {T2}, {T3}, {WF[WF.index("wf AS"):]}, {CAP}, {_hop_sql(k)}, {_seed_path_sql()},
+ev AS (SELECT search_id, kgid, min(priority) AS priority, max(score) AS score FROM (SELECT search_id, kgid, score, 0 AS priority FROM cap UNION ALL SELECT search_id, kgid, 0.0, 1 FROM pt UNION ALL {reached}) GROUP BY search_id, kgid),
+ly AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY priority, score DESC, name_key, kgid) AS k, count(*) OVER (PARTITION BY search_id) AS total FROM ev JOIN gn USING (kgid)),
+tp AS (SELECT search_id, 'n' || k AS alias, kgid, label, name, CASE priority WHEN 0 THEN '0' WHEN 1 THEN 'path' ELSE (priority - 1)::VARCHAR END AS hop, score, total > {L.DEFAULT_NODES} AS truncated FROM ly WHERE k <= {L.DEFAULT_NODES})"""
+
+
+@query(f"{_layer_sql(2)} SELECT * FROM tp")
 def layer1_nodes(spark, sf_dir):
-    nodes, rels = sample(spark, sf_dir).stored()
-    return search(_keywords(spark).drop("kw_key"), nodes, rels, hops=2).nodes
+    """On the stored build, within two hops."""
+    g = stored_build(spark, sf_dir)
+    return search(_keywords(spark).drop("kw_key"), g.nodes, g.rels, g.index, g.steps, hops=2).nodes
 
 
-@query()
+@query(f"""{_layer_sql(1)}, us AS (SELECT search_id, kgid, min(hop) AS first FROM (SELECT search_id, kgid, hop FROM e1 UNION ALL SELECT search_id, rel, {L.MAX_HOPS + 1} FROM pt WHERE rel IS NOT NULL) GROUP BY search_id, kgid),
+kp AS (SELECT us.*, type, a.alias AS from_alias, b.alias AS to_alias, row_number() OVER (PARTITION BY us.search_id ORDER BY first, us.kgid) AS k, count(*) OVER (PARTITION BY us.search_id) AS total
+  FROM us JOIN gr USING (kgid) JOIN tp a ON a.search_id = us.search_id AND a.kgid = from_kgid JOIN tp b ON b.search_id = us.search_id AND b.kgid = to_kgid)
+SELECT search_id, 'r' || k AS alias, kgid, type, from_alias, to_alias, total > {L.RELS} AS truncated FROM kp WHERE k <= {L.RELS}""")
 def layer1_rels(spark, sf_dir):
-    nodes, rels = sample(spark, sf_dir).stored()
-    return search(_keywords(spark).drop("kw_key"), nodes, rels).rels
+    """On the stored build, within one hop."""
+    g = stored_build(spark, sf_dir)
+    return search(_keywords(spark).drop("kw_key"), g.nodes, g.rels, g.index, g.steps).rels
 
 
 @query(f"""WITH {P}, f AS (SELECT kgid, prop, arg_min(value, (p.file, p.pos)) AS value FROM p JOIN (SELECT DISTINCT kgid, label, name_key FROM n) USING (label, name_key) GROUP BY kgid, prop)

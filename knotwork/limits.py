@@ -6,7 +6,7 @@ DEFAULT_NODES, MAX_NODES = 80, 150
 RELS, RELS_LARGE = 160, 300  # the second where over DEFAULT_NODES nodes are asked for
 PATH_PAIRS, PATH_LENGTH, RELS_PER_HOP = 10, 4, 2000
 FACT_CHARS, FACTS_PER_NODE = 160, 24
-FLOOR, ANCHOR_DISTANCE, ANCHOR_MIN_CHARS = 0.5, 1, 3
+FLOOR, ANCHOR_DISTANCE, ANCHOR_MIN_CHARS, CONTAINED_MIN_CHARS = 0.5, 1, 3, 4
 BM25_K1, BM25_B = 1.2, 0.75
 CITATION_DENSITY = 0.5
 INSERT_BATCH, DELETE_BATCH, PAIRS_REPORTED = 500, 2000, 10

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.identity import name_key
 from ..limits import RESULT_LINES
 from .search import anchor_candidates
+from .substrings import holders
 
 
 def absent_nodes(claims: DataFrame, nodes: DataFrame) -> DataFrame:
     """``claims(name)`` with verdict: refuted where some node's key holds the name."""
-    keyed = claims.withColumn("key", name_key(F.col("name")))
-    hit = keyed.join(nodes.select("name_key"), F.col("name_key").contains(F.col("key"))).select("name").distinct().withColumn("hit", F.lit(True))
+    keyed = claims.select("name", name_key(F.col("name")).alias("needle")).distinct()
+    found = holders(keyed, nodes.select(F.col("name_key").alias("text"))).select("needle").distinct()
+    # An empty name lies in any node's.
+    any_node = nodes.where("name_key is not null").limit(1).select(F.lit("").alias("needle"))
+    hit = keyed.join(found.unionByName(any_node), "needle").select("name", F.lit(True).alias("hit"))
     return claims.join(hit, "name", "left").withColumn("verdict", F.when(F.col("hit"), "refuted").otherwise("true")).drop("hit")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import ascii_name_key, name_key, nfc, node_kgid, rel_kgid
 from ..limits import PAIRS_REPORTED, RESERVED_PROPS
+from . import substrings
 
 
 def order() -> Column:
@@ -112,24 +113,11 @@ def apply_overrides(values: DataFrame, applied: DataFrame) -> DataFrame:
     return values.join(chosen, ["label", "name_key", "prop"], "left").select("label", "name_key", "prop", F.coalesce("chosen", "value").alias("value"))
 
 
-def similar_names(nodes: DataFrame, gram: int = 3) -> DataFrame:
-    """Pairs of one label where the shorter name_key lies inside the longer.
-
-    Names of ``gram`` characters or more meet over the shorter one's rarest
-    gram, an equi-join; only shorter names need the substring join.
-    """
-    named = nodes.select("label", "name_key", F.length("name_key").alias("n"))
-    grams = F.transform(F.sequence(F.lit(1), F.col("n") - (gram - 1)), lambda i: F.substring("name_key", i, F.lit(gram)))
-    long = named.where(F.col("n") >= gram).select("*", F.explode(F.array_distinct(grams)).alias("gram"))
-    counts = long.groupBy("label", "gram").agg(F.count("*").alias("k"))
-    rarest = long.join(counts, ["label", "gram"]).groupBy("label", "name_key", "n").agg(F.min_by("gram", F.struct("k", "gram")).alias("gram"))
-    a = rarest.select("label", "gram", F.col("name_key").alias("a_key"), F.col("n").alias("a_n"))
-    b = long.select("label", "gram", F.col("name_key").alias("b_key"), F.col("n").alias("b_n"))
-    inside = (F.struct("a_n", "a_key") < F.struct("b_n", "b_key")) & F.col("b_key").contains(F.col("a_key"))
-    short = named.where((F.col("n") < gram) & (F.col("n") > 0)).select("label", F.col("name_key").alias("a_key"), F.col("n").alias("a_n"))
-    every = named.select("label", F.col("name_key").alias("b_key"), F.col("n").alias("b_n"))
-    columns = ["label", "a_key", "b_key"]
-    return a.join(b, ["label", "gram"]).where(inside).select(*columns).unionByName(short.join(every, "label").where(inside).select(*columns))
+def similar_names(nodes: DataFrame) -> DataFrame:
+    """Pairs of one label where the shorter name_key (of equally long ones the lesser) lies inside the other: an equi-join over grams."""
+    named = nodes.select("label", F.col("name_key").alias("text")).distinct()
+    found = substrings.holders(named.withColumnRenamed("text", "needle"), named, "label").withColumnsRenamed({"needle": "a_key", "text": "b_key"})
+    return found.where(F.struct(F.length("a_key"), "a_key") < F.struct(F.length("b_key"), "b_key")).select("label", "a_key", "b_key")
 
 
 def summary(nodes: DataFrame, keyed: DataFrame, graph_nodes: DataFrame, graph_rels: DataFrame) -> DataFrame:

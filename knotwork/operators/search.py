@@ -8,42 +8,16 @@ name_key, then kgid.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import limits as L
 from ..functions.identity import jamo, name_key
 from ..tables import written
-
-WORD = "[0-9a-z\\p{L}]+(?:·[0-9a-z\\p{L}]+)*"
-#: Words that the full-text analyzer leaves out.
-STOP = "a and are as at be but by for if in into is it no not of on or s such t that the their then there these they this to was will with www".split()
-
-
-def tokens(text: Column) -> Column:
-    """Words of lower-cased text; runs of Hangul, kana or han alone become overlapping pairs that never cross white space."""
-    words = F.filter(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: ~w.isin(STOP))
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    scripts = "^(?:[가-힣]{2,}|[\\u3040-\\u30FF]{2,}|[\\u4E00-\\u9FFF]{2,})$"
-    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(scripts), pairs(w)).otherwise(F.array(w))))
-
-
-@dataclass
-class Index:
-    """postings(token, kgid, tf, dl) and one row corpus(n_docs, avgdl)."""
-
-    postings: DataFrame
-    corpus: DataFrame
-
-
-def build_index(nodes: DataFrame) -> Index:
-    docs = nodes.select("kgid", tokens(F.col("name_key")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = docs.select("kgid", "dl", F.explode("tokens").alias("token")).groupBy("token", "kgid").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return Index(written(postings, "postings"), written(corpus, "corpus"))
-
+from . import substrings
+from .text_index import STOP, Bucketed, Index, build_index, read_index, tokens, write_bucketed, write_index  # noqa: F401
 
 def best(rows: DataFrame, most: int = L.SEEDS_PER_KEYWORD) -> DataFrame:
     """The first rows of each keyword; cut before the shuffle too, as the filter on row_number is pushed down."""
@@ -51,20 +25,20 @@ def best(rows: DataFrame, most: int = L.SEEDS_PER_KEYWORD) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def exact(keywords: DataFrame, nodes: DataFrame) -> DataFrame:
+def exact(keywords: DataFrame, nodes: DataFrame, index: Index | None = None) -> DataFrame:
     """T1: the keyword's key is the name's."""
-    rows = keywords.join(nodes, keywords["kw_key"] == nodes["name_key"])
+    named = nodes if index is None or index.names is None else index.names.of(keywords, "kw_key")
+    rows = keywords.join(named, keywords["kw_key"] == named["name_key"])
     return best(rows.select("search_id", "kw_pos", "kgid", "label", "name", "name_key", F.lit(1.0).alias("score")))
 
 
 def bm25(keywords: DataFrame, nodes: DataFrame, index: Index) -> DataFrame:
     """T2 before the floor: all nodes that share a token with the keyword, scored."""
     asked = keywords.select("search_id", "kw_pos", F.explode(F.array_distinct(tokens(F.col("kw_key")))).alias("token"))
-    hits = index.postings.join(asked, "token")
-    df = index.postings.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "token").crossJoin(index.corpus)
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") / (F.col("tf") + L.BM25_K1 * (1 - L.BM25_B + L.BM25_B * F.col("dl") / F.col("avgdl")))
+    rows = index.postings.of(asked).join(asked, "token").join(index.counts.of(asked), "token")
+    corpus = index.corpus.first()
+    idf = F.log(1 + (corpus.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") / (F.col("tf") + L.BM25_K1 * (1 - L.BM25_B + L.BM25_B * F.col("dl") / (corpus.avgdl or 1)))
     scored = rows.groupBy("search_id", "kw_pos", "kgid").agg(F.round(F.sum(idf * tf), 9).alias("score"))
     return scored.join(nodes.select("kgid", "label", "name", "name_key"), "kgid").select("search_id", "kw_pos", "kgid", "label", "name", "name_key", "score")
 
@@ -76,12 +50,26 @@ def floored(scored: DataFrame) -> DataFrame:
     return rows.withColumn("kept", F.col("score") >= L.FLOOR * F.col("top")).withColumn("ratio", F.round(F.col("score") / F.col("top"), 4)).drop("top")
 
 
-def containing(keywords: DataFrame, nodes: DataFrame) -> DataFrame:
-    """T3: one key lies inside the other. The keywords, at most 8 a search, are the broadcast side."""
-    inside = F.col("name_key").contains(F.col("kw_key")) | ((F.length("kw_key") >= 4) & F.col("kw_key").contains(F.col("name_key")))
-    few = keywords.where("kw_key <> ''").select("search_id", "kw_pos", "kw_key")
-    rows = nodes.where("name_key <> ''").join(few, inside)
-    return best(rows.select("search_id", "kw_pos", "kgid", "label", "name", "name_key", F.lit(0.5).alias("score")))
+def containing(keywords: DataFrame, nodes: DataFrame, index: Index | None = None) -> DataFrame:
+    """T3: one key lies inside the other, by equi-joins over grams and runs; with an index only the asked grams are read."""
+    asked = keywords.where("kw_key <> ''").select("search_id", "kw_pos", F.col("kw_key").alias("needle"))
+    long = asked.where(F.length("needle") >= L.CONTAINED_MIN_CHARS)  # these may also hold a name
+    columns = ["needle", "kgid", "label", "name", "name_key"]
+    if index is None or index.grams is None:
+        named = nodes.where("name_key <> ''")
+        names = written(named.select(F.col("name_key").alias("text")).distinct(), "names")
+        longest = names.agg(F.max(F.length("text")).alias("n")).first().n or 1
+        pairs = substrings.holders(asked, names).unionByName(substrings.inner_runs(long, longest).join(names, "text", "left_semi"))
+        rows = named.join(pairs.withColumnRenamed("text", "name_key").distinct(), "name_key").select(columns)
+    else:
+        needles = asked.select("needle").distinct()
+        own = needles.select(F.explode(substrings.own_grams(F.col("needle"))).alias("gram"))
+        chosen = written(substrings.rarest(needles, index.gram_counts.of(own)), "rarest")
+        over = index.grams.of(chosen).join(chosen, "gram").where(F.contains("name_key", "needle")).select("needle", "name_key")
+        under = substrings.inner_runs(long, index.corpus.first().longest or 1).select("needle", F.col("text").alias("name_key"))
+        pairs = written(over.unionByName(under).distinct(), "t3-pairs")
+        rows = index.names.of(pairs).join(pairs, "name_key").select(columns)
+    return best(rows.join(asked, "needle").select("search_id", "kw_pos", "kgid", "label", "name", "name_key", F.lit(0.5).alias("score")))
 
 
 def with_keys(keywords: DataFrame) -> DataFrame:
@@ -93,12 +81,12 @@ def waterfall(keywords: DataFrame, nodes: DataFrame, index: Index, tiers: int =
     """Each keyword's nodes of the first tier that has any; a later tier only sees what earlier ones missed."""
     key = ["search_id", "kw_pos"]
     # A few rows a keyword: written, so that no tier is computed again by the next.
-    t1 = written(exact(keywords, nodes).withColumn("tier", F.lit("T1")), "t1")
+    t1 = written(exact(keywords, nodes, index).withColumn("tier", F.lit("T1")), "t1")
     left = keywords.join(t1, key, "left_anti")
     t2 = written(floored(bm25(left, nodes, index)).where("kept").drop("kept", "ratio").withColumn("tier", F.lit("T2")), "t2")
     if tiers < 3:
         return t1.unionByName(t2)
-    t3 = written(containing(left.join(t2, key, "left_anti"), nodes).withColumn("tier", F.lit("T3")), "t3")
+    t3 = written(containing(left.join(t2, key, "left_anti"), nodes, index).withColumn("tier", F.lit("T3")), "t3")
     return t1.unionByName(t2).unionByName(t3)
 
 
@@ -151,16 +139,21 @@ def steps(rels: DataFrame) -> DataFrame:
     return out.unionByName(whole.where("from_kgid <> to_kgid").select(F.col("to_kgid").alias("at"), F.col("from_kgid").alias("to"), "kgid", "type", "from_kgid", "to_kgid"))
 
 
-def hops(start: DataFrame, rels: DataFrame, k: int, most: int = L.RELS_PER_HOP) -> tuple[DataFrame, DataFrame]:
+def ways_of(rels: DataFrame | Bucketed) -> Bucketed:
+    """The steps of relationships, or of a build those that lie with it."""
+    return rels if isinstance(rels, Bucketed) else Bucketed(steps(rels), "at")
+
+
+def hops(start: DataFrame, rels: DataFrame | Bucketed, k: int, most: int = L.RELS_PER_HOP) -> tuple[DataFrame, DataFrame]:
     """Nodes (search_id, kgid, hop) and relationships (search_id, hop, ...) within k hops of ``start(search_id, kgid)``.
 
     A hop reads at most ``most`` relationship rows a search, least kgid first.
     """
     seen = written(start.select("search_id", "kgid").distinct().withColumn("hop", F.lit(0)), "hop")
-    frontier, ways, used = seen, steps(rels), None
+    frontier, ways, used = seen, ways_of(rels), None
     for hop in range(1, k + 1):
         order = Window.partitionBy("search_id").orderBy("rel_kgid", "at")
-        rows = ways.withColumnRenamed("kgid", "rel_kgid").join(frontier.select("search_id", F.col("kgid").alias("at")), "at")
+        rows = ways.of(frontier, "kgid").withColumnRenamed("kgid", "rel_kgid").join(frontier.select("search_id", F.col("kgid").alias("at")), "at")
         rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
         rows = written(rows.select("search_id", F.lit(hop).alias("hop"), F.col("rel_kgid").alias("kgid"), "type", "from_kgid", "to_kgid", "to"), "hop-rels")
         used = rows if used is None else used.unionByName(rows)
@@ -179,42 +172,72 @@ def seed_pairs(found: DataFrame, most: int = L.PATH_PAIRS) -> DataFrame:
     return rows.withColumn("pair", F.row_number().over(order)).where(F.col("pair") <= most).select("search_id", "pair", "a", "b")
 
 
-def shortest_paths(pairs: DataFrame, rels: DataFrame, most: int = L.PATH_LENGTH) -> DataFrame:
+def shortest_paths(pairs: DataFrame, rels: DataFrame | Bucketed, most: int = L.PATH_LENGTH) -> DataFrame:
     """(search_id, pair, a, b, length, nodes, rels): one shortest undirected path of at most ``most`` steps.
 
-    Both ends advance in turn, each node keeping its least path; of several
-    shortest paths the least by node ids, then relationship ids, is taken.
+    Both ends advance level by level, the smaller front first, and keep only
+    (pair, node, distance). Where the fronts meet, the nodes between are told by
+    walks inside the levels, and the path takes the least next node at each
+    step, and the least relationship to it. Pairs of one node have no path.
     """
-    ways = steps(rels).select("at", "to", F.col("kgid").alias("rel"))
-
-    def grow(reach: DataFrame) -> DataFrame:
-        rows = reach.join(ways, reach["node"] == ways["at"]).where(~F.array_contains("nodes", F.col("to")))
-        rows = rows.select("search_id", "pair", F.col("to").alias("node"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"))
-        rows = rows.join(reach_all[0], ["search_id", "pair", "node"], "left_anti")
-        return written(rows.groupBy("search_id", "pair", "node").agg(F.min(F.struct("nodes", "rels")).alias("p")).select("search_id", "pair", "node", "p.nodes", "p.rels"), "reach")
-
-    def begin(end: str) -> DataFrame:
-        return written(pairs.select("search_id", "pair", F.col(end).alias("node"), F.array(end).alias("nodes"), F.array().cast("array<string>").alias("rels")), "reach")
-
-    sides = {"a": begin("a"), "b": begin("b")}
-    every = {s: sides[s].select("search_id", "pair", "node") for s in sides}
-    left, found = pairs, None
-    for length in range(1, most + 1):
-        side = "ab"[(length - 1) % 2]
-        reach_all = [every[side]]
-        sides[side] = grow(sides[side].join(left.select("search_id", "pair"), ["search_id", "pair"], "left_semi"))
-        every[side] = every[side].unionByName(sides[side].select("search_id", "pair", "node"))
-        b = sides["b"].select("search_id", "pair", "node", F.col("nodes").alias("nodes_b"), F.col("rels").alias("rels_b"))
-        met = sides["a"].join(b, ["search_id", "pair", "node"])
-        nodes = F.concat("nodes", F.slice(F.reverse("nodes_b"), F.lit(2), F.greatest(F.size("nodes_b") - 1, F.lit(0))))
-        met = met.select("search_id", "pair", nodes.alias("nodes"), F.concat("rels", F.reverse("rels_b")).alias("rels"))
-        met = written(met.groupBy("search_id", "pair").agg(F.min(F.struct("nodes", "rels")).alias("p")).withColumn("length", F.lit(length)), "met")
-        found = met if found is None else found.unionByName(met)
-        left = written(left.join(met, ["search_id", "pair"], "left_anti"), "left")
-        # The longer ways are the dear ones: none is walked when all pairs have met, or those left can get no further.
-        if not left.join(sides[side], ["search_id", "pair"], "left_semi").limit(1).count():
+    ways = ways_of(rels)
+    if not ways.buckets:
+        ways = Bucketed(written(ways.table, "ways"), "at")
+    key = ["search_id", "pair"]
+    node = [*key, "node"]
+    pairs = written(pairs, "pairs")
+    levels = {s: [pairs.where("a <> b").select(*key, F.col(s).alias("node"), F.lit(False).alias("hit"))] for s in "ab"}
+    met: list[DataFrame] = []
+
+    def open_front(side: str) -> DataFrame:
+        front = levels[side][-1].select(node)
+        return front.join(reduce(DataFrame.unionByName, met).select(key).distinct(), key, "left_anti") if met else front
+
+    def near(front: DataFrame, parts: list[int | None]) -> DataFrame:
+        return front.join(ways.parts(parts).select(F.col("at").alias("node"), "to", F.col("kgid").alias("rel")), "node")
+
+    for _ in range(most):
+        # One look at both fronts: their sizes, and the buckets that their nodes lie in.
+        both = reduce(DataFrame.unionByName, [open_front(s).select(F.lit(s).alias("side"), ways.part("node").alias("part")) for s in "ab"])
+        fronts = {r.side: r for r in both.groupBy("side").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts")).collect()}
+        if len(fronts) < 2:
             break
-    return pairs.join(found, ["search_id", "pair"]).select("search_id", "pair", "a", "b", "length", "p.nodes", "p.rels")
+        side, other = sorted("ab", key=lambda s: fronts[s].n)
+        fresh = near(open_front(side), fronts[side].parts).select(*key, F.col("to").alias("node")).distinct()
+        for level in levels[side][-2:]:  # a neighbour lies in this level, the one before or the next
+            fresh = fresh.join(level, node, "left_anti")
+        facing = levels[other][-1].select(*node, F.lit(True).alias("hit"))
+        levels[side].append(written(fresh.join(facing, node, "left").select(*node, F.coalesce("hit", F.lit(False)).alias("hit")), "level"))
+        place = [F.lit(len(levels[s]) - 1).alias(f"from_{s}") for s in "ab"]
+        met.append(levels[side][-1].where("hit").select(*node, *place))
+    if not met:
+        return pairs.limit(0).select(*key, "a", "b", F.lit(0).alias("length"), F.array("a").alias("nodes"), F.array("a").alias("rels"))
+    here = reduce(DataFrame.unionByName, met)
+    # Steps on shortest ways, from where the fronts met back to both ends; place: how far a node lies from its end.
+    labelled = [t.select(*key, F.col("node").alias("to"), F.lit(s).alias("side"), F.lit(i + 1).alias("place")) for s in "ab" for i, t in enumerate(levels[s][:-1])]
+    nearer = reduce(DataFrame.unionByName, labelled)
+    at = here.select(*node, F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"from_{s}").alias("place")) for s in "ab"))).alias("e")).select(*node, "e.*")
+    inside: list[DataFrame] = []
+    for _ in range(max(map(len, levels.values())) - 1):
+        at = at.where("place > 0")
+        parts = at.agg(F.collect_set(ways.part("node")).alias("p")).first().p
+        rows = near(at, parts).join(nearer, [*key, "to", "side", "place"]).groupBy(*node, "to", "side", "place").agg(F.min("rel").alias("rel"))
+        inside.append(written(rows, "on-way"))
+        at = inside[-1].select(*key, F.col("to").alias("node"), "side", (F.col("place") - 1).alias("place")).distinct()
+    length = here.groupBy(key).agg(F.max(F.col("from_a") + F.col("from_b")).alias("length"))
+    # All of them away from the first node, with their number; a path takes the least at each.
+    first = F.col("side") == "a"
+    rows = reduce(DataFrame.unionByName, inside).join(F.broadcast(length), key)
+    step = F.when(first, F.col("place")).otherwise(F.col("length") - F.col("place") + 1)
+    away = written(rows.select(*key, step.alias("step"), F.when(first, F.col("to")).otherwise(F.col("node")).alias("last"), F.when(first, F.col("node")).otherwise(F.col("to")).alias("next"), "rel"), "away")
+    path = pairs.join(length, key).select(*key, "a", "b", "length", F.array("a").alias("nodes"), F.array().cast("array<string>").alias("rels"))
+    same = path.columns
+    for k in range(1, most + 1):
+        ahead = away.where(F.col("step") == k).select(*key, "last", F.struct("next", "rel").alias("s"))
+        chosen = path.withColumn("last", F.element_at("nodes", -1)).join(ahead, [*key, "last"], "left").groupBy(same).agg(F.min("s").alias("s"))
+        more = lambda c, f: F.when(F.col("s").isNull(), F.col(c)).otherwise(F.concat(c, F.array(f"s.{f}"))).alias(c)
+        path = chosen.select(*key, "a", "b", "length", more("nodes", "next"), more("rels", "rel"))
+    return path
 
 
 def assemble(found: DataFrame, hop_nodes: DataFrame, hop_rels: DataFrame, paths: DataFrame, nodes: DataFrame, rels: DataFrame, limit_nodes: int = L.DEFAULT_NODES) -> tuple[DataFrame, DataFrame]:

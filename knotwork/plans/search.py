@@ -20,13 +20,14 @@ class Result:
     rels: DataFrame
 
 
-def search(keywords: DataFrame, nodes: DataFrame, rels: DataFrame, hops: int = L.DEFAULT_HOPS, limit_nodes: int | None = None, index: S.Index | None = None) -> Result:
-    """``keywords(search_id, kw_pos, keyword, question)``; limits are clamped as the API clamps them."""
+def search(keywords: DataFrame, nodes: DataFrame, rels: DataFrame, index: S.Index | None = None, steps: S.Bucketed | None = None, hops: int = L.DEFAULT_HOPS, limit_nodes: int | None = None) -> Result:
+    """``index`` and ``steps`` are a stored build's; without them they are made for this search. ``keywords(search_id, kw_pos, keyword, question)``; limits are clamped as the API clamps them."""
     limit_nodes = clamp(limit_nodes, L.DEFAULT_NODES, L.MAX_NODES)
     asked = written(S.with_keys(keywords), "keywords")
     found = written(S.seeds(asked, nodes, index or S.build_index(nodes)), "seeds")
     kept = written(S.capped(found), "seeds")
-    hop_nodes, hop_rels = S.hops(kept, rels, clamp(hops, L.DEFAULT_HOPS, L.MAX_HOPS))
-    paths = S.shortest_paths(written(S.seed_pairs(kept), "pairs"), rels)
+    ways = steps or S.Bucketed(written(S.steps(rels), "steps"), "at")
+    hop_nodes, hop_rels = S.hops(kept, ways, clamp(hops, L.DEFAULT_HOPS, L.MAX_HOPS))
+    paths = S.shortest_paths(written(S.seed_pairs(kept), "pairs"), ways)
     layer_nodes, layer_rels = S.assemble(kept, hop_nodes, hop_rels, written(paths, "paths"), nodes, rels, limit_nodes)
     return Result(kept, S.unmatched(asked, found), layer_nodes, layer_rels)
