@@ -507,6 +507,22 @@ def dag_summary_whole(spark, sf_dir):
 DG = "ed AS (SELECT o_orderkey AS src, o_orderkey // 2 AS dst FROM orders WHERE o_orderkey >= 1 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey >= 1), no AS (SELECT DISTINCT unnest([src, dst]) AS id FROM ed)"
 
 
+@query()
+def cyclic_depth(spark, sf_dir):
+    """Customers in cycles, below them nations and regions. No SQL: depths in a cycle depend on the walk's order."""
+    return graph.cyclic_depth(*_cycles_above_nations(spark, sf_dir))
+
+
+def _cycles_above_nations(spark, sf_dir):
+    nodes, edges = _cycles(spark, sf_dir)
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    nation_id, region_id = (lambda c: -100 - F.col(c)), (lambda c: -1000 - F.col(c))  # beside all customers' keys
+    lower = customer.select(F.col("c_custkey").alias("src"), nation_id("c_nationkey").alias("dst"))
+    lowest = nation.select(nation_id("n_nationkey").alias("src"), region_id("n_regionkey").alias("dst"))
+    below = lower.unionByName(lowest)
+    return nodes.unionByName(below.select(F.col("dst").alias("id")).distinct()), edges.unionByName(below)
+
+
 @query(f"WITH RECURSIVE {DG}, wk AS (SELECT id, 0::BIGINT AS depth FROM no UNION SELECT dst, depth + 1 FROM wk JOIN ed ON src = id) SELECT id, max(depth) AS depth FROM wk GROUP BY id")
 def dag_depth(spark, sf_dir):
     return _order_depth(table(spark, sf_dir, "orders").where("o_orderkey >= 1"))

@@ -104,18 +104,103 @@ def dag_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found if found is not None else nodes.select("id", F.lit(0).cast("long").alias("depth"))
 
 
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least id of each part that edges of either direction hold together.
+
+    Every round takes the least label among neighbours and the label's own
+    label, so that chains shrink by halves.
+    """
+    both = written(both_ways(edges).where("id <> other").select("id", "other").distinct(), "both-ways")
+    labels = written(nodes.select("id").distinct().withColumn("component", F.col("id")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("id", "other"), "other").select("id", "component")
+        least = near.unionByName(labels).groupBy("id").agg(F.min("component").alias("component"))
+        up = least.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        new = written(least.join(up, "component", "left").select("id", F.least("component", F.coalesce("above", "component")).alias("component")), "labels")
+        changed = new.join(labels.withColumnRenamed("component", "before"), "id").where("component <> before").limit(1).count()
+        labels = new
+        if not changed:
+            return labels
+
+
+def walk_depths(order: list, out: dict) -> dict:
+    """Depths of a walk from all nodes in ``order``: a node is entered again whenever a longer way to it is found, but never from itself.
+
+    ``out``: each node's next nodes in the order of their edges.
+    """
+    depth = dict.fromkeys(order, -1)
+    for start in order:
+        if depth[start] >= 0:
+            continue
+        depth[start] = 0
+        trail, open_ = [(start, iter(out.get(start, ())))], {start}
+        while trail:
+            node, ahead = trail[-1]
+            for other in ahead:
+                if other not in open_ and depth[other] <= depth[node]:
+                    depth[other] = depth[node] + 1
+                    trail.append((other, iter(out.get(other, ()))))
+                    open_.add(other)
+                    break
+            else:
+                trail.pop()
+                open_.discard(node)
+    return depth
+
+
 def cyclic_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, depth) where cycles occur: depth over the graph of components, plus the place within a component by least id.
+    """(id, depth) where cycles occur: nodes and edges in the order of ``place``, where they have one, else of their ids.
 
-    With cycles a longest path depends on where a walk starts; here every
-    component counts as one node, so the result is the same for any row order.
+    With cycles a longest path depends on where a walk starts and on the way it
+    takes. So the nodes that can get to a cycle are walked as they come, one
+    task for each weakly connected part of them. All others are settled by
+    rounds, from the depths of the nodes before them: those are the same for
+    any order.
     """
-    parts = written(strong_components(nodes, edges), "components")
-    a = parts.select(F.col("id").alias("src"), F.col("component").alias("c1"))
-    b = parts.select(F.col("id").alias("dst"), F.col("component").alias("c2"))
-    between = edges.join(a, "src").join(b, "dst").where("c1 <> c2").select(F.col("c1").alias("src"), F.col("c2").alias("dst")).distinct()
-    depth = dag_depth(parts.select(F.col("component").alias("id")).distinct(), between)
-    return parts.join(depth.withColumnRenamed("id", "component"), "component").select("id", "depth")
+    node_place, edge_place = ("place" if "place" in t.columns else None for t in (nodes, edges))
+    points = written(nodes.groupBy("id").agg((F.min(node_place) if node_place else F.min("id")).alias("place")), "points")
+    ids = points.select("id")
+    inside = edges.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    links = written(inside.groupBy("src", "dst").agg((F.min(edge_place) if edge_place else F.min("dst")).alias("place")), "links")
+    # What has no way out, again and again: the rest gets to a cycle.
+    core = links
+    while True:
+        kept = written(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "place"), "core")
+        if kept.count() == core.count():
+            break
+        core = kept
+    walked = written(points.join(core.select(F.col("src").alias("id")).distinct(), "id", "left_semi"), "walked")
+    parts = weak_components(walked, core)
+    rows = walked.join(parts, "id").select("component", F.col("id").alias("src"), F.col("id").alias("dst"), "place")  # a node: no edge has one end only
+    rows = rows.unionByName(core.join(parts.withColumnRenamed("id", "src"), "src").select("component", "src", "dst", "place"))
+
+    def walk(part):
+        import pandas as pd
+
+        part = part.sort_values(["place", "src", "dst"], kind="stable")
+        at = part["src"] == part["dst"]
+        out = part[~at].groupby("src", sort=False)["dst"].agg(list).to_dict()
+        depth = walk_depths(part["src"][at].tolist(), out)
+        return pd.DataFrame({"id": list(depth), "depth": list(depth.values())})
+
+    kind = points.schema["id"].dataType.simpleString()
+    found = written(rows.groupBy("component").applyInPandas(walk, f"id {kind}, depth long"), "depths")
+    rest = links.join(walked.select(F.col("id").alias("dst")), "dst", "left_anti")
+    left = written(points.select("id").join(walked.select("id"), "id", "left_anti"), "left")
+    fresh = found
+    ready = left.join(rest.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("depth", F.lit(0).cast("long"))
+    waits = written(rest.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("waits")).withColumn("depth", F.lit(0).cast("long")), "waits")
+    while True:
+        if ready is not None:
+            fresh, ready = written(fresh.unionByName(ready), "fresh"), None
+            found = fresh
+        done = rest.join(fresh.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("done"), F.max(F.col("depth") + 1).alias("ahead"))
+        now = waits.join(done, "id", "left").select("id", (F.col("waits") - F.coalesce("done", F.lit(0))).alias("waits"), F.greatest("depth", F.coalesce("ahead", F.lit(0))).alias("depth"))
+        now = written(now, "waits")
+        fresh = now.where("waits = 0").select("id", "depth")
+        if not fresh.limit(1).count():
+            return found
+        found, waits = found.unionByName(fresh), now.where("waits > 0")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

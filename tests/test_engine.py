@@ -213,7 +213,7 @@ def test_paths_and_components(spark):
     parts = {r.id: r.component for r in graph.strong_components(points, edges).collect()}
     assert parts == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
     depth = {r.id: r.depth for r in graph.cyclic_depth(points, edges).collect()}
-    assert depth == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 0, 7: 2, 8: 0}
+    assert depth == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 6: 0, 7: 5, 8: 0}
     assert graph.analyze_dag(points.limit(0), edges.limit(0), graph.strong_components(points.limit(0), edges.limit(0))).first().is_dag is False
 
 
