@@ -8,61 +8,135 @@ from pyspark.sql import functions as F
 from ..tables import written
 
 
+def _any(df: DataFrame) -> bool:
+    return bool(df.limit(1).count())
+
+
+def _within(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with both ends among the ids."""
+    return links.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
 def _spread(labels: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """Greatest label that reaches each node along the edges, by rounds until nothing changes."""
+    """Greatest label that reaches each node along the edges, by rounds until nothing changes; a label's own label counts too."""
     while True:
         sent = edges.join(labels, edges[src] == labels["id"]).select(F.col(dst).alias("id"), "colour")
-        new = written(sent.unionByName(labels).groupBy("id").agg(F.max("colour").alias("colour")), "colours")
-        changed = new.join(labels.withColumnRenamed("colour", "before"), "id").where("colour <> before").limit(1).count()
+        best = sent.unionByName(labels).groupBy("id").agg(F.max("colour").alias("colour"))
+        above = best.select(F.col("id").alias("colour"), F.col("colour").alias("above"))
+        new = written(best.join(above, "colour", "left").select("id", F.greatest("colour", F.coalesce("above", "colour")).alias("colour")), "colours")
+        changed = _any(new.join(labels.withColumnRenamed("colour", "before"), "id").where("colour <> before"))
         labels = new
         if not changed:
             return labels
 
 
+def _coloured(left: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round of colouring: (id, component) of what it settles, and the colours of all.
+
+    The greatest id that reaches a node is its colour; the nodes of a colour
+    that can reach back to its root form a component.
+    """
+    colours = _spread(left.select("id", F.col("id").alias("colour")), links, "src", "dst")
+    same = links.join(colours.withColumnsRenamed({"id": "src", "colour": "c1"}), "src").join(colours.withColumnsRenamed({"id": "dst", "colour": "c2"}), "dst")
+    same = written(same.where("c1 = c2").select("src", "dst", F.col("c1").alias("colour")), "same-colour")
+    reach = written(colours.where("id = colour"), "roots")
+    while True:
+        back = same.join(reach.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "colour")
+        fresh = written(back.distinct().join(reach, "id", "left_anti"), "fresh")
+        if not _any(fresh):
+            return reach.select("id", F.col("colour").alias("component")), colours
+        reach = written(reach.unionByName(fresh), "reach")
+
+
+def _chains(links: DataFrame) -> list[DataFrame]:
+    """Nodes with one way out and where 1, 2, 4, .. steps along such nodes lead: (id, to, least), least the least id on the way.
+
+    Pointers are doubled until all have left such nodes, or only rings are left
+    to go round: as many nodes are pointed at as before (so they lie on rings),
+    and no least id has changed (so each ring has been gone round).
+    """
+    jumps = [written(links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("to")).where("n = 1").select("id", "to", F.col("id").alias("least")), "chains")]
+    before = None
+    while True:
+        last = jumps[-1]
+        ahead = last.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("least").alias("low"))
+        both = last.join(ahead, "to", "left").select("id", F.coalesce("far", "to").alias("to"), F.least("least", "low").alias("least"), F.col("far").isNotNull().alias("went"), (F.col("low") < F.col("least")).alias("moved"))
+        new = written(both, "chains")
+        now = new.where("went").agg(F.count_distinct("to").alias("n"), F.count_if("moved").alias("moved")).first()
+        if not now.n:
+            return [*jumps, new.drop("went", "moved")]
+        jumps.append(new.drop("went", "moved"))
+        if now.n == before and not now.moved:
+            return jumps
+        before = now.n
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each strongly connected component.
 
-    Colouring: the greatest id that reaches a node is its colour; the nodes of a
-    colour that can reach back to its root form a component, which is cut off,
-    and the rest goes on. A round settles at least one component per colour.
-    Nodes without edges in both directions are settled at once.
+    Nodes without a way in or out are components of one. Nodes with one way out
+    (or in) are drawn into the node that their chain leads to, which doubling of
+    pointers tells in a logarithmic number of rounds; a chain that never leaves
+    such nodes is a ring, and a component. Whatever is left is coloured: each
+    round settles a component per colour. Then the chains are let out again:
+    their nodes belong to the component if it has a way into the chain at or
+    before them.
     """
     left = written(nodes.select("id").distinct(), "nodes")
     links = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    found: DataFrame | None = None
-
-    def add(rows: DataFrame) -> None:
-        nonlocal found
-        found = rows if found is None else found.unionByName(rows)
-
-    while True:
-        # Peel what has no way in or no way out: components of one node.
-        while True:
-            inner = links.select(F.col("src").alias("id")).intersect(links.select(F.col("dst").alias("id")))
-            inner = written(left.join(inner, "id", "left_semi"), "inner")
-            alone = left.join(inner, "id", "left_anti")
-            if not alone.limit(1).count():
-                break
-            add(alone.select("id", F.col("id").alias("component")))
-            left = inner
-            links = written(links.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
-        if not left.limit(1).count():
-            break
-        colours = _spread(left.select("id", F.col("id").alias("colour")), links, "src", "dst")
-        same = links.join(colours.withColumnsRenamed({"id": "src", "colour": "c1"}), "src").join(colours.withColumnsRenamed({"id": "dst", "colour": "c2"}), "dst")
-        same = written(same.where("c1 = c2").select("src", "dst", F.col("c1").alias("colour")), "same-colour")
-        reach = written(colours.where("id = colour"), "roots")
-        while True:
-            back = same.join(reach.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "colour")
-            fresh = written(back.distinct().join(reach, "id", "left_anti"), "fresh")
-            if not fresh.limit(1).count():
-                break
-            reach = written(reach.unionByName(fresh), "reach")
-        least = reach.groupBy("colour").agg(F.min("id").alias("component"))
-        add(reach.join(least, "colour").select("id", "component"))
-        left = written(left.join(reach, "id", "left_anti"), "nodes")
-        links = written(links.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
-    return found if found is not None else nodes.select("id", F.col("id").alias("component")).limit(0)
+    found = _solved(left, links)
+    least = found.groupBy("component").agg(F.min("id").alias("least"))
+    return found.join(least, "component").select("id", F.col("least").alias("component"))
+
+
+def _solved(left: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component), the component named by any of its nodes."""
+    inner = links.select(F.col("src").alias("id")).intersect(links.select(F.col("dst").alias("id")))
+    inner = written(left.join(inner, "id", "left_semi"), "inner")
+    alone = left.join(inner, "id", "left_anti").select("id", F.col("id").alias("component"))
+    if inner.count() < left.count():
+        return alone if not _any(inner) else alone.unionByName(_solved(inner, written(_within(links, inner), "edges")))
+    if not _any(left):
+        return alone
+    for turned in (False, True):
+        ways = links.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else links
+        jumps = _chains(ways)
+        if _any(jumps[0]):
+            return _drawn_in(left, ways, jumps, turned)
+    settled, colours = _coloured(left, links)
+    settled = written(settled, "settled")
+    rest = written(left.join(settled, "id", "left_anti"), "nodes")
+    if not _any(rest):
+        return settled
+    # A component lies in one colour: edges between colours are in none.
+    of = rest.join(colours, "id")
+    inside = _within(links, rest).join(of.select(F.col("id").alias("src"), F.col("colour").alias("c1")), "src").join(of.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst")
+    return settled.unionByName(_solved(rest, written(inside.where("c1 = c2").select("src", "dst"), "edges")))
+
+
+def _drawn_in(left: DataFrame, links: DataFrame, jumps: list[DataFrame], turned: bool) -> DataFrame:
+    """Components of a graph whose chains are drawn into the nodes they lead to."""
+    ids, ends = jumps[0].select("id"), jumps[-1]
+    endless = written(ends.join(ids.select(F.col("id").alias("to")), "to", "left_semi"), "endless")  # these lead to a ring
+    ring = endless.select(F.col("to").alias("id")).distinct()
+    of_ring = endless.join(ring, "id", "left_semi").select("id", F.col("least").alias("component"))
+    to_ring = endless.join(ring, "id", "left_anti").select("id", F.col("id").alias("component"))
+    roots = written(ends.join(endless.select("id"), "id", "left_anti").select("id", F.col("to").alias("root")), "roots")
+    core = written(left.join(ids, "id", "left_anti"), "nodes")
+    own = links.join(ids.select(F.col("id").alias("src")), "src", "left_anti").join(endless.select(F.col("id").alias("dst")), "dst", "left_anti")
+    drawn = written(own.join(roots.withColumnRenamed("id", "dst"), "dst", "left").select("src", "dst", "root"), "drawn")
+    across = drawn.select("src", F.coalesce("root", "dst").alias("dst")).where("src <> dst").distinct()
+    across = across.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else across
+    inner = written(_solved(core, written(across, "edges")), "inner")
+    named = roots.join(inner.select(F.col("id").alias("root"), "component"), "root").select("id", "component")
+    # Chain nodes that the component of their end has a way into, and from these on along the chain.
+    entry = drawn.where("root is not null").join(inner.select(F.col("id").alias("src"), F.col("component").alias("from")), "src")
+    marked = written(entry.select(F.col("dst").alias("id"), "from").join(named, "id").where("from = component").select("id").distinct(), "marked")
+    for step in jumps if _any(marked) else []:
+        marked = written(marked.unionByName(marked.join(step, "id").select(F.col("to").alias("id")).join(ids, "id", "left_semi")).distinct(), "marked")
+    inside = named.join(marked, "id", "left_semi")
+    outside = named.join(marked, "id", "left_anti").select("id", F.col("id").alias("component"))
+    return inner.unionByName(of_ring).unionByName(to_ring).unionByName(inside).unionByName(outside)
 
 
 def cyclic_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
