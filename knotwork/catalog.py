@@ -14,7 +14,7 @@ from .operators import search as S
 from .plans.sample_graph import sample, table
 from .plans.search import search
 from .plans.store import stored_build
-from .streaming import hub
+from .streaming import hub, keyed
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -723,6 +723,45 @@ def hub_replay(spark, sf_dir):
     return hub.replay(hub.retained(_log(spark, sf_dir))).select("channel", "type", "seq")
 
 
+# Each event is a request for a graph; its answer comes some events later.
+LOADS = "ld AS (SELECT 'v' || user_id % 211 AS viewer, event_id AS request, 2 * event_id AS began, 2 * (event_id + event_id % 97) + 1 AS ended, CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 11 = 0 THEN 'cancelled' ELSE 'ok' END AS outcome FROM events)"
+VERDICTS = f"""{LOADS}, lv AS (SELECT viewer, request, seq, outcome, last_value(CASE WHEN outcome IS NULL THEN request END IGNORE NULLS) OVER (PARTITION BY viewer ORDER BY seq, request) AS latest
+  FROM (SELECT viewer, request, began AS seq, NULL AS outcome FROM ld UNION ALL SELECT viewer, request, ended, outcome FROM ld)),
+vd AS (SELECT viewer, request, seq, CASE WHEN latest IS DISTINCT FROM request THEN 'superseded' WHEN outcome = 'ok' THEN 'replaced' WHEN outcome = 'cancelled' THEN 'cancelled' ELSE 'failed' END AS verdict FROM lv WHERE outcome IS NOT NULL)"""
+
+
+def _loads(spark, sf_dir):
+    made = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("v"), F.col("user_id") % 211).alias("viewer"), F.col("event_id").alias("request"),
+        F.explode(F.array(F.struct((2 * F.col("event_id")).alias("seq"), F.lit(None).cast("string").alias("outcome")),
+                          F.struct((2 * (F.col("event_id") + F.col("event_id") % 97) + 1).alias("seq"), F.when(F.col("event_type") == "error", "error").when(F.col("event_id") % 11 == 0, "cancelled").otherwise("ok").alias("outcome")))).alias("e"),
+    )
+    return made.select("viewer", "e.seq", "request", "e.outcome")
+
+
+@query(f"WITH {VERDICTS} SELECT viewer, request, verdict FROM vd")
+def load_verdicts(spark, sf_dir):
+    return keyed.load_verdicts(_loads(spark, sf_dir)).select("viewer", "request", "verdict")
+
+
+@query(f"WITH {VERDICTS} SELECT viewer, arg_max(request, seq) AS request FROM vd WHERE verdict = 'replaced' GROUP BY viewer")
+def loads_shown(spark, sf_dir):
+    return keyed.shown(keyed.load_verdicts(_loads(spark, sf_dir)))
+
+
+def _attempts(spark, sf_dir):
+    """Events as attempts at sources: errors fail, a few block, purchases are forced."""
+    status = F.when(F.col("event_id") % 503 == 0, "blocked").when((F.col("event_type") == "error") | (F.col("event_id") % 3 == 0), "failed").otherwise("collected")
+    file = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("f"), "event_id"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("k"), F.col("user_id") % 307).alias("key"), F.col("event_id").alias("seq"), "ts", status.alias("status"), (F.col("event_type") == "purchase").alias("forced"), file.alias("file"))
+
+
+@query()
+def ledger_merged(spark, sf_dir):
+    """The ledger after all attempts, each judged by the entry before it. No SQL: a fold; tests hold it against one."""
+    return keyed.ledger_batch(_attempts(spark, sf_dir))
+
+
 @query("SELECT event_id AS search_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")
 def rolling_last5(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("search_id"), "ts", "event_type")
