@@ -361,7 +361,7 @@ def test_depth_with_cycles_ends(spark):
     nodes = spark.range(7).select("id")
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 1), (2, 3), (4, 4), (5, 6)], "src long, dst long")
     got = {r.id: r.depth for r in graph.dag_depth(nodes, edges).collect()}
-    assert got == {0: 0, 1: 1, 2: 1, 3: 2, 4: 0, 5: 0, 6: 1}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: 0, 6: 1}
 
 
 def test_crawl(spark):
