@@ -120,7 +120,7 @@ class Engine:
     def review_show(self, docs: DataFrame) -> DataFrame:
         """Errors of documents before anyone is shown them; no rows: all well."""
         nodes, rels = validate.with_defaults(documents.document_nodes(docs)), documents.document_rels(docs)
-        return validate.structure(nodes, rels).unionByName(validate.schema(nodes, rels))
+        return validate.structure(nodes, rels, docs.select("file")).unionByName(validate.schema(nodes, rels, documents.document_meta(docs)))
 
     def review_approve(self, ledger: DataFrame, files: DataFrame) -> DataFrame:
         return workflow.review(ledger, files.select("file", F.lit(True).alias("approve"), F.lit(None).cast("string").alias("reason")))

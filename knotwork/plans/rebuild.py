@@ -48,9 +48,12 @@ class Build:
     summary: DataFrame
 
 
-def build(nodes: DataFrame, rels: DataFrame, dictionary: DataFrame | None = None, overrides: DataFrame | None = None) -> Build:
-    """Validate everything, then merge. Errors refuse the whole build before anything is written."""
-    errors = validate.structure(nodes, rels).unionByName(validate.schema(nodes, rels))
+def build(nodes: DataFrame, rels: DataFrame, dictionary: DataFrame | None = None, overrides: DataFrame | None = None, files: DataFrame | None = None) -> Build:
+    """Validate everything, then merge. Errors refuse the whole build before anything is written.
+
+    ``files(file)``: all documents, so that one without nodes is found too.
+    """
+    errors = validate.structure(nodes, rels, files).unionByName(validate.schema(nodes, rels))
     found = errors.limit(20).collect()
     if found:
         raise Refused("; ".join(f"{e.file} {e.place}: {e.code}" for e in found))
@@ -86,7 +89,7 @@ def rebuild(spark: SparkSession, reviewed: str, target: str, build_id: str, lock
         bad = docs.where("error is not null").select("file", "error").limit(20).collect()
         if bad:
             raise Refused("; ".join(f"{b.file}: {b.error}" for b in bad))
-        made = build(validate.with_defaults(documents.document_nodes(docs)), documents.document_rels(docs), **dictionaries)
+        made = build(validate.with_defaults(documents.document_nodes(docs)), documents.document_rels(docs), files=docs.select("file"), **dictionaries)
         documents.write_graph(made.nodes, made.rels, target, build_id)
         return made
 
