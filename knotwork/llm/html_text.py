@@ -7,7 +7,11 @@ by its element, role or hidden state is left out with all below it. Elements
 whose whole class name or id says advert, notice, share or menu, and forms, go
 too, unless they hold the page's ``article``, ``main`` or ``h1``, or, where no
 element outside is one of these, most of the text that is no link; reader
-comments always go.
+comments always go. Where other words stand in the name, one that begins or ends
+it with comments, adverts or menus (``wp-comments``, ``ad-leaderboard``) is judged
+like those; any other noise word counts only if most of the element's own
+characters are links, so that ``social-science`` stays; names of states
+(``with-sidebar``, ``no-comments``) tell nothing.
 
 Each node's density is its characters per tag, adjusted down by the share of
 link characters and link tags. The subtree with the largest sum of child
@@ -44,6 +48,9 @@ BLOCK = {*"html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt
 CORE = {"article", "main", "h1"}
 WORDS = {*"ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar footer nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr notice notices disclaimer share sharing social related recommended newsletter subscribe signup login popup modal overlay toolbar pagination pager".split()}
 COMMENTS = {*"comment comments disqus reply replies respond responses".split()}
+#: Words that tell enough at either end of a name; those of a state of what they stand on, which tell nothing.
+TELLING = COMMENTS | {*"discussion discussions feedback ad ads advert adverts advertisement advertisements advertising sponsored nav navbar navigation breadcrumb breadcrumbs newsletter related cookie cookies".split()}
+STATES = {*"no not has have with without is open opened closed enabled disabled count hide hides hidden off".split()}
 #: Words that a class name may have beside those: a name with any other word says something else.
 BESIDE = {*"site page main global top bottom left right inner outer sticky fixed box block bar area list item items link links button buttons btn icon icons slot unit zone container content wrapper wrap section group panel row col column body header title heading label text image form field widget module post posts article articles entry story user reader the and more".split()}
 ROLES = {*"navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split()}
@@ -67,7 +74,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^a-zA-Z0-9]+")
 LONG_NUMBER = re.compile(r"&#(?:[xX][0-9a-fA-F]{8}[0-9a-fA-F]+|[0-9]{10}[0-9]+);?")
 
-HARD, SOFT, COMMENT = 3, 1, 2
+HARD, COMMENT, SOFT, LINKS = 4, 3, 2, 1
 
 
 @lru_cache(10_000)
@@ -77,12 +84,14 @@ def kind_of_name(name: str) -> tuple[int, bool]:
     parts = [w for w in parts if w and not re.fullmatch(r"\d*x?\d*", w)]
     header = "header" in parts and all(w in BESIDE for w in parts)
     if not all(w in WORDS or w in COMMENTS or w in BESIDE for w in parts):
-        return 0, False
+        if STATES.intersection(parts):
+            return 0, False
+        return (SOFT if parts[0] in TELLING or parts[-1] in TELLING else LINKS if WORDS.intersection(parts) else 0), False
     return (COMMENT if any(w in COMMENTS for w in parts) else SOFT if any(w in WORDS for w in parts) else 0), header
 
 
 def noise_of(tag: str, attrs: dict[str, str], in_article: bool) -> int:
-    """HARD: left out with all below it; SOFT and COMMENT: by class name or id; 0: none of these."""
+    """HARD: left out with all below it; SOFT and COMMENT: by class name or id; LINKS: so, if most of it is links; 0: none of these."""
     if tag in NOISE or tag == "header" and not in_article:
         return HARD
     found = SOFT if tag == "form" else 0
@@ -91,8 +100,8 @@ def noise_of(tag: str, attrs: dict[str, str], in_article: bool) -> int:
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES or HIDDEN.search(attrs.get("style", "").lower()):
         return HARD
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        kind, header = kind_of_name(name[:200])
-        found = max(found, kind, SOFT if header and not in_article else 0)
+        kind, header = kind_of_name(name) if len(name) <= 200 else kind_of_name.__wrapped__(name)
+        found = max(found, 0 if kind == LINKS and tag not in BLOCK else kind, SOFT if header and not in_article else 0)
     return found
 
 
@@ -238,6 +247,13 @@ class Page:
         size = len(self.tag)
         if not any(self.noise):
             return [False] * size
+        if LINKS in self.noise:
+            chars, links = [*self.chars], [*self.link_chars]
+            for i in range(size - 1, 0, -1):
+                chars[self.parent[i]] += chars[i]
+                links[self.parent[i]] += links[i]
+                if self.noise[i] == LINKS:
+                    self.noise[i] = SOFT if 2 * links[i] > chars[i] else 0
         plain = [c - lc for c, lc in zip(self.chars, self.link_chars, strict=True)]
         commented, outside = [False] * size, [True] * size
         cores = [0] * size

@@ -241,6 +241,29 @@ def test_html_density():
         assert html_text.main_text(source) == main(source), source
 
 
+@pytest.mark.parametrize("inside", [True, False])
+def test_html_names_with_other_words(inside):
+    prose = "<p>" + "Plain prose of the article, long enough to count, goes on here. " * 6 + "</p>"
+
+    def kept(name: str, noise: str) -> bool:
+        box = f'<div class="{name}">{noise}</div>'
+        body = f"<article><h1>T</h1>{prose * 3}{box}{prose}</article>" if inside else f"<div><h1>T</h1>{prose * 3}</div>{box}"
+        got = html_text.main_text(f"<html><body>{body}</body></html>")
+        assert got.startswith("T Plain prose"), name
+        return "NOISE" in got
+
+    words = "<p>NOISE that a reader wrote or a firm paid for, quite long and dense in its text.</p>"
+    gone = "wp-comments fb-comments comment-thread disqus_thread discussion advert-large ad-leaderboard ad-inline google-ad related-reading mobile-nav feedback"
+    assert not [n for n in gone.split() if kept(n, words)]
+    stay = ["social-science", "with-sidebar", "no-comments", "comments-open", "a" * 300 + "-science"]
+    assert [n for n in stay if inside and not kept(n, words)] == []
+    assert not kept("social-bar-x", '<a href="/">NOISE one</a> <a href="/">two</a>')
+    assert not kept("a" * 300 + "-comments", words)
+    # A name never costs the page its article.
+    for name in gone.split() + stay:
+        assert "Plain prose" in html_text.main_text(f'<html><body><div class="{name}">{prose * 3}</div></body></html>')
+
+
 def test_html_empty_and_repeated(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a")], "page_id long, url string, html string")
     assert [r.text for r in html_text.extract(rows).collect()] == ["a", "a"]
