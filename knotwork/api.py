@@ -7,6 +7,7 @@ single rows are columns, failures of a whole verb exceptions.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from . import limits as L
 from .functions import text
 from .functions.identity import document_key, sha16
-from .functions.schema_text import new_search_id
+from .functions.schema_text import new_search_id, update
 from .operators import filters, graph, search, validate, workflow
-from .plans import rebuild
+from .plans import generate, rebuild
 from .plans import search as search_plan
 from .sources import documents
 
@@ -73,7 +74,6 @@ class Engine:
 
     def kg_generate(self, inputs: DataFrame, engine: Callable[[str], str], second: Callable[[str], str] | None = None) -> DataFrame:
         """(stem, json, error) of ``inputs(stem, prompt)``: one corrective retry on bad output; one change of engine, with the prompt as it was, where the first is used up. Other failures end a document."""
-        import json
         import re
 
         import pandas as pd
@@ -111,6 +111,33 @@ class Engine:
 
         return inputs.select("stem", "prompt").mapInPandas(run, "stem string, json string, error string")
 
+    def kg_generate_run(self, inputs: DataFrame, engines: dict[str, Callable[[str], str]], now: datetime, files: DataFrame | None = None, limit: int | None = 1, **options) -> generate.Run:
+        """A run over ``inputs(stem, prompt)`` (``files(stem)`` beats ``limit``) whose answers are judged before their one retry; see :func:`generate.run`.
+
+        Documents are appended to ``generated``. New types stay with the result: :meth:`schema_update` registers them.
+        """
+        got = generate.run(generate.targets(inputs, files, limit), engines, now, version=int(self.schema_get().get("schema_version", 1)), **options)
+        got.documents.where("kind is null").select(F.concat("stem", F.lit(".kg.json")).alias("file"), "json", "engine", "n_nodes", "n_rels").write.mode("append").parquet(f"{self.folder}/generated")
+        return got
+
+    def schema_get(self) -> dict:
+        """The type registry of the highest version; an empty one where there is none yet."""
+        try:
+            kept = self.spark.read.text(f"{self.folder}/schema", wholetext=True).orderBy(F.desc("version")).first()
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return {}
+        return json.loads(kept.value)
+
+    def schema_update(self, operations: list[dict]) -> tuple[dict, list[str]]:
+        """The registry after :func:`schema_text.update`, and its warnings. A version is written once: of two updates at a time the later one fails."""
+        old = self.schema_get()
+        new, warnings = update(old, operations)
+        if new != old:
+            self.spark.createDataFrame([(json.dumps(new, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{self.folder}/schema/version={new['schema_version']}", lineSep="\n")
+        return new, warnings
+
     # Review -----------------------------------------------------------------------------------------------
 
     def review_list(self, generated: DataFrame) -> DataFrame:

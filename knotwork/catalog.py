@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from . import limits as L
 from .functions import identity, notices, text
 from .operators import audit, filters, graph, merge, validate, workflow
 from .operators import search as S
+from .plans import generate
 from .plans.sample_graph import sample, table
 from .plans.search import search
 from .plans.store import stored_build
@@ -1144,6 +1147,33 @@ def relationship_absence(spark, sf_dir):
     return audit.absent_relationships(customer.select(F.col("c_name").alias("name"), F.lit("^[F]").alias("pattern")), nodes, rels)
 
 
+def _answering(quota: bool) -> Callable[[str], str]:
+    """An engine that answers by the number in its prompt's first line; ``quota``: its own is used up at some prompts."""
+
+    def engine(prompt: str) -> str:
+        n, again = int(prompt.split("\n")[0]), "refused; mend this" in prompt
+        if n % 7 == 4:
+            raise RuntimeError("disk quota")
+        if n % 7 == 5 and quota:
+            raise RuntimeError("usage limit reached")
+        if n % 7 == 1 and not again:
+            return "no object"
+        label = "person" if n % 7 == 3 and not again else "Person"
+        nodes = [{"id": str(i), "label": label, "properties": {"name": f"P{i}"}} for i in range(1 + n % 5)]
+        rels = [{"type": "KNOWS", "start_node_id": "0", "end_node_id": "x" if n % 7 == 2 else str(n % 5)}]
+        return "Here:\n```json\n" + json.dumps({"nodes": nodes, "relationships": rels}) + "\n```"
+
+    return engine
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents)
+SELECT doc_id, CASE n % 7 WHEN 2 THEN 'bad_output' WHEN 4 THEN 'crash' END AS kind, n % 7 IN (1, 2, 3) AS corrected, CASE WHEN n % 7 NOT IN (2, 4) THEN (1 + n % 5)::INTEGER END AS n_nodes, CASE WHEN n % 7 NOT IN (2, 4) THEN 1::INTEGER END AS n_rels FROM d""")
+def generation_outcomes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.concat_ws("\n", F.coalesce(F.length("text"), F.lit(0)).cast("string"), "text").alias("prompt"))
+    got = generate.run(docs, {"one": _answering(True), "two": _answering(False)}, datetime(2026, 1, 1))
+    return got.documents.select(F.col("stem").cast("long").alias("doc_id"), "kind", "corrected", "n_nodes", "n_rels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
