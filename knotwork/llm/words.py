@@ -7,7 +7,7 @@ A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]`` - exactly what
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,10 +135,11 @@ class WordMemo:
         """The memo's row of each word."""
         if len(self.rows) > self.most or self.bytes > self.most_bytes:
             self.clear()
-        got = list(map(self.rows.get, words))
-        if None in got:
-            missing = [i for i, r in enumerate(got) if r is None]
-            new = list(dict.fromkeys([words[i] for i in missing]))
+        got = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(got < 0).tolist()
+        if missing:
+            unknown = [words[i] for i in missing]
+            new = list(dict.fromkeys(unknown))
             flat, lens = self.encode(new)
             n = len(self.rows)
             self.starts = self.put(self.starts, n, np.cumsum(lens) - lens + self.values)
@@ -147,10 +148,8 @@ class WordMemo:
             self.values += len(flat)
             self.bytes += 4 * len(flat) + sum(map(len, new))
             self.rows.update(zip(new, range(n, n + len(new)), strict=True))
-            rows = self.rows
-            for i in missing:
-                got[i] = rows[words[i]]
-        return np.array(got, np.int64)
+            got[missing] = np.fromiter(map(self.rows.__getitem__, unknown), np.int64, len(unknown))
+        return got
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' values in one flat array, and how many each text has."""
