@@ -849,7 +849,9 @@ def time_stamps(spark, sf_dir):
 
 @query("""WITH x AS (SELECT event_id, event_id * 9007199254740 AS n FROM events) SELECT event_id, CASE WHEN n > 9007199254740991 THEN '"' || n || '"' ELSE n::VARCHAR END AS safe FROM x""")
 def json_safe_numbers(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", text.json_safe_long(F.col("event_id") * 9007199254740).alias("safe"))
+    # Products leave 64 bits from event 1,024,001 on: taken as decimals of 38 digits at most.
+    made = F.col("event_id").cast("decimal(20,0)") * F.lit(9007199254740).cast("decimal(13,0)")
+    return table(spark, sf_dir, "events").select("event_id", text.json_safe_long(made).alias("safe"))
 
 
 @query("""SELECT p_partkey, '#' || string_agg(lower(printf('%02x', (v + round((255 - v) * 0.4))::INT)), '' ORDER BY k) AS colour FROM (SELECT p_partkey, unnest([0, 1, 2]) AS k, unnest([p_partkey % 256, p_size * 5 % 256, (p_partkey * 7) % 256]) AS v FROM part) GROUP BY p_partkey""")

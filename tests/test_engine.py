@@ -32,6 +32,14 @@ def test_keys(spark):
     assert all(r.x == r.y for r in again)
 
 
+def test_safe_numbers_beyond_64_bits(spark, tmp_path):
+    rows = [(0,), (1000,), (1001,), (1_024_001,), (6_000_000,), (35_999_999,), (-1001,), (2**62,)]
+    spark.createDataFrame(rows, "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.safe for r in catalog.queries()["json_safe_numbers"](spark, str(tmp_path)).collect()}
+    assert got == {n: f'"{n * 9007199254740}"' if abs(n) > 1000 else str(n * 9007199254740) for (n,) in rows}
+    assert values(spark, [(2**63 - 1,), (-(2**63),), (None,)], "x long", text.json_safe_long(F.col("x"))) == [(f'"{2**63 - 1}"',), (f'"{-(2**63)}"',), (None,)]
+
+
 def test_jamo(spark):
     rows = [("일륨도", "일륜도", 1), ("탄지로", "탄지로", 0), ("가", "나다", 2), ("abc", "abd", 1)]
     got = values(spark, rows, "a string, b string, d int", identity.jamo_distance(F.col("a"), F.col("b"), 1), "d")
