@@ -11,6 +11,7 @@ import pytest
 from knotwork import catalog
 from knotwork.api import Engine
 from knotwork.plans import generate
+from knotwork.tables import written
 
 NOW = datetime(2026, 1, 1)
 
@@ -110,6 +111,20 @@ def test_new_types_and_targets(spark, answer):
         generate.run(rows, {"one": str}, NOW, start="two")
 
 
+def test_an_answer_is_taken_apart_once(spark):
+    raws = [None, "", "[1]", '{"nodes": [], "relationships": []}', 'x ```json\n {"nodes": [], "relationships": []} \n``` y', "```\u00a0```{}", "{bad", '{"nodes": 1}']
+    rows = spark.createDataFrame([(str(i), r) for i, r in enumerate(raws)], "stem string, raw string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    read = generate.extracted(rows)
+    assert plan(read).count("regexp_extract(") == 2 and plan(read).count("try_parse_json(") <= 1
+    judged = generate.judge(written(read, "answers"))
+    assert not any(f in plan(judged) for f in ("regexp_extract(", "try_parse_json(", "raw#0, json"))
+    got = {int(r.stem): r.errors for r in judged.collect()}
+    none, empty = "no single JSON object", " no_nodes"
+    assert {k: v for k, v in got.items() if k not in (3, 4)} == {0: None, 1: none, 2: none, 5: none, 6: none, 7: "no nodes or relationships"}
+    assert got[3] == got[4] and got[3].strip() == empty.strip()
+
+
 def test_query_over_documents(spark):
     import duckdb
 
