@@ -266,9 +266,11 @@ t AS (SELECT c_custkey, unnest(CASE WHEN length(run) > 1 AND regexp_matches(run,
 SELECT token, count(*) AS n, count(DISTINCT c_custkey) AS n_docs FROM t GROUP BY token""")
 def cjk_tokens(spark, sf_dir):
     """Tokens of names that mix scripts inside a word."""
-    named = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{MIXED} AS name")
+    # Dealt by document before names become tokens: (document, token) is counted within parts, whose size doesn't follow the file's.
+    named = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{MIXED} AS name").repartition("c_custkey")
     rows = named.select("c_custkey", F.explode(S.tokens(F.col("name"))).alias("token"))
-    return rows.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("n_docs"))
+    each = rows.groupBy("c_custkey", "token").agg(F.count("*").alias("n"))
+    return each.groupBy("token").agg(F.sum("n").alias("n"), F.count("c_custkey").alias("n_docs"))
 
 
 @query(f"WITH {N}, {GN}, {KEYED}, {T2} SELECT search_id, kw_pos, kgid, ratio FROM t2 WHERE NOT kept")
