@@ -3,7 +3,9 @@
 Inputs: ``nodes(file, input_file, pos, local_id, label, name, props)`` and
 ``rels(file, input_file, pos, type, start_id, end_id, props)``; props map a name
 to the value's JSON text. Order is (file, pos) throughout, so results don't
-depend on row order. Every step is one aggregation by a key that pre-aggregates.
+depend on row order. Every step is an aggregation by a key that pre-aggregates:
+what repeats is first counted down to one row a value and file, in hash tables
+of fixed width; only what that leaves is put in order.
 """
 
 from __future__ import annotations
@@ -48,7 +50,8 @@ def canonicalize(nodes: DataFrame, dictionary: DataFrame | None = None, key=name
 
 def merged_nodes(keyed: DataFrame) -> DataFrame:
     """One row a (label, name_key): first name by order, and the sorted sets of files."""
-    return keyed.groupBy("kgid", "label", "name_key").agg(
+    seen = keyed.groupBy("kgid", "label", "name_key", "name", "file", "input_file").agg(F.min("pos").alias("pos"))
+    return seen.groupBy("kgid", "label", "name_key").agg(
         F.min_by("name", order()).alias("name"), F.sort_array(F.collect_set("file")).alias("reviewed_files"), F.sort_array(F.collect_set("input_file")).alias("input_files")
     )
 
@@ -59,7 +62,13 @@ def exploded(rows: DataFrame, *keys: str) -> DataFrame:
 
 def first_values(rows: DataFrame, *keys: str) -> DataFrame:
     """First value by order of each property, for nodes or relationships."""
-    return exploded(rows, *keys).where("prop <> 'name'").groupBy(*keys, "prop").agg(F.min_by("value", order()).alias("value"))
+    values = exploded(rows, *keys)
+    return first_of(values.groupBy(*keys, "prop", "value", "file").agg(F.min("pos").alias("pos")), *keys)
+
+
+def first_of(values: DataFrame, *keys: str) -> DataFrame:
+    """The same from one row a value (..., file, pos, prop, value); for values that hardly repeat."""
+    return values.where("prop <> 'name'").groupBy(*keys, "prop").agg(F.min_by("value", order()).alias("value"))
 
 
 def as_map(values: DataFrame, *keys: str) -> DataFrame:
@@ -67,17 +76,23 @@ def as_map(values: DataFrame, *keys: str) -> DataFrame:
 
 
 def linked_rels(rels: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Relationships with their ends' kgids and their own."""
-    ids = keyed.select("file", "local_id", "kgid")
+    """Relationships with their ends' kgids and their own.
+
+    Nodes are the hashed side of both joins, by parts: the relationships, of
+    which there are many more, are neither sorted nor spilled for them.
+    """
+    ids = keyed.select("file", "local_id", "kgid").hint("shuffle_hash")
     start = ids.select("file", F.col("local_id").alias("start_id"), F.col("kgid").alias("from_kgid"))
     end = ids.select("file", F.col("local_id").alias("end_id"), F.col("kgid").alias("to_kgid"))
     return rels.join(start, ["file", "start_id"]).join(end, ["file", "end_id"]).withColumn("kgid", rel_kgid(F.col("from_kgid"), F.col("type"), F.col("to_kgid")))
 
 
 def merged_rels(linked: DataFrame) -> DataFrame:
-    return linked.groupBy("kgid", "from_kgid", "type", "to_kgid").agg(
+    merged = linked.groupBy("from_kgid", "type", "to_kgid").agg(
         F.count("*").alias("occurrences"), F.sort_array(F.collect_set("file")).alias("reviewed_files"), F.sort_array(F.collect_set("input_file")).alias("input_files")
     )
+    # The id follows from the three: told once for each relationship, not carried by every row.
+    return merged.select(rel_kgid(F.col("from_kgid"), F.col("type"), F.col("to_kgid")).alias("kgid"), "*")
 
 
 def observations(keyed: DataFrame) -> DataFrame:

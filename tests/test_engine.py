@@ -40,6 +40,46 @@ def test_safe_numbers_beyond_64_bits(spark, tmp_path):
     assert values(spark, [(2**63 - 1,), (-(2**63),), (None,)], "x long", text.json_safe_long(F.col("x"))) == [(f'"{2**63 - 1}"',), (f'"{-(2**63)}"',), (None,)]
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_values_are_counted_down_before_they_are_put_in_order(spark):
+    rows = [("b", 1, "P", "x", {"p": "2", "q": "1"}), ("a", 9, "P", "x", {"p": "3"}), ("a", 10, "P", "x", {"p": "2", "name": "n"}), ("c", 0, "P", "x", {"p": None}), ("a", 9, "P", "y", {"p": None}), ("b", 0, "P", "y", {"p": "1"})]
+    keyed = spark.createDataFrame(rows, "file string, pos long, label string, name_key string, props map<string,string>")
+    first = merge.first_values(keyed, "label", "name_key")
+    assert sorted(map(tuple, first.collect())) == [("P", "x", "p", "3"), ("P", "x", "q", "1"), ("P", "y", "p", None)]
+    assert "partial_min(pos" in physical(first)
+    nodes = keyed.withColumn("kgid", F.col("name_key")).withColumn("name", F.upper("name_key")).withColumn("input_file", F.concat("file", F.lit(".md")))
+    assert "partial_min(pos" in physical(merge.merged_nodes(nodes))
+    assert [(r.name_key, r.name, r.reviewed_files) for r in merge.merged_nodes(nodes).orderBy("name_key").collect()] == [("x", "X", ["a", "b", "c"]), ("y", "Y", ["a", "b"])]
+
+
+def test_relationships_and_citations_meet_nodes_unsorted(spark, docs):
+    keyed = merge.canonicalize(docs[0])
+    assert "SortMergeJoin" not in physical(merge.linked_rels(docs[1], keyed).hint("merge").select("kgid")) and physical(merge.linked_rels(docs[1], keyed)).count("ShuffledHashJoin") == 2
+    merged, linked = merge.merged_rels(merge.linked_rels(docs[1], keyed)), merge.linked_rels(docs[1], keyed)
+    assert sorted(r.kgid for r in merged.collect()) == sorted({r.kgid for r in linked.collect()})
+    cited = spark.createDataFrame([("s", "n1"), ("s", "n1"), ("s", "n2")], "search_id string, alias string")
+    aliases = spark.createDataFrame([("s", "n1", "node", "k", None, None)], "search_id string, alias string, kind string, kgid string, from_kgid string, to_kgid string")
+    verified = search.verify_citations(cited, aliases)
+    assert "ShuffledHashJoin" in physical(verified)
+    assert sorted((r.alias, r.outcome) for r in verified.collect()) == [("n1", "accepted"), ("n2", "unknown_alias")]
+
+
+def test_tokens_are_counted_by_document_within_parts(spark, tmp_path):
+    import duckdb
+
+    rows = [(7, 1), (7, 1), (8, 2), (11, 3)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    counted = catalog.queries()["cjk_tokens"](spark, str(tmp_path))
+    plan = physical(counted)
+    assert "hashpartitioning(c_custkey" in plan and "hashpartitioning(token#" in plan and "hashpartitioning(token#0, c_custkey" not in plan and plan.count("Exchange") == 2
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(map(tuple, counted.collect())) == sorted(con.sql(catalog.oracle_sql()["cjk_tokens"]).fetchall())
+
+
 def test_jamo(spark):
     rows = [("일륨도", "일륜도", 1), ("탄지로", "탄지로", 0), ("가", "나다", 2), ("abc", "abd", 1)]
     got = values(spark, rows, "a string, b string, d int", identity.jamo_distance(F.col("a"), F.col("b"), 1), "d")
