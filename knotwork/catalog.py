@@ -86,8 +86,8 @@ UNION ALL SELECT search_id, kw_pos, kgid, label, name, name_key, score, rank, 'T
 
 def _keywords(spark: SparkSession) -> DataFrame:
     rows = [("s1", 0, "blue ring"), ("s1", 1, "NATION_7"), ("s1", 2, " ring "), ("s1", 3, "zzzz"), ("s2", 0, "supplier#000000001"), ("s2", 1, "upplier#00000000"), ("s2", 2, "old rod in gear"), ("s3", 0, "eur"), ("s3", 1, "new")]
-    rows = [(*r, None) for r in rows]
-    return S.with_keys(spark.createDataFrame(rows, "search_id string, kw_pos int, keyword string, question string"))
+    # Literals: a list of Python's rows would be read by Python workers, once for each tier that asks.
+    return S.with_keys(spark.sql(f"SELECT search_id, kw_pos, keyword, cast(NULL AS string) AS question FROM VALUES {', '.join(map(str, rows))} AS t(search_id, kw_pos, keyword)"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

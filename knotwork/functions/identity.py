@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as the original data's tools see it: Unicode's, and the byte order mark.
@@ -23,6 +23,12 @@ def nfc(x: Column) -> Column:
     return F.coalesce(to_nfc(F.when(~x.rlike("^[\\x00-\\x7F]*$"), x)), x)
 
 
+def composed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the column in NFC; only rows with other than ASCII values go through Python, and no worker starts where Spark knows that there are none."""
+    plain = F.coalesce(F.col(column).rlike("^[\\x00-\\x7F]*$"), F.lit(True))
+    return df.where(plain).unionByName(df.where(~plain).withColumn(column, nfc(F.col(column))))
+
+
 def trim_space(x: Column) -> Column:
     return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
 

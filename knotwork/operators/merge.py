@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import ascii_name_key, name_key, nfc, node_kgid, rel_kgid
+from ..functions.identity import ascii_name_key, composed, name_key, nfc, node_kgid, rel_kgid
 from ..limits import PAIRS_REPORTED, RESERVED_PROPS
 from . import substrings
 
@@ -33,9 +33,7 @@ def canonicalize(nodes: DataFrame, dictionary: DataFrame | None = None, key=name
     """Nodes with canonical label and name, ``changed``, name_key and kgid. The dictionary is small: one broadcast lookup."""
     named = nodes
     if key is name_key:
-        # Only rows with other than ASCII names go through Python.
-        plain = F.coalesce(F.col("name").rlike("^[\\x00-\\x7F]*$"), F.lit(True))
-        named = nodes.where(plain).unionByName(nodes.where(~plain).withColumn("name", nfc(F.col("name"))))
+        named = composed(nodes, "name")
     # Composed by now.
     key = ascii_name_key
     keyed = named.withColumn("variant_key", key(F.col("name")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import limits as L
-from ..functions.identity import jamo, name_key
+from ..functions.identity import ascii_name_key, composed, jamo
 from ..tables import written
 from . import substrings
 from .text_index import STOP, Bucketed, Index, build_index, read_index, tokens, write_bucketed, write_index  # noqa: F401
@@ -74,7 +74,8 @@ def containing(keywords: DataFrame, nodes: DataFrame, index: Index | None = None
 
 def with_keys(keywords: DataFrame) -> DataFrame:
     """At most 8 keywords a search, with their keys."""
-    return keywords.where(F.col("kw_pos") < L.MAX_KEYWORDS).withColumn("kw_key", name_key(F.col("keyword")))
+    asked = keywords.where(F.col("kw_pos") < L.MAX_KEYWORDS).withColumn("kw_key", F.col("keyword"))
+    return composed(asked, "kw_key").withColumn("kw_key", ascii_name_key(F.col("kw_key")))
 
 
 def waterfall(keywords: DataFrame, nodes: DataFrame, index: Index, tiers: int = 3) -> DataFrame:
@@ -99,7 +100,7 @@ def anchor_candidates(keywords: DataFrame) -> DataFrame:
     """
     hangul = "^[가-힣 ]+$"
     n = F.length("kw_key")
-    rows = keywords.where(F.col("question").isNotNull()).withColumn("q", name_key(F.col("question")))
+    rows = composed(keywords.where(F.col("question").isNotNull()).withColumn("q", F.col("question")), "q").withColumn("q", ascii_name_key(F.col("q")))
     rows = rows.where((F.col("question") != "") & F.col("kw_key").rlike(hangul) & (n >= L.ANCHOR_MIN_CHARS) & ~F.col("q").contains(F.col("kw_key")))
     runs = rows.select("search_id", "kw_pos", "kw_key", F.explode(F.split("q", "[^0-9a-z가-힣 ]+")).alias("run")).where(F.length("run") >= n)
     windows = runs.select("search_id", "kw_pos", "kw_key", "run", F.explode(F.sequence(F.lit(1), F.length("run") - n + 1)).alias("i"))

@@ -132,3 +132,13 @@ def test_fingerprint(spark, tmp_path):
     assert one == store.fingerprint(spark, [f"{tmp_path}/t"])
     spark.range(3).write.mode("append").parquet(f"{tmp_path}/t")
     assert one != store.fingerprint(spark, [f"{tmp_path}/t"])
+
+
+def test_keywords_without_python(spark):
+    """Keywords of the queries are literals, and only those beyond ASCII are composed by Python."""
+    asked = catalog._keywords(spark)
+    for df in (asked, search.anchor_candidates(asked)):
+        assert "Python" not in plan(df) and "ExistingRDD" not in plan(df)
+    assert asked.schema.simpleString() == "struct<search_id:string,kw_pos:int,keyword:string,question:string,kw_key:string>"
+    rows = spark.createDataFrame([("s", 0, " Éa  B", None), ("s", 1, " A b ", None), ("s", 2, None, None)], "search_id string, kw_pos int, keyword string, question string")
+    assert {(r.kw_pos, r.keyword, r.kw_key) for r in search.with_keys(rows).collect()} == {(0, " Éa  B", "éa b"), (1, " A b ", "a b"), (2, None, None)}
