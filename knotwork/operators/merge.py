@@ -77,12 +77,14 @@ def linked_rels(rels: DataFrame, keyed: DataFrame) -> DataFrame:
     """Relationships with their ends' kgids and their own.
 
     Nodes are the hashed side of both joins, by parts: the relationships, of
-    which there are many more, are neither sorted nor spilled for them.
+    which there are many more, are neither sorted nor spilled for them. Ends come
+    first: relationships point to what fewer names stand for, so that the kgids
+    which go through the second shuffle repeat.
     """
     ids = keyed.select("file", "local_id", "kgid").hint("shuffle_hash")
     start = ids.select("file", F.col("local_id").alias("start_id"), F.col("kgid").alias("from_kgid"))
     end = ids.select("file", F.col("local_id").alias("end_id"), F.col("kgid").alias("to_kgid"))
-    return rels.join(start, ["file", "start_id"]).join(end, ["file", "end_id"]).withColumn("kgid", rel_kgid(F.col("from_kgid"), F.col("type"), F.col("to_kgid")))
+    return rels.join(end, ["file", "end_id"]).join(start, ["file", "start_id"]).withColumn("kgid", rel_kgid(F.col("from_kgid"), F.col("type"), F.col("to_kgid")))
 
 
 def merged_rels(linked: DataFrame) -> DataFrame:

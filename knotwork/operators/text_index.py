@@ -79,7 +79,7 @@ def read_bucketed(spark: SparkSession, path: str, key: str, schema: str) -> Buck
 
 @dataclass
 class Index:
-    """postings(token, kgid, tf, dl), counts(token, df), grams(gram, kgid, name_key), gram_counts(gram, n), names(name_key, kgid, label, name).
+    """postings(token, kgid, tf, dl), counts(token, df), grams(gram, name_key), gram_counts(gram, n), names(name_key, kgid, label, name).
 
     corpus: one row (n_docs, avgdl, longest).
     """
@@ -95,7 +95,7 @@ class Index:
 TABLES = {
     "postings": ("token", "token string, kgid string, tf long, dl int"),
     "counts": ("token", "token string, df long"),
-    "grams": ("gram", "gram string, kgid string, name_key string"),
+    "grams": ("gram", "gram string, name_key string"),
     "gram_counts": ("gram", "gram string, n long"),
     "names": ("name_key", "name_key string, kgid string, label string, name string"),
 }
@@ -126,7 +126,7 @@ def write_index(nodes: DataFrame, path: str) -> None:
     put = {
         "names": (held.select("name_key", "kgid", "label", "name"), rows.n_docs),
         "postings": (posted(nodes), int(rows.n_docs * (rows.avgdl or 0))),
-        "grams": (held.select("kgid", "name_key", F.explode(grams(F.col("name_key"))).alias("gram")).select("gram", "kgid", "name_key"), rows.n_docs * 3 * (rows.longest or 0)),
+        "grams": (held.select("name_key").distinct().select(F.explode(grams(F.col("name_key"))).alias("gram"), "name_key"), rows.n_docs * 3 * (rows.longest or 0)),
     }
     for name, (df, n) in put.items():
         write_bucketed(df, f"{path}/{name}", TABLES[name][0], n)

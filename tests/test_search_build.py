@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from knotwork import catalog
 from knotwork.operators import audit, merge, search, substrings, text_index
 from knotwork.plans import store
+from knotwork.sources import documents
 
 
 def plan(df):
@@ -142,3 +143,21 @@ def test_keywords_without_python(spark):
     assert asked.schema.simpleString() == "struct<search_id:string,kw_pos:int,keyword:string,question:string,kw_key:string>"
     rows = spark.createDataFrame([("s", 0, " Éa  B", None), ("s", 1, " A b ", None), ("s", 2, None, None)], "search_id string, kw_pos int, keyword string, question string")
     assert {(r.kw_pos, r.keyword, r.kw_key) for r in search.with_keys(rows).collect()} == {(0, " Éa  B", "éa b"), (1, " A b ", "a b"), (2, None, None)}
+
+
+def test_stored_tables_hold_nothing_twice(spark, tmp_path):
+    """Gram postings name each text once, steps each end once; what is read is whole, of builds in the former layout too."""
+    nodes = graph(spark, ["red ring", "blue"]).unionByName(spark.createDataFrame([("m000", "M", "Red ring", "red ring")], "kgid string, label string, name string, name_key string"))
+    rels = spark.createDataFrame([("r0", "T", "n000", "n001"), ("r1", "T", "n001", "n000"), ("r2", "U", "n001", "n001"), ("r3", "T", "m000", "n000")], "kgid string, type string, from_kgid string, to_kgid string")
+    documents.write_search_tables(nodes, rels, f"{tmp_path}/new")
+    kept = {t: spark.read.parquet(f"{tmp_path}/new/{t}") for t in ("grams", "steps")}
+    assert {*kept["grams"].columns} == {"gram", "name_key", "bucket", "buckets"} and {*kept["steps"].columns} == {"at", "to", "kgid", "type", "outward", "bucket", "buckets"}
+    assert kept["grams"].where("gram = 'rin'").count() == 1
+    search.write_index(nodes, f"{tmp_path}/old")
+    search.write_bucketed(search.steps(rels), f"{tmp_path}/old/steps", "at", 100)
+    for layout in ("new", "old"):
+        index, steps = documents.read_search_tables(spark, f"{tmp_path}/{layout}")
+        want = search.steps(rels)
+        assert sorted(map(tuple, steps.all().select(want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() == 7
+        asked = search.with_keys(spark.createDataFrame([("s", 0, "ed ri", None)], "search_id string, kw_pos int, keyword string, question string"))
+        assert {r.kgid for r in search.containing(asked, nodes, index).collect()} == {"n000", "m000"}
