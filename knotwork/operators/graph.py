@@ -1,4 +1,8 @@
-"""Graph analytics on ``edges(src, dst)`` and ``nodes(id)``: iterated joins, one table a round."""
+"""Graph analytics on ``edges(src, dst)`` and ``nodes(id)``: iterated joins, one table a round.
+
+Rounds join by shuffles: a table that is sent round by the driver costs it a
+few MB, and there are hundreds of such joins.
+"""
 
 from __future__ import annotations
 
@@ -12,21 +16,25 @@ def _any(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that is dealt to parts and sorted, however small it is: no rows pass through the driver."""
+    return df.hint("merge")
+
+
 def _within(links: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among the ids."""
-    return links.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return links.join(_dealt(ids.select(F.col("id").alias("src"))), "src", "left_semi").join(_dealt(ids.select(F.col("id").alias("dst"))), "dst", "left_semi").select("src", "dst")
 
 
 def _spread(labels: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Greatest label that reaches each node along the edges, by rounds until nothing changes; a label's own label counts too."""
     while True:
-        sent = edges.join(labels, edges[src] == labels["id"]).select(F.col(dst).alias("id"), "colour")
-        best = sent.unionByName(labels).groupBy("id").agg(F.max("colour").alias("colour"))
+        sent = edges.join(_dealt(labels.withColumnRenamed("id", src)), src).select(F.col(dst).alias("id"), "colour", F.lit(None).cast(labels.schema["colour"].dataType).alias("before"))
+        best = sent.unionByName(labels.withColumn("before", F.col("colour"))).groupBy("id").agg(F.max("colour").alias("colour"), F.max("before").alias("before"))
         above = best.select(F.col("id").alias("colour"), F.col("colour").alias("above"))
-        new = written(best.join(above, "colour", "left").select("id", F.greatest("colour", F.coalesce("above", "colour")).alias("colour")), "colours")
-        changed = _any(new.join(labels.withColumnRenamed("colour", "before"), "id").where("colour <> before"))
-        labels = new
-        if not changed:
+        new = written(best.join(_dealt(above), "colour", "left").select("id", F.greatest("colour", F.coalesce("above", "colour")).alias("colour"), "before"), "colours")
+        labels = new.drop("before")
+        if not _any(new.where("colour <> before")):
             return labels
 
 
@@ -37,12 +45,12 @@ def _coloured(left: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     that can reach back to its root form a component.
     """
     colours = _spread(left.select("id", F.col("id").alias("colour")), links, "src", "dst")
-    same = links.join(colours.withColumnsRenamed({"id": "src", "colour": "c1"}), "src").join(colours.withColumnsRenamed({"id": "dst", "colour": "c2"}), "dst")
+    same = links.join(_dealt(colours.withColumnsRenamed({"id": "src", "colour": "c1"})), "src").join(_dealt(colours.withColumnsRenamed({"id": "dst", "colour": "c2"})), "dst")
     same = written(same.where("c1 = c2").select("src", "dst", F.col("c1").alias("colour")), "same-colour")
     reach = written(colours.where("id = colour"), "roots")
     while True:
-        back = same.join(reach.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "colour")
-        fresh = written(back.distinct().join(reach, "id", "left_anti"), "fresh")
+        back = same.join(_dealt(reach.select(F.col("id").alias("dst"))), "dst").select(F.col("src").alias("id"), "colour")
+        fresh = written(back.distinct().join(_dealt(reach), "id", "left_anti"), "fresh")
         if not _any(fresh):
             return reach.select("id", F.col("colour").alias("component")), colours
         reach = written(reach.unionByName(fresh), "reach")
@@ -60,7 +68,7 @@ def _chains(links: DataFrame) -> list[DataFrame]:
     while True:
         last = jumps[-1]
         ahead = last.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("least").alias("low"))
-        both = last.join(ahead, "to", "left").select("id", F.coalesce("far", "to").alias("to"), F.least("least", "low").alias("least"), F.col("far").isNotNull().alias("went"), (F.col("low") < F.col("least")).alias("moved"))
+        both = last.join(_dealt(ahead), "to", "left").select("id", F.coalesce("far", "to").alias("to"), F.least("least", "low").alias("least"), F.col("far").isNotNull().alias("went"), (F.col("low") < F.col("least")).alias("moved"))
         new = written(both, "chains")
         now = new.where("went").agg(F.count_distinct("to").alias("n"), F.count_if("moved").alias("moved")).first()
         if not now.n:
@@ -86,14 +94,13 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     found = _solved(left, links)
     least = found.groupBy("component").agg(F.min("id").alias("least"))
-    return found.join(least, "component").select("id", F.col("least").alias("component"))
+    return found.join(_dealt(least), "component").select("id", F.col("least").alias("component"))
 
 
 def _solved(left: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component), the component named by any of its nodes."""
-    inner = links.select(F.col("src").alias("id")).intersect(links.select(F.col("dst").alias("id")))
-    inner = written(left.join(inner, "id", "left_semi"), "inner")
-    alone = left.join(inner, "id", "left_anti").select("id", F.col("id").alias("component"))
+    inner = written(left.join(_dealt(links.select(F.col("src").alias("id"))), "id", "left_semi").join(_dealt(links.select(F.col("dst").alias("id"))), "id", "left_semi"), "inner")
+    alone = left.join(_dealt(inner), "id", "left_anti").select("id", F.col("id").alias("component"))
     if inner.count() < left.count():
         return alone if not _any(inner) else alone.unionByName(_solved(inner, written(_within(links, inner), "edges")))
     if not _any(left):
@@ -105,37 +112,37 @@ def _solved(left: DataFrame, links: DataFrame) -> DataFrame:
             return _drawn_in(left, ways, jumps, turned)
     settled, colours = _coloured(left, links)
     settled = written(settled, "settled")
-    rest = written(left.join(settled, "id", "left_anti"), "nodes")
+    rest = written(left.join(_dealt(settled), "id", "left_anti"), "nodes")
     if not _any(rest):
         return settled
     # A component lies in one colour: edges between colours are in none.
-    of = rest.join(colours, "id")
-    inside = _within(links, rest).join(of.select(F.col("id").alias("src"), F.col("colour").alias("c1")), "src").join(of.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst")
+    of = rest.join(_dealt(colours), "id")
+    inside = _within(links, rest).join(_dealt(of.select(F.col("id").alias("src"), F.col("colour").alias("c1"))), "src").join(_dealt(of.select(F.col("id").alias("dst"), F.col("colour").alias("c2"))), "dst")
     return settled.unionByName(_solved(rest, written(inside.where("c1 = c2").select("src", "dst"), "edges")))
 
 
 def _drawn_in(left: DataFrame, links: DataFrame, jumps: list[DataFrame], turned: bool) -> DataFrame:
     """Components of a graph whose chains are drawn into the nodes they lead to."""
     ids, ends = jumps[0].select("id"), jumps[-1]
-    endless = written(ends.join(ids.select(F.col("id").alias("to")), "to", "left_semi"), "endless")  # these lead to a ring
+    endless = written(ends.join(_dealt(ids.select(F.col("id").alias("to"))), "to", "left_semi"), "endless")  # these lead to a ring
     ring = endless.select(F.col("to").alias("id")).distinct()
-    of_ring = endless.join(ring, "id", "left_semi").select("id", F.col("least").alias("component"))
-    to_ring = endless.join(ring, "id", "left_anti").select("id", F.col("id").alias("component"))
-    roots = written(ends.join(endless.select("id"), "id", "left_anti").select("id", F.col("to").alias("root")), "roots")
-    core = written(left.join(ids, "id", "left_anti"), "nodes")
-    own = links.join(ids.select(F.col("id").alias("src")), "src", "left_anti").join(endless.select(F.col("id").alias("dst")), "dst", "left_anti")
-    drawn = written(own.join(roots.withColumnRenamed("id", "dst"), "dst", "left").select("src", "dst", "root"), "drawn")
+    of_ring = endless.join(_dealt(ring), "id", "left_semi").select("id", F.col("least").alias("component"))
+    to_ring = endless.join(_dealt(ring), "id", "left_anti").select("id", F.col("id").alias("component"))
+    roots = written(ends.join(_dealt(endless.select("id")), "id", "left_anti").select("id", F.col("to").alias("root")), "roots")
+    core = written(left.join(_dealt(ids), "id", "left_anti"), "nodes")
+    own = links.join(_dealt(ids.select(F.col("id").alias("src"))), "src", "left_anti").join(_dealt(endless.select(F.col("id").alias("dst"))), "dst", "left_anti")
+    drawn = written(own.join(_dealt(roots.withColumnRenamed("id", "dst")), "dst", "left").select("src", "dst", "root"), "drawn")
     across = drawn.select("src", F.coalesce("root", "dst").alias("dst")).where("src <> dst").distinct()
     across = across.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else across
     inner = written(_solved(core, written(across, "edges")), "inner")
-    named = roots.join(inner.select(F.col("id").alias("root"), "component"), "root").select("id", "component")
+    named = roots.join(_dealt(inner.select(F.col("id").alias("root"), "component")), "root").select("id", "component")
     # Chain nodes that the component of their end has a way into, and from these on along the chain.
-    entry = drawn.where("root is not null").join(inner.select(F.col("id").alias("src"), F.col("component").alias("from")), "src")
-    marked = written(entry.select(F.col("dst").alias("id"), "from").join(named, "id").where("from = component").select("id").distinct(), "marked")
+    entry = drawn.where("root is not null").join(_dealt(inner.select(F.col("id").alias("src"), F.col("component").alias("from"))), "src")
+    marked = written(entry.select(F.col("dst").alias("id"), "from").join(_dealt(named), "id").where("from = component").select("id").distinct(), "marked")
     for step in jumps if _any(marked) else []:
-        marked = written(marked.unionByName(marked.join(step, "id").select(F.col("to").alias("id")).join(ids, "id", "left_semi")).distinct(), "marked")
-    inside = named.join(marked, "id", "left_semi")
-    outside = named.join(marked, "id", "left_anti").select("id", F.col("id").alias("component"))
+        marked = written(marked.unionByName(marked.join(_dealt(step), "id").select(F.col("to").alias("id")).join(_dealt(ids), "id", "left_semi")).distinct(), "marked")
+    inside = named.join(_dealt(marked), "id", "left_semi")
+    outside = named.join(_dealt(marked), "id", "left_anti").select("id", F.col("id").alias("component"))
     return inner.unionByName(of_ring).unionByName(to_ring).unionByName(inside).unionByName(outside)
 
 
@@ -143,7 +150,7 @@ def cyclic_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Self loops and edges inside a component."""
     a = components.select(F.col("id").alias("src"), F.col("component").alias("c1"))
     b = components.select(F.col("id").alias("dst"), F.col("component").alias("c2"))
-    return edges.join(a, "src").join(b, "dst").where("c1 = c2").drop("c1", "c2")
+    return edges.join(_dealt(a), "src").join(_dealt(b), "dst").where("c1 = c2").drop("c1", "c2")
 
 
 def analyze_dag(nodes: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -52,3 +52,19 @@ def test_ring_in_few_rounds(spark, monkeypatch):
     got = graph.strong_components(ids, edges)
     assert got.where("component = 0").count() == n == got.count() and len(rounds) < 40
     assert rounds.count("chains") <= 20
+
+
+def test_no_table_through_the_driver(spark, monkeypatch):
+    """However small the tables of the rounds are, none is broadcast."""
+    plans = []
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(graph, "written", lambda df, name, write=graph.written: plans.append(shown(df)) or write(df, name))
+    edges = [(0, 1), (1, 0), (0, 2), (2, 3), (3, 0), (2, 0), (3, 2), (1, 4), (4, 5), (5, 6), (6, 4), (7, 8), (8, 9), (9, 7), (9, 8)]
+    points, links = spark.range(10), spark.createDataFrame(edges, "src long, dst long")
+    found = graph.strong_components(points, links)
+    cyclic = graph.cyclic_edges(links, found)
+    plans += [shown(found), shown(cyclic)]
+    assert len(plans) > 10 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
+    want = brute(range(10), edges)
+    assert {r.id: r.component for r in found.collect()} == want
+    assert {(r.src, r.dst) for r in cyclic.collect()} == {e for e in edges if want[e[0]] == want[e[1]]}
