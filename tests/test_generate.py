@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import random
 import uuid
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
@@ -125,6 +127,29 @@ def test_an_answer_is_taken_apart_once(spark):
     assert got[3] == got[4] and got[3].strip() == empty.strip()
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_prompts_are_written_once(spark, answer, monkeypatch, few):
+    """Whatever the waves: the tables of a run hold each prompt once, and rows without a stem come through all of them."""
+    monkeypatch.setattr(generate, "FEW", few)
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in base.rglob("*.parquet"))
+    texts = {(f"s{i}" if i else None): f"{i}\n{random.Random(i).randbytes(15_000).hex()}" for i in range(60)}
+
+    def one(prompt):
+        raise RuntimeError("usage limit reached")
+
+    def two(prompt):
+        return answer(1, label="Person" if "refused; mend this" in prompt else "person", seen=[len(prompt)])
+
+    rows = spark.createDataFrame([*texts.items(), ("s1", "zzz")], "stem string, prompt string")
+    before = size()
+    got = generate.run(rows, {"one": one, "two": two}, NOW, tasks=3)
+    made = got.documents.collect()
+    assert {r.stem for r in made} == set(texts) and len(made) == 60 and got.switches == [("one", "two")]
+    assert all((r.kind, r.corrected, r.engine) == (None, True, "two") for r in made if r.stem)
+    assert sum(map(len, texts.values())) // 2 < size() - before < 1.3 * sum(map(len, texts.values()))
+
+
 def test_query_over_documents(spark):
     import duckdb
 
