@@ -324,15 +324,19 @@ H1 = f"h0 AS (SELECT kgid FROM nx WHERE label = 'Nation' AND name_key IN ('natio
 H2 = f"e2 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h1) ORDER BY kgid, fr LIMIT {L.RELS_PER_HOP}), h2 AS (SELECT DISTINCT o AS kgid FROM e2 WHERE o NOT IN (SELECT kgid FROM h0) AND o NOT IN (SELECT kgid FROM h1))"
 
 
-def _hops(spark, sf_dir, k):
+H1_ALL = "h0 AS (SELECT kgid FROM nx WHERE label = 'Nation' AND name_key IN ('nation_3', 'nation_8')), e1 AS (SELECT * FROM wy WHERE fr IN (SELECT kgid FROM h0)), h1 AS (SELECT DISTINCT o AS kgid FROM e1 WHERE o NOT IN (SELECT kgid FROM h0))"
+
+
+def _hops(spark, sf_dir, k, most=L.RELS_PER_HOP):
     g = stored_build(spark, sf_dir)
     start = g.nodes.where("label = 'Nation' and name_key in ('nation_3', 'nation_8')").select(F.lit("s").alias("search_id"), "kgid")
-    return S.hops(start, g.steps, k)[0].select("kgid", F.col("hop").cast("long").alias("hop"))
+    return S.hops(start, g.steps, k, most)[0].select("kgid", F.col("hop").cast("long").alias("hop"))
 
 
-@query(f"WITH {R}, {GR}, {LOC}, {H1} SELECT kgid, 0::BIGINT AS hop FROM h0 UNION ALL SELECT kgid, 1 FROM h1")
+@query(f"WITH {R}, {GR}, {LOC}, {H1_ALL} SELECT kgid, 0::BIGINT AS hop FROM h0 UNION ALL SELECT kgid, 1 FROM h1")
 def khop_1(spark, sf_dir):
-    return _hops(spark, sf_dir, 1)
+    """All neighbours, however many a hop reads."""
+    return _hops(spark, sf_dir, 1, None)
 
 
 @query(f"WITH {R}, {GR}, {LOC}, {H1}, {H2} SELECT kgid, 0::BIGINT AS hop FROM h0 UNION ALL SELECT kgid, 1 FROM h1 UNION ALL SELECT kgid, 2 FROM h2")

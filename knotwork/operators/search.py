@@ -145,17 +145,18 @@ def ways_of(rels: DataFrame | Bucketed) -> Bucketed:
     return rels if isinstance(rels, Bucketed) else Bucketed(steps(rels), "at")
 
 
-def hops(start: DataFrame, rels: DataFrame | Bucketed, k: int, most: int = L.RELS_PER_HOP) -> tuple[DataFrame, DataFrame]:
+def hops(start: DataFrame, rels: DataFrame | Bucketed, k: int, most: int | None = L.RELS_PER_HOP) -> tuple[DataFrame, DataFrame]:
     """Nodes (search_id, kgid, hop) and relationships (search_id, hop, ...) within k hops of ``start(search_id, kgid)``.
 
-    A hop reads at most ``most`` relationship rows a search, least kgid first.
+    A hop reads at most ``most`` relationship rows a search, least kgid first; all of them where that is None.
     """
     seen = written(start.select("search_id", "kgid").distinct().withColumn("hop", F.lit(0)), "hop")
     frontier, ways, used = seen, ways_of(rels), None
     for hop in range(1, k + 1):
-        order = Window.partitionBy("search_id").orderBy("rel_kgid", "at")
         rows = ways.of(frontier, "kgid").withColumnRenamed("kgid", "rel_kgid").join(frontier.select("search_id", F.col("kgid").alias("at")), "at")
-        rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+        if most is not None:
+            order = Window.partitionBy("search_id").orderBy("rel_kgid", "at")
+            rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
         rows = written(rows.select("search_id", F.lit(hop).alias("hop"), F.col("rel_kgid").alias("kgid"), "type", "from_kgid", "to_kgid", "to"), "hop-rels")
         used = rows if used is None else used.unionByName(rows)
         fresh = rows.select("search_id", F.col("to").alias("kgid")).distinct().join(seen, ["search_id", "kgid"], "left_anti").withColumn("hop", F.lit(hop))

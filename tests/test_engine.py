@@ -362,6 +362,21 @@ def test_operators_own_limits(spark, name, rows):
     assert len(against_sql(spark, name, "/root/testdata/sf0.01")) >= rows
 
 
+def test_one_hop_reads_all_relationships(spark, tmp_path):
+    """2,500 customers of two nations and what else lies there; within the limit a search still stops at it."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    for t in "region nation supplier part orders lineitem events".split():
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    duckdb.sql(f"COPY (SELECT i AS c_custkey, 'C' || i AS c_name, (CASE WHEN i % 2 = 0 THEN 3 ELSE 8 END)::INTEGER AS c_nationkey, 0.0::DOUBLE AS c_acctbal, 'X' AS c_mktsegment FROM range(2500) t(i)) TO '{tmp_path}/customer.parquet'")
+    got = against_sql(spark, "khop_1", str(tmp_path))
+    assert (got.hop == 0).sum() == 2 and (got.hop == 1).sum() > 2500
+    rels = spark.range(2500).selectExpr("concat('r', id) kgid", "'T' type", "'hub' from_kgid", "concat('n', id) to_kgid")
+    start = spark.createDataFrame([("s", "hub")], "search_id string, kgid string")
+    assert [search.hops(start, rels, 1, *most)[0].where("hop = 1").count() for most in ([None], [], [7])] == [2500, 2000, 7]
+
+
 def test_paths_over_all_types(spark):
     """The least shortest path of each pair, by a breadth-first walk over all relationships."""
     sf = "/root/testdata/sf0.001"
