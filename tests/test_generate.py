@@ -9,6 +9,8 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from knotwork import catalog
 from knotwork.api import Engine
@@ -127,10 +129,8 @@ def test_an_answer_is_taken_apart_once(spark):
     assert got[3] == got[4] and got[3].strip() == empty.strip()
 
 
-@pytest.mark.parametrize("few", [0, 10_000])
-def test_prompts_are_written_once(spark, answer, monkeypatch, few):
+def test_prompts_are_written_once(spark, answer):
     """Whatever the waves: the tables of a run hold each prompt once, and rows without a stem come through all of them."""
-    monkeypatch.setattr(generate, "FEW", few)
     base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
     size = lambda: sum(f.stat().st_size for f in base.rglob("*.parquet"))
     texts = {(f"s{i}" if i else None): f"{i}\n{random.Random(i).randbytes(15_000).hex()}" for i in range(60)}
@@ -148,6 +148,17 @@ def test_prompts_are_written_once(spark, answer, monkeypatch, few):
     assert {r.stem for r in made} == set(texts) and len(made) == 60 and got.switches == [("one", "two")]
     assert all((r.kind, r.corrected, r.engine) == (None, True, "two") for r in made if r.stem)
     assert sum(map(len, texts.values())) // 2 < size() - before < 1.3 * sum(map(len, texts.values()))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("prompts_")]
+
+
+def test_prompts_are_shuffled_once(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "b"), ("b", None), (None, "z")], "stem string, prompt string")
+    with generate.dealt(rows, 3) as prompts:
+        waiting = written(prompts.select("key", F.lit("!").alias("note"), F.lit(True).alias("corrected")), "waiting")
+        asked = generate.with_prompts(waiting, prompts, 3)
+        assert sorted(map(str, asked.select("stem", "prompt", "note").collect())) == sorted(map(str, [Row(stem="a", prompt="b", note="!"), Row(stem="b", prompt="", note="!"), Row(stem=None, prompt="z", note="!")]))
+        plan = asked._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1 and asked.rdd.getNumPartitions() == 3
 
 
 def test_query_over_documents(spark):
